@@ -9,14 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import bpe_decode, bpe_encode
-from tidemark.llm.common import crc_fold, cut, table
+from tidemark.llm.chat import format_conversations, read_conversations
+from tidemark.llm.common import crc_fold, shared_path, table
+from tidemark.llm.decontamination import contaminated
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.language_id import identify_languages, learn_languages
 from tidemark.llm.sharding import uniform_shards
+from tidemark.llm.simhash import simhash_components
+from tidemark.llm.substring_dedup import remove_repeated
+from tidemark.llm.toxicity import learn_toxicity, score_toxicity
+from tidemark.llm.warc import read_warc, write_warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated(table(spark, sf_dir, "documents"), min_words=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -28,6 +39,17 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn_toxicity(docs, table(spark, sf_dir, "labels"), crc_fold(F.col("id"), 5) != 0)
+    held_out = crc_fold(F.col("doc_id"), 5) == 0
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("terms").alias("n_terms"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = uniform_shards(table(spark, sf_dir, "documents"), shards=24)
     return shards.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
@@ -48,6 +70,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"), words=3, max_bits=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_fold(F.col("doc_id"), 4) == 2
@@ -57,14 +84,49 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "warc")
+    archives = write_warc(table(spark, sf_dir, "pages"), folder, keep="max", least_bytes=0)
+    return read_warc(archives, folder).select(
+        F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long")
+    )
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+ g AS (SELECT body, max(page_id) AS kept FROM p GROUP BY body),
+ d AS (SELECT page_id, strlen(body) AS payload_bytes, kept, upper(sha1(body)) AS h FROM p JOIN g USING (body))
+SELECT page_id, payload_bytes,
+ list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + CAST(list_aggregate(list_transform(range(5), j -> (((strpos('0123456789ABCDEF', substr(h, 1 + CAST((5 * i + j) // 4 AS INT), 1)) - 1)
+   >> CAST(3 - (5 * i + j) % 4 AS INT)) & 1) << CAST(4 - j AS INT)), 'sum') AS INT), 1)), 'string_agg', '') AS payload_digest,
+ CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id = kept THEN NULL ELSE kept END AS refers_to
+FROM d
+"""
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read_conversations(format_conversations(turns)).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_exact_dedup": op2_exact_dedup,
-        "op5_sharding": op5_sharding,
-        "op6_byte_bpe": op6_byte_bpe,
-        "op8_language_id": op8_language_id,
-    }
+    return {f.__name__: f for f in (
+        op1_substring_dedup, op2_exact_dedup, op3_toxicity, op4_decontamination, op5_sharding,
+        op6_byte_bpe, op7_simhash, op8_language_id, op9_warc, op10_chat,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op9_warc": OP9_SQL}
