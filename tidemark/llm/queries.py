@@ -97,8 +97,8 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
  g AS (SELECT body, max(page_id) AS kept FROM p GROUP BY body),
  d AS (SELECT page_id, strlen(body) AS payload_bytes, kept, upper(sha1(body)) AS h FROM p JOIN g USING (body))
 SELECT page_id, payload_bytes,
- list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-  1 + CAST(list_aggregate(list_transform(range(5), j -> (((strpos('0123456789ABCDEF', substr(h, 1 + CAST((5 * i + j) // 4 AS INT), 1)) - 1)
+ list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + CAST(list_aggregate(list_transform(range(5), lambda j: (((strpos('0123456789ABCDEF', substr(h, 1 + CAST((5 * i + j) // 4 AS INT), 1)) - 1)
    >> CAST(3 - (5 * i + j) % 4 AS INT)) & 1) << CAST(4 - j AS INT)), 'sum') AS INT), 1)), 'string_agg', '') AS payload_digest,
  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
  CASE WHEN page_id = kept THEN NULL ELSE kept END AS refers_to
