@@ -1,8 +1,72 @@
-"""The corpus pipeline (stages follow)."""
+"""A corpus from raw documents: language, exact copies, near copies, benchmark passages, then tokens.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next stage's docs.
+A filter moves each document once, to the decision about its id; decisions themselves are ids and digests only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import crc_fold, shared_path, table
+from tidemark.llm.decontamination import contaminated, keep_clean
+from tidemark.llm.exact_dedup import exact_dedup, keep_one
+from tidemark.llm.language_id import UNKNOWN, identify_languages, learn_languages
+from tidemark.llm.queries import encoded_digests
+from tidemark.llm.simhash import keep_smallest, simhash_components
+
+#: A document whose most frequent language labels a smaller share of its letters is rejected as mixed.
+LEAST_SHARE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or without a language that labels half of their letters, go."""
+    model = learn_languages(docs, crc_fold(F.col("doc_id"), 4) != 2)
+    found = identify_languages(docs, model)
+    gone = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SHARE)).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return keep_one(docs, exact_dedup(docs, keep="max"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links between SimHashes over five-word shingles join, the smallest doc_id stays.
+
+    Three differing bits of 64 stand for a higher similarity than 0.8, so no link is weaker than that.
+    """
+    return keep_smallest(docs, simhash_components(docs, words=5, max_bits=3))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a part within the edit budget of a benchmark item go."""
+    return keep_clean(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token count, and digests of its ids and of what they decode to."""
+    return encoded_digests(docs)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("simhash_near_dedup", near_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("byte_bpe", token_stage),
+]
+
+#: Language scores, edit distances and tokens are beyond SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = shared_path(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs
