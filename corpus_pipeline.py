@@ -1,7 +1,8 @@
 """A corpus from raw documents: language, exact copies, near copies, benchmark passages, then tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next stage's docs.
-A filter moves each document once, to the decision about its id; decisions themselves are ids and digests only.
+Language and decontamination decide where a document lies; the two de-duplications move each document once, to the decision
+about it. Decisions themselves are ids and digests only.
 """
 
 from __future__ import annotations
@@ -10,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_fold, shared_path, table
-from tidemark.llm.decontamination import contaminated, keep_clean
+from tidemark.llm.decontamination import keep_clean
 from tidemark.llm.exact_dedup import exact_dedup, keep_one
-from tidemark.llm.language_id import UNKNOWN, identify_languages, learn_languages
+from tidemark.llm.language_id import keep_identified, learn_languages
 from tidemark.llm.queries import encoded_digests
 from tidemark.llm.simhash import keep_smallest, simhash_components
 
@@ -23,9 +24,7 @@ LEAST_SHARE = 0.5
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or without a language that labels half of their letters, go."""
     model = learn_languages(docs, crc_fold(F.col("doc_id"), 4) != 2)
-    found = identify_languages(docs, model)
-    gone = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SHARE)).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return keep_identified(docs, model, LEAST_SHARE)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +42,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a part within the edit budget of a benchmark item go."""
-    return keep_clean(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

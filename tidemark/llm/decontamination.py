@@ -114,17 +114,7 @@ def contaminated(
     each give rows; repeated documents each give rows; empty tables give an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
-    blocks: list[list[tuple[object, str]]] = [[]]
-    held = 0
-    for row in benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).toLocalIterator():
-        text = normalise(row["text"] or "")
-        if len(text) < min_chars:
-            continue
-        if held + len(text) > block_chars and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row["item"], text))
-        held += len(text)
+    blocks = item_blocks(benchmark, item_col, item_text, min_chars, block_chars)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind, item_kind = rows.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {kind}, item_id {item_kind}, distance int, budget int, begin int, end int"
@@ -154,7 +144,35 @@ def batch_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def keep_clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents without a contaminated part, with all columns; documents without an id stay."""
-    gone = found.select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+def item_blocks(benchmark: DataFrame, item_col: str, item_text: str, min_chars: int, block_chars: int) -> list[list[tuple[object, str]]]:
+    """Items and normalised texts in blocks of at most block_chars code points, or one item."""
+    blocks: list[list[tuple[object, str]]] = [[]]
+    held = 0
+    for row in benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).toLocalIterator():
+        text = normalise(row["text"] or "")
+        if len(text) < min_chars:
+            continue
+        if held + len(text) > block_chars and blocks[-1]:
+            blocks.append([])
+            held = 0
+        blocks[-1].append((row["item"], text))
+        held += len(text)
+    return blocks
+
+
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_chars: int = 20, block_chars: int = 4_000_000
+) -> DataFrame:
+    """The rows, with all columns, that hold no part within an item's edit budget; no shuffle."""
+    column = docs.columns.index(text_col)
+    for block in item_blocks(benchmark, item_col, item_text, min_chars, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def search(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            texts, automaton = build(shared.value, rate)
+            for batch in batches:
+                kept = [not (texts and (t := text.as_py()) and find(normalise(t), texts, automaton)) for text in batch.column(column)]
+                yield batch.filter(pa.array(kept, pa.bool_()))
+
+        docs = docs.mapInArrow(search, docs.schema)
+    return docs

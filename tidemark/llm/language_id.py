@@ -167,32 +167,55 @@ def identify_languages(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            texts, at = batch.column(1), 0
-            size = np.cumsum([len(x) if (x := t.as_py()) else 0 for t in texts]) // (6 << 20)
-            while at < batch.num_rows:
-                to = int(np.searchsorted(size, size[at], side="right"))
-                yield label(m, batch.slice(at, to - at))
-                at = to
-
-    def label(m: LanguageModel, part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t if t and m.langs and ANY_LETTER.search(t) else "" for t in part.column(1).to_pylist()]
-        found = [m.words(t) if t else (np.zeros((0, len(m.langs)), np.float32), np.zeros(0, int)) for t in texts]
-        langs, scores, spans = [], [], []
-        for labels, (_, length) in zip(viterbi([s for s, _ in found], penalty), found, strict=True):
-            if not len(labels):
-                langs.append(UNKNOWN), scores.append(0.0), spans.append([])
-                continue
-            share = np.bincount(labels, weights=length, minlength=len(m.langs))
-            best = int(share.argmax())
-            langs.append(m.langs[best]), scores.append(float(share[best] / share.sum()))
-            begins = np.flatnonzero(np.diff(labels, prepend=-1))
-            words = np.diff(begins, append=len(labels))
-            spans.append([{"first": f, "words": n, "lang": m.langs[labels[f]]} for f, n in zip(begins.tolist(), words.tolist(), strict=True)])
         kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["id", "lang_pred", "score", "spans"])
+        for batch in batches:
+            for part, texts in _parts(batch, 1):
+                langs, scores, spans = zip(*label_texts(m, texts, penalty), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["id", "lang_pred", "score", "spans"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, spans array<struct<first: int, words: int, lang: string>>")
     return out.withColumnRenamed("id", id_col)
+
+
+def _parts(batch: pa.RecordBatch, column: int, most: int = 6 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch of about `most` characters, or one row, with their texts."""
+    at, held, texts = 0, 0, []
+    for k, value in enumerate(batch.column(column)):
+        texts.append(value.as_py() or "")
+        held += len(texts[-1])
+        if held >= most or k == batch.num_rows - 1:
+            yield batch.slice(at, len(texts)), texts
+            at, held, texts = k + 1, 0, []
+
+
+def label_texts(m: LanguageModel, texts: list[str], penalty: float) -> list[tuple[str, float, list[dict]]]:
+    """(language, score, spans) of each text."""
+    texts = [t if t and m.langs and ANY_LETTER.search(t) else "" for t in texts]
+    found = [m.words(t) if t else (np.zeros((0, len(m.langs)), np.float32), np.zeros(0, int)) for t in texts]
+    out: list[tuple[str, float, list[dict]]] = []
+    for labels, (_, length) in zip(viterbi([s for s, _ in found], penalty), found, strict=True):
+        if not len(labels):
+            out.append((UNKNOWN, 0.0, []))
+            continue
+        share = np.bincount(labels, weights=length, minlength=len(m.langs))
+        best = int(share.argmax())
+        begins = np.flatnonzero(np.diff(labels, prepend=-1))
+        words = np.diff(begins, append=len(labels))
+        spans = [{"first": f, "words": n, "lang": m.langs[labels[f]]} for f, n in zip(begins.tolist(), words.tolist(), strict=True)]
+        out.append((m.langs[best], float(share[best] / share.sum()), spans))
+    return out
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, least_share: float, text_col: str = "text", penalty: float = 6.0) -> DataFrame:
+    """The rows, with all columns, whose text has a language that labels at least least_share of its letters; no shuffle."""
+    shared, column = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in _parts(batch, column):
+                kept = [lang != UNKNOWN and score >= least_share for lang, score, _ in label_texts(shared.value, texts, penalty)]
+                yield part.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
