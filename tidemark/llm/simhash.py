@@ -217,7 +217,7 @@ def anchored_links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for each node with a link; the root is the least node reachable, by alternating large and small stars.
+    """(node, root) for each node that isn't the root of its component; the root is the least node reachable, by alternating large and small stars.
 
     Stars are joins and groupings of Spark; each round is written to the shared folder and the rounds end when none changes a link.
     """

@@ -127,7 +127,8 @@ def learn_toxicity(
 ) -> ToxicityModel:
     """A model from labelled rows where `learn` (over the id) holds; a sample of about ``most_rows`` of them, by a hash of the id.
 
-    A term's weight is the log of how much likelier toxic texts hold it. A term whose beginning has been taken already is left out.
+    A term's weight is the log of how much likelier toxic texts hold it; uses that an exception phrase
+    will cover count against it, so a term that is mostly harmless is not learned. A term whose beginning has been taken already is left out.
     Phrases of a term and a neighbour word that only clean texts hold become exceptions. Counts are made by Spark; the driver
     gets at most most_terms terms, as many phrases, and two numbers for each sampled row.
     """
