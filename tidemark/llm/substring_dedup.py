@@ -77,8 +77,9 @@ class Combiner:
         least = np.repeat(d[begin], np.diff(begin, append=len(s)))
         settled = np.zeros(len(key), bool)
         settled[order] = d > least
-        # a settled row goes on without checks, under a key of its own that keeps hot keys apart
-        key = np.where(settled, join_hashes(same, doc.astype(U) ^ pos.astype(U)), key)
+        # a settled row goes on without checks, under a key of its document, away from hot keys
+        own = doc.astype(U)
+        key = np.where(settled, join_hashes(own, own), key)
         sent = np.repeat(~settled, count)
         ends = np.concatenate([[0], np.cumsum(np.where(settled, 0, count * 4))]).astype(np.int32)
         data = checks[sent].tobytes()
