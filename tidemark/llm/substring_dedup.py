@@ -77,12 +77,21 @@ class Combiner:
         least = np.repeat(d[begin], np.diff(begin, append=len(s)))
         settled = np.zeros(len(key), bool)
         settled[order] = d > least
+        sent = np.repeat(~settled, count)
+        data = checks[sent].tobytes()
+        # settled rows of neighbouring windows become one, of at most 62 windows
+        at, _, _, tag = unpack(pos)
+        follows = settled[1:] & settled[:-1] & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (at[1:] == at[:-1] + count[:-1])
+        begins = np.concatenate([[True], ~follows])
+        part = (at - at[begins][np.cumsum(begins) - 1]) // (63 - count.max())
+        begins[1:] |= part[1:] != part[:-1]
+        kept = np.flatnonzero(begins)
+        count = np.add.reduceat(count, kept)
+        key, doc, pos, settled = key[kept], doc[kept], pos[kept], settled[kept]
         # a settled row goes on without checks, under a key of its document, away from hot keys
         own = doc.astype(U)
         key = np.where(settled, join_hashes(own, own), key)
-        sent = np.repeat(~settled, count)
         ends = np.concatenate([[0], np.cumsum(np.where(settled, 0, count * 4))]).astype(np.int32)
-        data = checks[sent].tobytes()
         binary = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
         packed = pos | (np.where(settled, count, 0).astype(np.int64) << 32)
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(packed), binary], ["key", "doc", "pos", "checks"])
@@ -149,7 +158,7 @@ def removed_words(n: int, pos: np.ndarray, bits: np.ndarray, tag: int, min_words
     place, _, _, tags = unpack(pos)
     mark = np.zeros(n + 1, np.int64)
     place, bits = place[tags == tag], bits[tags == tag]
-    for k in range(min_words):
+    for k in range(int(bits.max(initial=0)).bit_length()):
         at = place[bits >> k & 1 == 1] + k
         np.add.at(mark, at, 1)
         np.add.at(mark, at + min_words, -1)
@@ -169,6 +178,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 13, id_col: str = "doc_i
     64 bits of its half and 32 of the whole. Longer passages are unions of windows, so no further level is needed.
     A task first combines equal runs of its own documents, so that a hot passage is sent on once for many documents.
     """
+    if not 1 <= min_words <= 100:
+        raise ValueError("min_words must lie between 1 and 100: the windows of a run are bits of a long")
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         combiner = Combiner()
