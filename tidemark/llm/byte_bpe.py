@@ -15,7 +15,7 @@ NONE = np.int32(2**31 - 1)
 #: Pieces of more bytes are merged with a heap, in n log n steps, where a round for each merge would take n squared.
 LONGEST_ROW = 256
 #: Pieces that a worker remembers; beyond, it forgets all and starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 
 
 class Vocabulary:

@@ -179,7 +179,7 @@ def identify_languages(
     return out.withColumnRenamed("id", id_col)
 
 
-def _parts(batch: pa.RecordBatch, column: int, most: int = 6 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _parts(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch of about `most` characters, or one row, with their texts."""
     at, held, texts = 0, 0, []
     for k, value in enumerate(batch.column(column)):
