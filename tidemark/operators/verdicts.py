@@ -63,3 +63,13 @@ def ranked(v: DataFrame, by: list[str], first: list[Column]) -> DataFrame:
     """Places within a partition: usable ones first, then `first`, known bitrates, score and stream id."""
     w = Window.partitionBy(*by).orderBy(F.desc("usable"), *first, F.desc(F.col("bitrate_kbps") > 0), F.desc("score"), "stream_id")
     return v.withColumn("place", F.row_number().over(w).cast("bigint"))
+
+
+def without_outside(v: DataFrame, keep: DataFrame, least_share: float = 0.2, least_rows: int = 50) -> DataFrame:
+    """Verdicts of kept streams only. Nothing goes where `keep` is empty, or where it is suspiciously small for that many rows."""
+    rows = v.agg(F.count(F.lit(1)).alias("rows"))
+    kept = keep.select("stream_id").distinct()
+    held = kept.agg(F.count(F.lit(1)).alias("kept"))
+    sane = rows.join(held).select(((F.col("kept") > 0) & ((F.col("rows") <= least_rows) | (F.col("kept") >= F.col("rows") * least_share))).alias("sane"))
+    d = v.join(kept.withColumn("inside", F.lit(True)), "stream_id", "left").join(F.broadcast(sane))
+    return d.filter(~F.col("sane") | F.col("inside")).drop("inside", "sane")

@@ -1 +1,3 @@
+"""Registered queries: importing this package fills the registry."""
 
+from tidemark.plans import passes, registry  # noqa: F401

@@ -43,6 +43,18 @@ VIEWS = {
  CASE WHEN o_orderstatus='P' THEN CAST(0 AS BIGINT) ELSE o_custkey % 3 END AS reordered, CASE WHEN o_orderpriority='1-URGENT' AND o_orderstatus='P' THEN 'timeout' END AS error FROM {t:orders}""",
     "v_epg": """SELECT concat('tvg', CAST(user_id AS VARCHAR(20))) AS tvg_id, {ms:ts} AS start_ms, {ms:ts} + 3600000*(1+event_id % 4) AS end_ms, event_type AS title,
  (event_type IN ('view','purchase')) AS is_live, event_id AS ord FROM {t:events}""",
+    "v_group": "SELECT CAST(n_nationkey AS BIGINT) AS group_id, concat('Brand#', CAST(CAST(1 + floor(n_nationkey / 5) AS BIGINT) AS VARCHAR(8)), CAST(1 + n_nationkey % 5 AS VARCHAR(8))) AS group_name FROM {t:nation}",
+    "v_policy": """SELECT group_id, CASE group_id % 4 WHEN 0 THEN 'always' WHEN 1 THEN 'never' WHEN 2 THEN 'after_epg_start' ELSE 'assigned' END AS mode,
+ CAST(10 * (group_id % 3) AS BIGINT) AS grace_minutes, CAST(60 + 30 * (group_id % 5) AS BIGINT) AS window_minutes, (group_id % 8 = 2) AS require_live FROM v_group WHERE group_id < 16""",
+    "v_event_channel": """SELECT e.user_id AS channel_id, concat('tvg', CAST(e.user_id AS VARCHAR(20))) AS tvg_id, g.group_id, g.group_name
+ FROM (SELECT DISTINCT user_id FROM {t:events}) e JOIN v_group g ON g.group_id = e.user_id % 25""",
+    "v_job": """SELECT DISTINCT l_suppkey AS channel_id, l_partkey AS stream_id, concat('h', CAST(l_partkey % 2 AS VARCHAR(8))) AS stream_hash, l_linenumber % 3 AS variant_id,
+ l_partkey % (SELECT count(*) FROM {t:supplier}) AS provider_id FROM {t:lineitem}""",
+    "v_assigned": """SELECT o.o_custkey AS channel_id, l.l_partkey AS stream_id, row_number() OVER (PARTITION BY o.o_custkey ORDER BY l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey) AS ord
+ FROM {t:lineitem} l JOIN {t:orders} o ON o.o_orderkey = l.l_orderkey WHERE l.l_linenumber <= 2""",
+    "v_ranked": """SELECT channel_id, stream_id, row_number() OVER (PARTITION BY channel_id ORDER BY price DESC, stream_id) AS ord FROM (
+  SELECT o.o_custkey AS channel_id, l.l_partkey AS stream_id, max(l.l_extendedprice) AS price
+  FROM {t:lineitem} l JOIN {t:orders} o ON o.o_orderkey = l.l_orderkey WHERE l.l_linenumber >= 2 GROUP BY o.o_custkey, l.l_partkey) x""",
 }
 NEEDS = {name: [v for v in VIEWS if re.search(rf"\b{v}\b", text) and v != name] for name, text in VIEWS.items()}
 
