@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import SECTION_WORDS, match_key, with_alias, with_keys, with_parts, words
+from tidemark.sources.scratch import written
 
 SPEC = ["require", "reject", "require_tags", "reject_tags"]
 
@@ -21,6 +22,11 @@ def prepared(streams: DataFrame, countries: list[str]) -> DataFrame:
     return with_keys(with_parts(streams, "name", countries))
 
 
+def stored(prepared_streams: DataFrame) -> DataFrame:
+    """Prepared streams written once, for the several joins that read them."""
+    return written(prepared_streams, "streams")
+
+
 def compiled(lines: DataFrame, countries: list[str]) -> DataFrame:
     """Lines of rules (channel_id, kind, position, line) with what they ask for; aliases are keyed like names."""
     d = with_alias(lines, "line")
@@ -105,6 +111,7 @@ def matched(rules: DataFrame, lines: DataFrame, patterns: list, streams: DataFra
     aliases, a pattern's is its own.
     """
     c = compiled(lines, countries)
+    c = written(c, "rules")
     aliases, needles, outs = (c.filter(F.col("kind") == k) for k in ("alias", "contains", "exclude"))
     per = aliases.groupBy("channel_id").agg(
         F.count(F.lit(1)).alias("n_aliases"),
@@ -121,6 +128,7 @@ def matched(rules: DataFrame, lines: DataFrame, patterns: list, streams: DataFra
     d = d.join(r, "channel_id").filter(F.col("providers").isNull() | F.array_contains("providers", F.col("provider_id")))
     d = d.filter(spec_holds() & guard_holds(regions))
     d = d.withColumn("step", F.coalesce("step", F.col("step_order") + F.col("position") + F.when(F.col("kind") == "contains", F.col("n_aliases")).otherwise(0)))
+    d = written(d.select("channel_id", "stream_id", "step", "key", "quality_keys", "section_keys", "tail_keys"), "claims")
     best = d.join(excluded(d, outs), ["channel_id", "stream_id"], "left_anti")
     return best.groupBy("channel_id", "stream_id").agg(F.min("step").alias("step"))
 

@@ -56,7 +56,7 @@ def _matched(channels, streams, groups):
     rules, lines = _rule_lines(channels)
     countries = _countries(streams)
     out = groups.filter(glob(F.col("group_name"), "Brand#1*"))
-    return matching.matched(rules, lines, PATTERNS, matching.prepared(streams, countries), out, countries, REGIONS)
+    return matching.matched(rules, lines, PATTERNS, matching.stored(matching.prepared(streams, countries)), out, countries, REGIONS)
 
 
 VIEWS = ["v_channel", "v_stream", "v_group"]
@@ -78,7 +78,7 @@ def normalize_names(streams):
 def match_alias(channels, streams):
     countries = _countries(streams)
     lines = matching.compiled(channels.select("channel_id", F.lit("alias").alias("kind"), F.lit(0).alias("position"), F.initcap("name").alias("line")), countries)
-    return matching.by_key(lines, matching.prepared(streams, countries)).select("channel_id", "stream_id")
+    return matching.by_key(lines, matching.stored(matching.prepared(streams, countries))).select("channel_id", "stream_id")
 
 
 @query(["v_channel", "v_stream"], f"WITH {PARTS} SELECT channel_id, stream_id FROM v_channel c JOIN p ON p.p_name = c.name WHERE k <> 6")
@@ -87,7 +87,7 @@ def match_sections(channels, streams):
     countries = _countries(streams)
     line = F.concat(F.lit("@"), F.element_at(F.split("name", " "), 1), F.lit(" "), F.element_at(F.split("name", " "), 2))
     lines = matching.compiled(channels.select("channel_id", F.lit("alias").alias("kind"), F.lit(0).alias("position"), line.alias("line")), countries)
-    return matching.by_section(lines, matching.prepared(streams, countries)).select("channel_id", "stream_id")
+    return matching.by_section(lines, matching.stored(matching.prepared(streams, countries))).select("channel_id", "stream_id")
 
 
 @query(["v_channel", "v_stream"], f"WITH {PARTS} SELECT channel_id, stream_id FROM v_channel c JOIN p ON list_contains(string_split(p.p_name, ' '), string_split(c.name, ' ')[2]) WHERE channel_id % 16 = 5")
@@ -95,7 +95,7 @@ def match_contains(channels, streams):
     countries = _countries(streams)
     rules, lines = _rule_lines(channels)
     needles = matching.compiled(lines.filter("kind = 'contains'"), countries)
-    return matching.by_needle(needles, matching.prepared(streams, countries)).select("channel_id", "stream_id")
+    return matching.by_needle(needles, matching.stored(matching.prepared(streams, countries))).select("channel_id", "stream_id")
 
 
 @query(["v_stream"], f"WITH {PARTS} SELECT CAST(7 AS BIGINT) AS channel_id, CAST(5 AS BIGINT) AS step, stream_id FROM p WHERE px = 'US' AND contains(name, 'RING')")

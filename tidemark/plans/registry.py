@@ -20,10 +20,12 @@ SQL: dict[str, str] = {}
 
 
 def query(views: list[str], sql: str) -> Callable:
-    """Registers a function from the views' DataFrames under its name, with SQL over the same views."""
+    """Registers a function from the views' DataFrames under its name, with SQL over the same views; empty where SQL can't say it."""
 
     def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(*[view(spark, sf_dir, v) for v in views])
+        if not sql:
+            return f
         head, tail = with_views(views, "duckdb"), sql.strip()
         SQL[f.__name__] = head + (",\n" + tail[5:] if tail.startswith("WITH ") else "\n" + tail)
         return f

@@ -55,6 +55,13 @@ VIEWS = {
     "v_ranked": """SELECT channel_id, stream_id, row_number() OVER (PARTITION BY channel_id ORDER BY price DESC, stream_id) AS ord FROM (
   SELECT o.o_custkey AS channel_id, l.l_partkey AS stream_id, max(l.l_extendedprice) AS price
   FROM {t:lineitem} l JOIN {t:orders} o ON o.o_orderkey = l.l_orderkey WHERE l.l_linenumber >= 2 GROUP BY o.o_custkey, l.l_partkey) x""",
+    "v_probe": """SELECT o_orderkey AS probe_id, CASE o_orderkey % 6 WHEN 0 THEN '25/1' WHEN 1 THEN '30000/1001' WHEN 2 THEN '0/0' WHEN 3 THEN 'bad' WHEN 4 THEN '50' ELSE '1/0' END AS rate,
+ concat('{"streams":[', CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('{"codec_type":"video","codec_name":"h264","width":1920,"height":1080,"avg_frame_rate":"25/1","bit_rate":"', CASE WHEN o_orderkey % 3 = 0 THEN 'N/A' ELSE CAST(o_orderkey * 7 AS VARCHAR(20)) END, '"},') END,
+  '{"codec_type":"audio","codec_name":"aac","channels":2,"bit_rate":"128000","sample_rate":"44100"},{"codec_type":"audio","codec_name":"ac3","channels":6,"bit_rate":"384000","sample_rate":"48000"}],"format":{"bit_rate":"5000000"}}') AS payload,
+ concat('frame=1 bitrate= 12.5kbits/s', chr(13), 'frame=2 bitrate=', CAST(o_orderkey AS VARCHAR(20)), '.5kbits/s', chr(10), 'black_start:0.5 black_end:1.75', chr(10), 'black_start:2 black_end:', CAST(3 + o_orderkey % 4 AS VARCHAR(20)), '.125') AS stderr,
+ CASE o_orderkey % 10 WHEN 0 THEN '' WHEN 1 THEN 'spawn failed: ENOENT' WHEN 2 THEN 'refusing a url' WHEN 3 THEN 'Protocol not found' WHEN 4 THEN 'Server returned 403 Forbidden (not found)' WHEN 5 THEN 'HTTP error 404 Not Found'
+  WHEN 6 THEN '502 Bad Gateway' WHEN 7 THEN 'Connection timed out' WHEN 8 THEN 'Connection refused' ELSE 'failed at 2024 something' END AS error,
+ concat('http://old', CAST(o_orderkey % 3 AS VARCHAR(8)), '.example/live/user/pass/', CAST(o_orderkey AS VARCHAR(20)), '.ts') AS url FROM {t:orders}""",
 }
 NEEDS = {name: [v for v in VIEWS if re.search(rf"\b{v}\b", text) and v != name] for name, text in VIEWS.items()}
 
