@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills the registry."""
 
-from tidemark.plans import matching, measures, passes, registry  # noqa: F401
+from tidemark.plans import matching, measures, passes, registry, streams  # noqa: F401
