@@ -22,9 +22,9 @@ def prepared(streams: DataFrame, countries: list[str]) -> DataFrame:
     return with_keys(with_parts(streams, "name", countries))
 
 
-def stored(prepared_streams: DataFrame) -> DataFrame:
-    """Prepared streams written once, for the several joins that read them."""
-    return written(prepared_streams, "streams")
+def stored(d: DataFrame) -> DataFrame:
+    """Prepared streams or compiled lines, written once, so that joins do not take names apart again."""
+    return written(d, "names")
 
 
 def compiled(lines: DataFrame, countries: list[str]) -> DataFrame:

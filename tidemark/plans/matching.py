@@ -77,7 +77,7 @@ def normalize_names(streams):
 @query(["v_channel", "v_stream"], f"WITH {PARTS} SELECT channel_id, stream_id FROM v_channel c JOIN p ON p.p_name = c.name WHERE k <> 6")
 def match_alias(channels, streams):
     countries = _countries(streams)
-    lines = matching.compiled(channels.select("channel_id", F.lit("alias").alias("kind"), F.lit(0).alias("position"), F.initcap("name").alias("line")), countries)
+    lines = matching.stored(matching.compiled(channels.select("channel_id", F.lit("alias").alias("kind"), F.lit(0).alias("position"), F.initcap("name").alias("line")), countries))
     return matching.by_key(lines, matching.stored(matching.prepared(streams, countries))).select("channel_id", "stream_id")
 
 
@@ -86,7 +86,7 @@ def match_sections(channels, streams):
     """Aliases of the second word that require the first word as a section."""
     countries = _countries(streams)
     line = F.concat(F.lit("@"), F.element_at(F.split("name", " "), 1), F.lit(" "), F.element_at(F.split("name", " "), 2))
-    lines = matching.compiled(channels.select("channel_id", F.lit("alias").alias("kind"), F.lit(0).alias("position"), line.alias("line")), countries)
+    lines = matching.stored(matching.compiled(channels.select("channel_id", F.lit("alias").alias("kind"), F.lit(0).alias("position"), line.alias("line")), countries))
     return matching.by_section(lines, matching.stored(matching.prepared(streams, countries))).select("channel_id", "stream_id")
 
 
@@ -94,7 +94,7 @@ def match_sections(channels, streams):
 def match_contains(channels, streams):
     countries = _countries(streams)
     rules, lines = _rule_lines(channels)
-    needles = matching.compiled(lines.filter("kind = 'contains'"), countries)
+    needles = matching.stored(matching.compiled(lines.filter("kind = 'contains'"), countries))
     return matching.by_needle(needles, matching.stored(matching.prepared(streams, countries))).select("channel_id", "stream_id")
 
 
