@@ -62,6 +62,17 @@ VIEWS = {
  CASE o_orderkey % 10 WHEN 0 THEN '' WHEN 1 THEN 'spawn failed: ENOENT' WHEN 2 THEN 'refusing a url' WHEN 3 THEN 'Protocol not found' WHEN 4 THEN 'Server returned 403 Forbidden (not found)' WHEN 5 THEN 'HTTP error 404 Not Found'
   WHEN 6 THEN '502 Bad Gateway' WHEN 7 THEN 'Connection timed out' WHEN 8 THEN 'Connection refused' ELSE 'failed at 2024 something' END AS error,
  concat('http://old', CAST(o_orderkey % 3 AS VARCHAR(8)), '.example/live/user/pass/', CAST(o_orderkey AS VARCHAR(20)), '.ts') AS url FROM {t:orders}""",
+    "v_url": "SELECT stream_id, provider_id, concat('http://h', CAST(provider_id % 3 AS VARCHAR(8)), '.example/live/user/pass/', CAST(stream_id AS VARCHAR(20)), '.ts') AS url FROM v_stream",
+    "v_account": "SELECT provider_id, CASE WHEN provider_id % 7 = 0 THEN 'XC' ELSE 'STD' END AS account_type, max_streams FROM v_provider",
+    "v_profile": " UNION ALL ".join(
+        f"""SELECT provider_id, provider_id * 10 + {i} AS profile_id, {i} AS ord, 'login{i}' AS name, (provider_id % 4 = {i}) AS is_default, (provider_id % 5 > 0 AND (provider_id + {i}) % 6 <> 0) AS is_active,
+ CASE WHEN provider_id % 3 = {i} THEN 0 ELSE 1 + (provider_id + {i}) % 3 END AS max_streams, provider_id * {i} % 3 AS viewers, {search} AS search, {replace} AS replace FROM v_provider"""
+        for i, search, replace in [
+            (0, "'^(http://[^/]+)/live/[^/]+/[^/]+/(.*)$'", "'$1/live/u0/p0/$2'"),
+            (1, "'^(?P<host>http://[^/]+)/live/[^/]+/[^/]+/'", "concat(chr(92), 'g<host>/live/u1/p$$/')"),
+            (2, "CASE WHEN provider_id % 2 = 0 THEN '' ELSE '/user/pass/' END", "CASE WHEN provider_id % 3 = 0 THEN '/u0/p0/' ELSE '/u2/p2/' END"),
+        ]
+    ),
 }
 NEEDS = {name: [v for v in VIEWS if re.search(rf"\b{v}\b", text) and v != name] for name, text in VIEWS.items()}
 
