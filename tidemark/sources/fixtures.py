@@ -73,6 +73,20 @@ VIEWS = {
             (2, "CASE WHEN provider_id % 2 = 0 THEN '' ELSE '/user/pass/' END", "CASE WHEN provider_id % 3 = 0 THEN '/u0/p0/' ELSE '/u2/p2/' END"),
         ]
     ),
+    "v_raw_channel": """SELECT concat('{"id":', CAST(provider_id AS VARCHAR(20)), ',"uuid":"00-', CAST(provider_id AS VARCHAR(20)), '","name":"', provider_name, '"', CASE provider_id % 3 WHEN 0 THEN ',"effective_name":"Seen"' WHEN 1 THEN ',"effective_name":""' ELSE '' END,
+ CASE provider_id % 4 WHEN 0 THEN '' ELSE ',"tvg_id":"t1"' END, CASE provider_id % 5 WHEN 0 THEN ',"effective_channel_group_id":7' WHEN 1 THEN ',"channel_group_id":8,"effective_channel_group_id":null' ELSE '' END, CASE WHEN provider_id % 2 = 0 THEN ',"streams":[3,1,2]' ELSE '' END, '}') AS body FROM v_provider""",
+    "v_raw_stream": """SELECT concat('{"id":', CAST(stream_id AS VARCHAR(20)), CASE stream_id % 5 WHEN 0 THEN '' WHEN 1 THEN ',"url":""' ELSE ',"url":"http://s/x"' END, CASE WHEN stream_id % 2 = 0 THEN ',"name":"n","stream_hash":"h"' ELSE '' END,
+ CASE stream_id % 3 WHEN 0 THEN ',"m3u_account":null' ELSE ',"m3u_account":4,"current_viewers":2,"channel_group":9' END, '}') AS body FROM v_stream""",
+    "v_raw_provider": """SELECT concat('{"id":', CAST(provider_id AS VARCHAR(20)), ',"max_streams":', CASE provider_id % 3 WHEN 0 THEN 'null' WHEN 1 THEN '0' ELSE '6' END, CASE provider_id % 4 WHEN 0 THEN ',"is_active":false' WHEN 1 THEN ',"is_active":true,"name":"P"' ELSE ',"name":""' END,
+ ',"profiles":[{"id":1,"name":"a","is_default":true,"max_streams":0},{"id":2,"is_active":false,"current_viewers":3,"search_pattern":"x","replace_pattern":"y","max_streams":2}]}') AS body FROM v_provider""",
+    "v_raw_grid": """SELECT event_id, concat(CASE WHEN event_id % 2 = 0 THEN '{"data":' ELSE '' END, '[{"id":', CAST(event_id AS VARCHAR(20)), ',"tvg_id":"t', CAST(event_id AS VARCHAR(20)), '","start_time":"2024-01-01T10:', lpad(CAST(event_id % 60 AS VARCHAR(8)), 2, '0'), ':00Z","end_time":"2024-01-01T11:00:00Z","title":"a","is_live":true,"more":{"x":1}},
+ {"id":"dummy-custom-1-2","tvg_id":"d","start_time":"2024-01-01T10:00:00Z","end_time":"2024-01-01T14:00:00Z","title":"filler"},{"id":"odd","tvg_id":"t', CAST(event_id AS VARCHAR(20)), '","start_time":"never","title":"b"}]', CASE WHEN event_id % 2 = 0 THEN '}' ELSE '' END) AS body FROM {t:events}""",
+    "v_uuid": "SELECT concat('00-', CAST(provider_id AS VARCHAR(20))) AS uuid, provider_id AS channel_id FROM v_provider",
+    "v_raw_status": """SELECT concat('{"count":', CAST(provider_id % 3 AS VARCHAR(20)), ',"channels":[', CASE provider_id % 3 WHEN 0 THEN '' ELSE concat(CAST(provider_id AS VARCHAR(20)), ',"', CAST(provider_id * 10 AS VARCHAR(20)), '","00-', CAST(provider_id AS VARCHAR(20)),
+ '","00-none",{"channel_id":"00-none","id":"00-', CAST(provider_id AS VARCHAR(20)), '","m3u_profile_id":"7"},{"channel":', CAST(provider_id * 100 AS VARCHAR(20)), ',"m3u_profile_id":8},{"m3u_profile_id":9},null') END, ']}') AS body FROM v_provider""",
+    "v_raw_rules": """SELECT concat('{"channels":[{"channel_id":', CAST(channel_id AS VARCHAR(20)), CASE channel_id % 4 WHEN 0 THEN ',"enabled":false,"aliases":["a"]' WHEN 1 THEN ',"aliases":["a","b"],"exclude_regions":["au"]' WHEN 2 THEN ',"contains":["c"],"providers":"[3,1,3]"' ELSE ',"providers":[2]' END,
+ ',"patterns":[{"pattern":"', CASE channel_id % 3 WHEN 0 THEN '(' WHEN 1 THEN '^x' ELSE '' END, '","step_order":4,"m3u_accounts":"null"},{"pattern":"[a"}]}],"groups":{"', CAST(channel_id AS VARCHAR(20)), '":', CASE channel_id % 4 WHEN 0 THEN '"never"' WHEN 1 THEN '"odd"' WHEN 2 THEN '{"mode":"assigned","grace_minutes":9,"require_live":"off","audioOnly":1}' ELSE 'null' END,
+ ',"x":"never"},"group_patterns":[{"pattern":" "},{"pattern":" Auto* ","mode":"never","measure_only":true},{"pattern":"B","mode":"odd","require_live":0}]}') AS body FROM v_channel""",
 }
 NEEDS = {name: [v for v in VIEWS if re.search(rf"\b{v}\b", text) and v != name] for name, text in VIEWS.items()}
 
