@@ -45,3 +45,37 @@ def catalogue(assigned: DataFrame, streams: DataFrame, providers: DataFrame) ->
     d = assigned.withColumn("slot", F.col("ord") - 1).join(streams.select("stream_id", "provider_id"), "stream_id")
     d = d.join(providers.select("provider_id", "provider_name"), "provider_id", "left")
     return d.select("channel_id", "slot", "stream_id", "provider_id", F.coalesce("provider_name", F.col("provider_id").cast("string")).alias("provider_name"))
+
+
+def applied(sent: DataFrame, assigned: DataFrame, remove: bool = False) -> DataFrame:
+    """An order as it was sent, then, unless `remove`, what its channel has besides. Channels without a sent order keep theirs."""
+    rows = sent.select("channel_id", "stream_id", "ord", F.lit(0).alias("part"))
+    rest = assigned.join(sent.select("channel_id", "stream_id").distinct(), ["channel_id", "stream_id"], "left_anti")
+    if remove:
+        rest = rest.join(sent.select("channel_id").distinct(), "channel_id", "left_anti")
+    rows = rows.unionByName(rest.select("channel_id", "stream_id", "ord", F.lit(1).alias("part")))
+    at = F.row_number().over(Window.partitionBy("channel_id").orderBy("part", "ord"))
+    return rows.select("channel_id", at.cast("bigint").alias("position"), "stream_id")
+
+
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """channel_id of the orders (channel_id, position, stream_id) that are not the same, place by place."""
+    b = before.select("channel_id", "position", F.col("stream_id").alias("was"))
+    d = b.join(after.select("channel_id", "position", "stream_id"), ["channel_id", "position"], "full")
+    return d.filter(~F.col("was").eqNullSafe(F.col("stream_id"))).select("channel_id").distinct()
+
+
+def unassigned(assigned: DataFrame, taken: DataFrame) -> DataFrame:
+    """Assigned streams without any occurrence of the pairs that were taken off."""
+    return assigned.join(taken.select("channel_id", "stream_id").distinct(), ["channel_id", "stream_id"], "left_anti")
+
+
+def blocked(blocks: DataFrame, taken: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Blocks with those of the taken pairs that were assigned; a pair that is blocked already keeps its instant."""
+    real = taken.join(assigned.select("channel_id", "stream_id").distinct(), ["channel_id", "stream_id"], "left_semi")
+    return blocks.unionByName(real.select(blocks.columns)).groupBy("channel_id", "stream_id").agg(F.min("blocked_at").alias("blocked_at"))
+
+
+def assignable(usable: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Usable streams of channels that are not blocked there."""
+    return usable.join(blocks.select("channel_id", "stream_id"), ["channel_id", "stream_id"], "left_anti")

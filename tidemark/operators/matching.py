@@ -133,12 +133,30 @@ def matched(rules: DataFrame, lines: DataFrame, patterns: list, streams: DataFra
     return best.groupBy("channel_id", "stream_id").agg(F.min("step").alias("step"))
 
 
+def having(streams: DataFrame, needle: str) -> DataFrame:
+    """Prepared streams with the needle in their key (as a key) or in their raw name."""
+    return streams.filter(F.contains("key", match_key(F.lit(needle))) | F.contains(F.lower("name"), F.lit(needle.lower())))
+
+
+def search_sections(streams: DataFrame, needle: str, most: int = 8) -> DataFrame:
+    """For each key found: its most frequent prefixes and sections (a report with a top-k), as key, kind, name, streams, place.
+
+    A stream's section is the first word of its first prefix, or of its name without one.
+    """
+    section = F.get(words(F.coalesce(F.get("prefixes", F.lit(0)), F.col("clean"))), F.lit(0))
+    said = [F.transform("prefixes", lambda p: F.struct(F.lit("prefix").alias("kind"), p.alias("name"))), F.array(F.struct(F.lit("section").alias("kind"), section.alias("name")))]
+    d = having(streams, needle).select("key", F.explode(F.concat(*said)).alias("r")).select("key", "r.*").filter(F.coalesce("name", F.lit("")) != "")
+    d = d.groupBy("key", "kind", "name").agg(F.count(F.lit(1)).alias("streams"))
+    place = F.row_number().over(Window.partitionBy("key", "kind").orderBy(F.desc("streams"), "name"))
+    return d.withColumn("place", place).filter(F.col("place") <= most)
+
+
 def search(streams: DataFrame, needle: str) -> DataFrame:
     """Prepared streams whose name has the needle, by key: how many, their providers, three samples and sections.
 
     Samples are the names of the three smallest ids, taken with a window before grouping; no list of a key's streams is built.
     """
-    d = streams.filter(F.contains(F.lower("name"), F.lit(needle.lower()))).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("stream_id")))
+    d = having(streams, needle).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("stream_id")))
     out = d.groupBy("key").agg(
         F.count(F.lit(1)).alias("streams"), F.array_join(F.array_sort(F.collect_set(F.col("provider_id").cast("string"))), ",").alias("providers"),
         F.max(F.when(F.col("n") == 1, F.col("name"))).alias("sample_1"), F.max(F.when(F.col("n") == 2, F.col("name"))).alias("sample_2"), F.max(F.when(F.col("n") == 3, F.col("name"))).alias("sample_3"),

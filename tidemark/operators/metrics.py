@@ -49,6 +49,18 @@ def rank1(catalogue: DataFrame, best: DataFrame) -> DataFrame:
     return d.groupBy("provider_id").agg(F.count(F.lit(1)).alias("channels"), F.count_if(F.coalesce("usable", F.lit(False))).alias("healthy"))
 
 
+def run_families(history: DataFrame, phases: list[str], phase: str) -> DataFrame:
+    """(family, label, value): lifetime totals, the last run, and one row a phase, 1 on the one that is active."""
+    last = F.struct("started_at", "run_id")
+    totals = history.agg(
+        F.count(F.lit(1)).alias("runs_total"), F.count("error").alias("runs_failed_total"), *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(f"{c}_total") for c in ("probed", "dead", "reordered")],
+        F.floor(F.max("started_at") / 1000 + 0.5).cast("bigint").alias("last_run_start_seconds"), F.max_by(F.col("error").isNotNull().cast("bigint"), last).alias("last_run_failed"),
+    )
+    rows = totals.unpivot([], totals.columns, "family", "value").filter(F.col("value").isNotNull()).select("family", F.lit("").alias("label"), "value")
+    hot = [F.struct(F.lit("run_phase").alias("family"), F.lit(p).alias("label"), F.lit(int(p == phase)).cast("bigint").alias("value")) for p in phases]
+    return rows.unionByName(history.sparkSession.range(1).select(F.explode(F.array(*hot)).alias("r")).select("r.*"))
+
+
 def exposition(samples: DataFrame, family: str, kind: str, text: str, labels: list[str], value: str) -> DataFrame:
     """Lines of one family: (family, line_no, line); heads first, then one a sample with escaped labels. Infinite and missing values are left out."""
     escape = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c.cast("string"), r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import verdict_ttl, video_usable
+from tidemark.functions.scalars import audio_score, audio_term, verdict_ttl, video_usable
 
 KEY = ["stream_id", "stream_hash", "variant_id"]
 ORDER = ["probed_at", "l_orderkey", "l_linenumber", "tie"]
@@ -44,7 +44,7 @@ def scored(v: DataFrame, floor_kbps: int = 500, weights: tuple[float, ...] = (0.
     share = lambda c, most: F.least(F.col(c) / F.lit(float(most)), F.lit(1.0))
     best, other = ("hevc", "h264") if prefer_h265 else ("h264", "hevc")
     codec = F.when(F.col("video_codec") == best, 1.0).when(F.col("video_codec") == other, 0.5).otherwise(0.25)
-    audio = share("audio_channels", 6) * 0.75
+    audio = audio_term(F.col("audio_channels"), F.col("audio_bitrate_kbps") if "audio_bitrate_kbps" in v.columns else F.lit(0))
     terms = [share("height", 2160), share("bitrate_kbps", 12000), share("fps", 60), codec, audio]
     total = sum((t * F.lit(w) for t, w in zip(terms[1:], weights[1:], strict=True)), terms[0] * F.lit(weights[0])) / F.lit(sum(weights))
     usable = video_usable(F.col("alive"), F.col("black"), F.col("bitrate_kbps"), floor_kbps)
@@ -52,6 +52,14 @@ def scored(v: DataFrame, floor_kbps: int = 500, weights: tuple[float, ...] = (0.
     return v.withColumn("usable", usable).withColumn("score", score)
 
 
+def audio_scored(v: DataFrame) -> DataFrame:
+    """Verdicts of streams that are sound alone, with usable and score; any sign of sound makes one usable."""
+    sound = (F.col("audio_bitrate_kbps") > 0) | (F.col("bitrate_kbps") > 0) | (F.col("audio_channels") > 0)
+    usable = F.col("alive") & ~F.col("black") & sound
+    score = audio_score(*[F.col(c) for c in ("audio_channels", "audio_bitrate_kbps", "bitrate_kbps", "audio_sample_rate", "audio_codec")])
+    return v.withColumn("usable", usable).withColumn("score", F.when(usable, score).otherwise(F.lit(0.0)))
+
+
 def best_of_stream(v: DataFrame) -> DataFrame:
     """The best verdict of each stream: usable, measured, score, then the smallest variant."""
     keys = [F.desc("usable"), F.desc(F.col("bitrate_kbps") > 0), F.desc("score"), "variant_id", "stream_hash"]

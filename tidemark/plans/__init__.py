@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills the registry."""
 
-from tidemark.plans import documents, lanes, listings, matching, measures, passes, registry, streams  # noqa: F401
+from tidemark.plans import documents, kept, lanes, listings, matching, measures, passes, registry, streams  # noqa: F401

@@ -50,9 +50,9 @@ VIEWS = {
  FROM (SELECT DISTINCT user_id FROM {t:events}) e JOIN v_group g ON g.group_id = e.user_id % 25""",
     "v_job": """SELECT DISTINCT l_suppkey AS channel_id, l_partkey AS stream_id, concat('h', CAST(l_partkey % 2 AS VARCHAR(8))) AS stream_hash, l_linenumber % 3 AS variant_id,
  l_partkey % (SELECT count(*) FROM {t:supplier}) AS provider_id FROM {t:lineitem}""",
-    "v_assigned": """SELECT o.o_custkey AS channel_id, l.l_partkey AS stream_id, row_number() OVER (PARTITION BY o.o_custkey ORDER BY l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey) AS ord
+    "v_assigned": """SELECT o.o_custkey AS channel_id, l.l_partkey AS stream_id, CAST(row_number() OVER (PARTITION BY o.o_custkey ORDER BY l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey) AS BIGINT) AS ord
  FROM {t:lineitem} l JOIN {t:orders} o ON o.o_orderkey = l.l_orderkey WHERE l.l_linenumber <= 2""",
-    "v_ranked": """SELECT channel_id, stream_id, row_number() OVER (PARTITION BY channel_id ORDER BY price DESC, stream_id) AS ord FROM (
+    "v_ranked": """SELECT channel_id, stream_id, CAST(row_number() OVER (PARTITION BY channel_id ORDER BY price DESC, stream_id) AS BIGINT) AS ord FROM (
   SELECT o.o_custkey AS channel_id, l.l_partkey AS stream_id, max(l.l_extendedprice) AS price
   FROM {t:lineitem} l JOIN {t:orders} o ON o.o_orderkey = l.l_orderkey WHERE l.l_linenumber >= 2 GROUP BY o.o_custkey, l.l_partkey) x""",
     "v_probe": """SELECT o_orderkey AS probe_id, CASE o_orderkey % 6 WHEN 0 THEN '25/1' WHEN 1 THEN '30000/1001' WHEN 2 THEN '0/0' WHEN 3 THEN 'bad' WHEN 4 THEN '50' ELSE '1/0' END AS rate,

@@ -59,3 +59,15 @@ def dead_streaks(stream: DataFrame, key: str, alive: Column, order: list[str]) -
     since = F.max(F.when(F.col("any_alive"), F.col("batch"))).over(Window.partitionBy(key))
     d = parts.withColumn("since", F.coalesce(since, F.lit(-1)))
     return d.groupBy(key).agg(F.sum(F.when(F.col("batch") >= F.col("since"), F.col("trailing")).otherwise(0)).alias("dead_streak"))
+
+
+def settled(stream: DataFrame, key: str, expected: DataFrame) -> DataFrame:
+    """Keys of `expected` (key, parts) with the parts that landed and the batch in which the last did; null where some never did.
+
+    A batch leaves one row a key, so what is kept grows with keys and batches, not with parts.
+    """
+    parts = run_available(stream, "settled", lambda batch: batch.groupBy(key).agg(F.count(F.lit(1)).alias("landed")))
+    so_far = F.sum("landed").over(Window.partitionBy(key).orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))
+    d = expected.join(parts.withColumn("so_far", so_far), key, "left").groupBy(key, "parts")
+    done = F.min(F.when(F.col("so_far") >= F.col("parts"), F.col("batch"))).cast("bigint")
+    return d.agg(F.coalesce(F.sum("landed"), F.lit(0)).alias("landed"), done.alias("settled_in"))
