@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
-from tidemark.sources import rules, upstream
+from tidemark.sources import legacy, rules, upstream
 
 
 @query(
@@ -105,3 +105,22 @@ def group_patterns_parse(bodies):
 @query(["v_group"], "SELECT group_id, ['Brand#1*', 'b', 'c d'] AS globs FROM v_group")
 def globs_split(groups):
     return groups.select("group_id", rules.globs(F.lit(" Brand#1*,,b \n c d,")).alias("globs"))
+
+
+@query(
+    ["v_raw_legacy"],
+    """SELECT channel_id, name, channel_id % 6 <> 2 AS enabled, CASE channel_id % 6 WHEN 0 THEN ['HBO East', 'HBO West'] WHEN 1 THEN ['Cub[4K]'] WHEN 4 THEN ['Plain'] ELSE [] END AS aliases, CASE channel_id % 6 WHEN 4 THEN [1, 2]::BIGINT[] END AS providers,
+ CASE channel_id % 6 WHEN 1 THEN ['AU', 'NZ'] ELSE [] END AS exclude_regions, CASE channel_id % 6 WHEN 2 THEN ['a(b|c)'] WHEN 3 THEN ['[A-Z]x', 'Plain'] ELSE [] END AS kept, channel_id % 6 = 1 AS timeshift, false AS radio,
+ CASE channel_id % 6 WHEN 5 THEN 0 WHEN 3 THEN 2 ELSE 1 END::BIGINT AS patterns FROM v_channel""",
+)
+def legacy_convert(bodies):
+    return legacy.converted(legacy.patterns(bodies))
+
+
+@query(
+    ["v_raw_legacy"],
+    """SELECT count(*) AS channels, count(*) FILTER (channel_id % 6 IN (0, 1, 4)) AS converted, count(*) FILTER (channel_id % 6 IN (2, 3)) AS kept_regex, CAST(sum(CASE channel_id % 6 WHEN 5 THEN 0 WHEN 3 THEN 2 ELSE 1 END) AS BIGINT) AS patterns,
+ true AS exclude_timeshift, false AS exclude_radio FROM v_channel""",
+)
+def legacy_totals(bodies):
+    return legacy.totals(legacy.converted(legacy.patterns(bodies)))

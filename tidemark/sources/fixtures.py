@@ -87,6 +87,9 @@ VIEWS = {
     "v_raw_rules": """SELECT concat('{"channels":[{"channel_id":', CAST(channel_id AS VARCHAR(20)), CASE channel_id % 4 WHEN 0 THEN ',"enabled":false,"aliases":["a"]' WHEN 1 THEN ',"aliases":["a","b"],"exclude_regions":["au"]' WHEN 2 THEN ',"contains":["c"],"providers":"[3,1,3]"' ELSE ',"providers":[2]' END,
  ',"patterns":[{"pattern":"', CASE channel_id % 3 WHEN 0 THEN '(' WHEN 1 THEN '^x' ELSE '' END, '","step_order":4,"m3u_accounts":"null"},{"pattern":"[a"}]}],"groups":{"', CAST(channel_id AS VARCHAR(20)), '":', CASE channel_id % 4 WHEN 0 THEN '"never"' WHEN 1 THEN '"odd"' WHEN 2 THEN '{"mode":"assigned","grace_minutes":9,"require_live":"off","audioOnly":1}' ELSE 'null' END,
  ',"x":"never"},"group_patterns":[{"pattern":" "},{"pattern":" Auto* ","mode":"never","measure_only":true},{"pattern":"B","mode":"odd","require_live":0}]}') AS body FROM v_channel""",
+    "v_raw_legacy": """SELECT replace(concat('{"channels":[{"channel_id":"', CAST(channel_id AS VARCHAR(20)), '","name":"', name, '"', CASE channel_id % 6 WHEN 0 THEN ',"patterns":[{"pattern":"(?i)^(?:HBO~s+East|hbo-east|HBO West)~s*$"}]'
+  WHEN 1 THEN ',"patterns":[{"pattern":"(?i)^(?!~s*(?:AU|nz)~s*(?:[:|]|~s))(?!.*~+~s*1(?![0-9]))Cub~[4K~]$"}]' WHEN 2 THEN ',"enabled":false,"patterns":[{"pattern":"a(b|c)"}]'
+  WHEN 3 THEN ',"patterns":[{"pattern":"[A-Z]x"},{"pattern":"Plain","m3u_accounts":"[2,1]"}]' WHEN 4 THEN ',"patterns":[{"pattern":"Plain","m3u_accounts":[2,1]}]' ELSE '' END, '}]}'), '~', concat(chr(92), chr(92))) AS body FROM v_channel""",
 }
 NEEDS = {name: [v for v in VIEWS if re.search(rf"\b{v}\b", text) and v != name] for name, text in VIEWS.items()}
 
