@@ -17,11 +17,11 @@ from tidemark.llm.common import cut
 SMALL = 64
 
 
-def fingerprint(raw: bytes, words: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text's bytes: a bit is 1 if it is set in over half of the shingles' XXH64."""
+def shingle_hashes(raw: bytes, words: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of `words` words in a text's bytes; fewer words are one shingle, no words none."""
     tokens = raw.lower().split()  # bytes.lower() and bytes.split() know ASCII only
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     size = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(size + 1) - 1
@@ -29,7 +29,13 @@ def fingerprint(raw: bytes, words: int = 3, seed: int = 42) -> int:
     n = max(1, len(tokens) - words + 1)
     a, b = begins[:n].tolist(), (ends[words - 1 :] if len(tokens) >= words else ends[-1:]).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(joined[i:j], seed) for i, j in zip(a, b, strict=True)], np.uint64, n)
+    return np.fromiter([digest(joined[i:j], seed) for i, j in zip(a, b, strict=True)], np.uint64, n)
+
+
+def fingerprint(raw: bytes, words: int = 3, seed: int = 42) -> int:
+    """The SimHash of a text's bytes: a bit is 1 if it is set in over half of the shingles' XXH64."""
+    h = shingle_hashes(raw, words, seed)
+    n = len(h)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 15):
         part = h[at : at + (1 << 15)]
