@@ -327,3 +327,21 @@ def test_tree_shares_turns_and_positions():
             up = nodes[up]["parent"]
         assert "".join(text[a:b] for a, b in nodes[k]["attends"]) == "".join(text[n["begin"] : n["end"]] for n in reversed(chain))
         assert nodes[k]["position"] == sum(n["end"] - n["begin"] for n in chain[1:])
+
+
+def test_substring_dedup_tells_windows_apart_by_all_bits():
+    from tidemark.llm import substring_dedup
+
+    def row(whole):
+        combiner = substring_dedup.Combiner()
+        at = np.zeros(1, np.int64)
+        combiner.add(1 + (whole & 1), 0, (np.array([77], np.uint64), at, at, at + 1, np.array([whole], np.uint64)))
+        return combiner.flush()
+
+    import pyarrow as pa
+
+    met = pa.Table.from_batches([row(5 << 32 | 2), row(5 << 32 | 3)]).combine_chunks().to_batches()[0]
+    assert not len(substring_dedup.Extender().take(met)[0])  # equal in the upper 32 bits only
+    met = pa.Table.from_batches([row(5 << 32 | 2), row(5 << 32 | 2)]).combine_chunks().to_batches()[0]
+    met = met.set_column(1, "doc", pa.array([1, 2]))
+    assert substring_dedup.Extender().take(met)[0].tolist() == [2]

@@ -65,7 +65,7 @@ class Combiner:
     def add(self, doc: int, tag: int, found: tuple[np.ndarray, ...]) -> None:
         key, run, first, count, whole = found
         same = join_hashes(key ^ first.astype(U), np.add.reduceat(join_hashes(whole, whole), run))
-        self.parts.append((key, np.full(len(key), doc), pack(run, first, tag), count, same, (whole >> U(32)).astype("<u4")))
+        self.parts.append((key, np.full(len(key), doc), pack(run, first, tag), count, same, whole))
         self.rows += len(key)
 
     def flush(self) -> pa.RecordBatch:
@@ -91,7 +91,7 @@ class Combiner:
         # a settled row goes on without checks, under a key of its document, away from hot keys
         own = doc.astype(U)
         key = np.where(settled, join_hashes(own, own), key)
-        ends = np.concatenate([[0], np.cumsum(np.where(settled, 0, count * 4))]).astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(np.where(settled, 0, count * 8))]).astype(np.int32)
         binary = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
         packed = pos | (np.where(settled, count, 0).astype(np.int64) << 32)
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(packed), binary], ["key", "doc", "pos", "checks"])
@@ -115,8 +115,8 @@ class Extender:
         _, settled, first, _ = unpack(pos)
         offsets = np.frombuffer(batch.column(3).buffers()[1], np.int32)[batch.column(3).offset :][: len(key) + 1].astype(np.int64)
         data = batch.column(3).buffers()[2]
-        checks = np.frombuffer(data, "<u4")[offsets[0] // 4 : offsets[-1] // 4].astype(U) if data is not None else np.zeros(0, U)
-        count = np.diff(offsets) // 4
+        checks = np.frombuffer(data, "<u8")[offsets[0] // 8 : offsets[-1] // 8] if data is not None else np.zeros(0, U)
+        count = np.diff(offsets) // 8
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(begin, append=len(key))
         several = doc[begin] != doc[begin + size - 1]
@@ -175,7 +175,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 13, id_col: str = "doc_i
     Level 1: windows of half the length (7 of 13 words), thinned to the minimizers of the whole windows, meet by hash;
     those of one document end there. Level 2: the repeated ones are extended to twice
     the length less the overlap, which is the whole window, and compared by a further hash. A window is thus matched on
-    64 bits of its half and 32 of the whole. Longer passages are unions of windows, so no further level is needed.
+    64 bits of its half and 64 of the whole. Longer passages are unions of windows, so no further level is needed.
     A task first combines equal runs of its own documents, so that a hot passage is sent on once for many documents.
     """
     if not 1 <= min_words <= 100:
