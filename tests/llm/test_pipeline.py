@@ -70,3 +70,12 @@ def test_near_copies_at_08_go(spark):
     assert sorted(r.doc_id for r in kept) == sorted(min(i for i, _ in part) for part in parts.values())
     assert len(kept) == len(parts)
     assert near_copies(docs.limit(0)).count() == 0
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    words = lambda k: [f"w{k}x{n}" for n in range(80)]
+    text = lambda k, last="": " ".join(words(k)[:79] + [last or f"w{k}x79"])
+    pairs = [(1, text(0)), (5, text(0, "a")), (5, text(1)), (2, text(2)), (2, text(2, "b")), (None, text(3)), (None, text(3, "c")), (None, text(2, "d")), (5, text(1))]
+    docs = documents(spark, pairs)
+    kept = sorted((r.doc_id or 0, r.text[:2], r.text) for r in keep_one(docs, near_copies(docs)).collect())
+    assert [x[:2] for x in kept] == [(0, "w3"), (1, "w0"), (2, "w2"), (5, "w1")] and kept[3][2] == text(1)

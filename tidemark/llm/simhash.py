@@ -264,9 +264,3 @@ def simhash_components(
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.join(ids, "root").select("fingerprint", "component_id")
     return rows.join(by_print, "fingerprint").select(id_col, "fingerprint", "component_id")
-
-
-def keep_smallest(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that are the smallest id of their component, with all columns; documents without an id stay."""
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
