@@ -55,7 +55,7 @@ STAGES = [
     ("byte_bpe", token_stage),
 ]
 
-#: Language scores, edit distances and tokens are beyond SQL; tests hold the rows against a brute-force version.
+#: Language scores, edit distances and tokens are beyond SQL; tests hold the near-copy decisions, not yet the other rows, against a brute-force version.
 ORACLE_SQL = None
 
 
