@@ -329,19 +329,39 @@ def test_tree_shares_turns_and_positions():
         assert nodes[k]["position"] == sum(n["end"] - n["begin"] for n in chain[1:])
 
 
-def test_substring_dedup_tells_windows_apart_by_all_bits():
+def test_substring_dedup_tells_windows_apart_by_hash_and_check():
+    import pyarrow as pa
     from tidemark.llm import substring_dedup
 
-    def row(whole):
-        combiner = substring_dedup.Combiner()
-        at = np.zeros(1, np.int64)
-        combiner.add(1 + (whole & 1), 0, (np.array([77], np.uint64), at, at, at + 1, np.array([whole], np.uint64)))
+    def row(doc, key, check):
+        combiner = substring_dedup.Combiner(True)
+        combiner.add(doc, np.array([key], np.uint64), np.array([check], np.int32))
         return combiner.flush()
 
-    import pyarrow as pa
+    def gone(*rows):
+        met = pa.Table.from_batches([row(*r) for r in rows]).combine_chunks().to_batches()[0]
+        return substring_dedup.Comparer(True).take(met).column(0).to_pylist()
+
+    assert gone((1, 5 << 32, 7), (2, (5 << 32) + 1, 7)) == [] == gone((1, 5 << 32, 7), (2, 5 << 32, 8))
+    assert gone((1, 5 << 32, 7), (2, 5 << 32, 7)) == [2]
+
+
+def test_substring_dedup_holds_one_row_of_a_hot_window_over_batches():
+    from tidemark.llm import substring_dedup
+
+    comparer, found = substring_dedup.Comparer(False), []
+    for doc in range(50):  # each batch is one document with the same window
+        combiner = substring_dedup.Combiner(False)
+        combiner.add(doc, np.array([9], np.uint64), np.zeros(1, np.int32))
+        found += comparer.take(combiner.flush()).column(0).to_pylist()
+    assert sorted(found) == list(range(50)) and comparer.open[2] == 0
+
+
+def test_substring_dedup_levels(spark, corpus):
+    from tidemark.llm import substring_dedup
 
-    met = pa.Table.from_batches([row(5 << 32 | 2), row(5 << 32 | 3)]).combine_chunks().to_batches()[0]
-    assert not len(substring_dedup.Extender().take(met)[0])  # equal in the upper 32 bits only
-    met = pa.Table.from_batches([row(5 << 32 | 2), row(5 << 32 | 2)]).combine_chunks().to_batches()[0]
-    met = met.set_column(1, "doc", pa.array([1, 2]))
-    assert substring_dedup.Extender().take(met)[0].tolist() == [2]
+    assert [substring_dedup.window_lengths(n) for n in (5, 13, 50)] == [[5], [7, 13], [7, 13, 25, 50]]
+    found = remove_repeated(documents(spark, corpus), 30).collect()  # three levels
+    assert Counter(map(tuple, found)) == Counter(brute_removed(corpus, 30))
+    with pytest.raises(TypeError):
+        remove_repeated(documents(spark, corpus), id_col="id")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,11 +10,17 @@ import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 U = np.uint64
-#: Minimizers that a task combines at once, and rows that a reducer reads at once.
-CHUNK = 200_000
-LAST_ID = 2**63 - 1
+#: Windows of the first level hold so many words at most.
+FIRST_WORDS = 7
+#: Windows that a task compares at once before it sends them on.
+CHUNK = 400_000
+#: Bits of a hash that the levels before the last compare: they only choose candidates, so a chance hit costs a row and nothing else.
+FILTER = U(2**48 - 1)
+#: Rows without an id are told apart by numbers from here on; as owners of a passage they are all alike, and larger than any id.
+NULL_ID = 2**63 - 2**41
 
 
 def join_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -33,176 +38,186 @@ def double_to(h: np.ndarray, have: int, want: int) -> np.ndarray:
     return h
 
 
-def pack(at: np.ndarray, first: np.ndarray, tag: int) -> np.ndarray:
-    """Place of a run's first window, its distance to the minimizer and a tag of the text, as one long."""
-    return (np.int64(tag) << 44) | (first.astype(np.int64) << 38) | at
+def window_lengths(min_words: int) -> list[int]:
+    """Lengths of the levels: each twice the one before, less one where min_words asks for it; the last is min_words."""
+    lengths = [min_words]
+    while lengths[0] > FIRST_WORDS:
+        lengths.insert(0, (lengths[0] + 1) // 2)
+    return lengths
 
 
-def minimizer_rows(words: list[bytes], min_words: int) -> tuple[np.ndarray, ...] | None:
-    """(key, first window, distance to the minimizer, windows, hash of each window) of each run of windows that share a minimizer.
-
-    Windows of min_words words hold windows of half the length; the one of least hash stands
-    for all of them. Equal windows choose the same one, so a window can be repeated only if its half is.
-    """
-    n, half = len(words), (min_words + 1) // 2
-    if n < min_words:
-        return None
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, n)
-    low = double_to(h, 1, half)
-    whole = double_to(low, half, min_words)
-    at = sliding_window_view(low, min_words - half + 1).argmin(1) + np.arange(len(whole))
-    run = np.flatnonzero(np.diff(at, prepend=-1))
-    return low[at[run]], run, at[run] - run, np.diff(run, append=len(at)), whole
+def order(doc: np.ndarray) -> np.ndarray:
+    return np.minimum(doc, NULL_ID)
 
 
-class Combiner:
-    """Rows of many documents of one task: of equal runs only the smallest document's are sent on, the others are settled here."""
+class Document:
+    """Hashes of one text's windows at the lengths of the levels."""
 
-    def __init__(self):
-        self.parts: list[tuple] = []
-        self.rows = 0
+    def __init__(self, words: list[bytes], lengths: list[int]):
+        self.lengths = lengths
+        self.words = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
+        self.levels = [double_to(self.words, 1, lengths[0])]
+        for a, b in zip(lengths, lengths[1:], strict=False):
+            self.levels.append(double_to(self.levels[-1], a, b))
+        span = lengths[1] - lengths[0] + 1 if len(lengths) > 1 else 1
+        #: For each window of the second level, its first-level window of least hash: equal windows have equal ones.
+        self.least = sliding_window_view(self.levels[0], span).argmin(1) + np.arange(len(self.levels[1])) if span > 1 and len(self.levels[-1]) else None
 
-    def add(self, doc: int, tag: int, found: tuple[np.ndarray, ...]) -> None:
-        key, run, first, count, whole = found
-        same = join_hashes(key ^ first.astype(U), np.add.reduceat(join_hashes(whole, whole), run))
-        self.parts.append((key, np.full(len(key), doc), pack(run, first, tag), count, same, whole))
-        self.rows += len(key)
+    def candidates(self, level: int, repeated: np.ndarray | None) -> np.ndarray:
+        """Places of the windows of a level that may be repeated, given the repeated hashes of the level before."""
+        if level == 0:
+            return np.unique(self.least) if self.least is not None else np.arange(len(self.levels[0]))
+        before = np.isin(self.levels[level - 1] & FILTER, repeated)
+        if level == 1:
+            return np.flatnonzero(before[self.least])
+        n = len(self.levels[level])
+        return np.flatnonzero(before[:n] & before[self.lengths[level] - self.lengths[level - 1] :][:n])
 
-    def flush(self) -> pa.RecordBatch:
-        key, doc, pos, count, same, checks = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.rows = [], 0
-        order = np.lexsort((doc, same))
-        s, d = same[order], doc[order]
-        begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        least = np.repeat(d[begin], np.diff(begin, append=len(s)))
-        settled = np.zeros(len(key), bool)
-        settled[order] = d > least
-        sent = np.repeat(~settled, count)
-        data = checks[sent].tobytes()
-        # settled rows of neighbouring windows become one, of at most 62 windows
-        at, _, _, tag = unpack(pos)
-        follows = settled[1:] & settled[:-1] & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (at[1:] == at[:-1] + count[:-1])
-        begins = np.concatenate([[True], ~follows])
-        part = (at - at[begins][np.cumsum(begins) - 1]) // (63 - count.max())
-        begins[1:] |= part[1:] != part[:-1]
-        kept = np.flatnonzero(begins)
-        count = np.add.reduceat(count, kept)
-        key, doc, pos, settled = key[kept], doc[kept], pos[kept], settled[kept]
-        # a settled row goes on without checks, under a key of its document, away from hot keys
-        own = doc.astype(U)
-        key = np.where(settled, join_hashes(own, own), key)
-        ends = np.concatenate([[0], np.cumsum(np.where(settled, 0, count * 8))]).astype(np.int32)
-        binary = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-        packed = pos | (np.where(settled, count, 0).astype(np.int64) << 32)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(packed), binary], ["key", "doc", "pos", "checks"])
-
-
-def unpack(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, settled windows, distance to the minimizer, tag)."""
-    return pos & 0xFFFFFFFF, pos >> 32 & 63, pos >> 38 & 63, pos >> 44
-
-
-class Extender:
-    """Rows sorted by key and document: keys of several documents are extended to whole windows, and later documents lose theirs."""
-
-    def __init__(self):
-        self.key, self.seen, self.owner = None, np.zeros(0, U), np.zeros(0, np.int64)
-
-    def take(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, position, bits of the windows that go)."""
-        key, doc, pos = (batch.column(k).to_numpy() for k in range(3))
-        key = key.view(U)
-        _, settled, first, _ = unpack(pos)
-        offsets = np.frombuffer(batch.column(3).buffers()[1], np.int32)[batch.column(3).offset :][: len(key) + 1].astype(np.int64)
-        data = batch.column(3).buffers()[2]
-        checks = np.frombuffer(data, "<u8")[offsets[0] // 8 : offsets[-1] // 8] if data is not None else np.zeros(0, U)
-        count = np.diff(offsets) // 8
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(begin, append=len(key))
-        several = doc[begin] != doc[begin + size - 1]
-        open_ = key[-1]
-        if self.key is not None and key[0] == self.key and len(self.seen):
-            several[0] = True
-        several[-1] = True  # may go on in the next batch
-        wide = np.repeat(several, size)
-        row = np.repeat(np.arange(len(key)), count)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        use = wide[row]
-        row, within, check = row[use], within[use], checks[use]
-        window = join_hashes(key[row] ^ (first[row] - within).astype(U), check)
-        carried = self.seen if self.key is not None and key[0] == self.key else self.seen[:0]
-        all_windows = np.concatenate([carried, window])
-        all_docs = np.concatenate([self.owner[: len(carried)], doc[row]])
-        order = np.lexsort((all_docs, all_windows))
-        w, d = all_windows[order], all_docs[order]
-        new = np.concatenate([[True], w[1:] != w[:-1]]) if len(w) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        least = np.repeat(d[at], np.diff(at, append=len(w)))
-        gone = np.zeros(len(w), bool)
-        gone[order] = d > least
-        gone = gone[len(carried) :]
-        bits = np.zeros(len(key), np.int64)
-        np.bitwise_or.at(bits, row[gone], np.int64(1) << within[gone])
-        bits |= np.where(settled > 0, (np.int64(1) << settled) - 1, 0)
-        mine = np.zeros(len(all_windows), bool)
-        mine[: len(carried)] = key[0] == open_
-        mine[len(carried) :] = key[row] == open_
-        keep = mine[order[at]]
-        self.key, self.seen, self.owner = open_, w[at][keep], d[at][keep]
-        out = np.flatnonzero(bits)
-        return doc[out], pos[out], bits[out]
-
-
-def removed_words(n: int, pos: np.ndarray, bits: np.ndarray, tag: int, min_words: int) -> np.ndarray:
-    """Which of n words a removed window covers."""
-    place, _, _, tags = unpack(pos)
-    mark = np.zeros(n + 1, np.int64)
-    place, bits = place[tags == tag], bits[tags == tag]
-    for k in range(int(bits.max(initial=0)).bit_length()):
-        at = place[bits >> k & 1 == 1] + k
-        np.add.at(mark, at, 1)
-        np.add.at(mark, at + min_words, -1)
-    return np.cumsum(mark[:-1]) > 0
+    def windows(self, level: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, check) of windows of a level; the last one has all 64 bits, and 32 of a second hash independent of the first."""
+        hashes = self.levels[level][places]
+        if level < len(self.lengths) - 1:
+            return hashes & FILTER, np.zeros(len(places), np.int32)
+        second = double_to(self.words * U(0xA0761D6478BD642F) ^ U(0xE7037ED1A0B428DB), 1, self.lengths[-1])[places]
+        return hashes, (second >> U(32)).astype(np.uint32).view(np.int32)
 
 
-def text_tag(raw: bytes) -> int:
-    return zlib.crc32(raw) & 0x3FFFF
+class Combiner:
+    """Windows of many documents of one task: of equal ones the smallest document's is sent on, those of the others are settled here."""
 
+    def __init__(self, last: bool):
+        self.last = last
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
 
-def repeated_passages(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, pos, bits: runs of windows of min_words words that also start in a document with a smaller id.
+    def add(self, doc: int, key: np.ndarray, check: np.ndarray) -> None:
+        self.parts.append((key, check, np.full(len(key), doc)))
+        self.held += len(key)
 
-    Level 1: windows of half the length (7 of 13 words), thinned to the minimizers of the whole windows, meet by hash;
-    those of one document end there. Level 2: the repeated ones are extended to twice
-    the length less the overlap, which is the whole window, and compared by a further hash. A window is thus matched on
-    64 bits of its half and 64 of the whole. Longer passages are unions of windows, so no further level is needed.
-    A task first combines equal runs of its own documents, so that a hot passage is sent on once for many documents.
+    def flush(self) -> pa.RecordBatch:
+        key, check, doc = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.held = [], 0
+        by = np.lexsort((doc, check, key))
+        key, check, doc = key[by], check[by], doc[by]
+        same = (key[1:] == key[:-1]) & (check[1:] == check[:-1])
+        begin = np.flatnonzero(np.concatenate([[True], ~same]))
+        size = np.diff(begin, append=len(key))
+        owner = np.repeat(doc[begin], size)
+        settled = order(doc) > order(owner) if self.last else doc != owner
+        several = np.zeros(len(key), bool)
+        several[begin] = doc[begin] != doc[begin + size - 1]
+        sent = ~settled & np.concatenate([[True], ~(same & (doc[1:] == doc[:-1]))])
+        # settled windows go on as one row a document, under a key of that document, away from hot keys
+        done_doc, done_key = doc[settled], key[settled]
+        by = np.argsort(done_doc, kind="stable")
+        done_doc, done_key = done_doc[by], done_key[by]
+        at = np.flatnonzero(np.diff(done_doc, prepend=-1 - NULL_ID))
+        ends = np.append(at, len(done_key))
+        own, n = done_doc[at], int(sent.sum())
+        lists = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((ends * 8).astype(np.int32).tobytes()), pa.py_buffer(done_key.tobytes())])
+        columns = [
+            pa.array(np.concatenate([key[sent], join_hashes(own.astype(U), own.astype(U))]).view(np.int64)),
+            pa.array(np.concatenate([check[sent], np.zeros(len(at), np.int32)])),
+            pa.array(np.concatenate([doc[sent], own])),
+            pa.array(np.concatenate([several[sent], np.zeros(len(at), bool)])),
+            pa.concat_arrays([pa.nulls(n, pa.binary()), lists]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["key", "check", "doc", "several", "keys"])
+
+
+class Comparer:
+    """Windows sorted by hash and document, read as a stream: the documents whose window is repeated, or, at the last level, goes.
+
+    Only the first document of the open hash is held, however many share it.
     """
-    if not 1 <= min_words <= 100:
-        raise ValueError("min_words must lie between 1 and 100: the windows of a run are bits of a long")
-
-    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        combiner = Combiner()
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode()
-                found = minimizer_rows(raw.split(), min_words)
-                if found:
-                    combiner.add(doc, text_tag(raw), found)
-                if combiner.rows >= CHUNK:
-                    yield combiner.flush()
-        if combiner.rows:
-            yield combiner.flush()
-
-    def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extender = Extender()
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in extender.take(batch)], ["doc", "pos", "bits"])
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text_col).alias("text"))
-    sent = rows.mapInArrow(spread, "key bigint, doc bigint, pos bigint, checks binary")
-    return sent.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(extend, "doc bigint, pos bigint, bits bigint")
+    def __init__(self, last: bool):
+        self.last = last
+        self.open: tuple[int, int, int, bool] | None = None  # key, check, first document, repeated
+
+    def take(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, check, doc = (batch.column(k).to_numpy() for k in range(3))
+        several, passed = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1]) | passed[1:] | passed[:-1]])
+        group = np.cumsum(new) - 1
+        begin = np.flatnonzero(new)
+        first, held = doc[begin], []
+        repeated = np.logical_or.reduceat(several, begin) | (doc[np.append(begin[1:], len(doc)) - 1] != first)
+        if self.open and not passed[0] and self.open[:2] == (key[0], check[0]):
+            _, _, owner, known = self.open
+            repeated[0] |= known or owner != doc[0] or first[0] != owner
+            first[0] = owner
+            if repeated[0] and not known and not self.last:
+                held = [owner]
+        if self.last:
+            out = order(doc) > order(first[group])
+        else:
+            out = repeated[group]
+            if self.open and not held and not passed[0] and self.open[:2] == (key[0], check[0]) and not repeated[0]:
+                out[: begin[1] if len(begin) > 1 else len(doc)] = False
+        self.open = None if passed[-1] else (int(key[-1]), int(check[-1]), int(first[-1]), bool(repeated[-1]))
+        keep = np.flatnonzero(out | passed)
+        column = lambda k: batch.column(k).take(pa.array(keep))
+        lone = pa.array([key[0]] * len(held), pa.int64())
+        keys = pa.concat_arrays([pa.array(key[keep], pa.int64(), mask=passed[keep]), lone])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([column(2), pa.array(held, pa.int64())]), keys, pa.concat_arrays([column(4), pa.nulls(len(held), pa.binary())])], ["doc", "key", "keys"])
+
+
+def repeated_hashes(key: pa.Scalar, keys: pa.Scalar) -> np.ndarray:
+    """The hashes that a document was told of."""
+    lists = [np.frombuffer(x, U) for x in keys.as_py() or []]
+    return np.concatenate([key.values.to_numpy().view(U) if key.is_valid else np.zeros(0, U), *lists])
+
+
+def repeated_windows(rows: DataFrame, min_words: int) -> DataFrame:
+    """doc, key array<bigint>, keys array<binary>: the hashes of the windows of each document that go; rows: id, text, doc.
+
+    Level by level, windows of twice the length (13 words: 7, then 13) are formed where the shorter ones that they
+    are made of were repeated, and meet by hash in an exchange of their own, until none is left or min_words is reached; longer
+    passages are unions of such windows. First-level windows are thinned to those of least hash within a
+    window of the next level. The last level compares 96 bits. The texts are dealt out by document once; all joins reuse that exchange.
+    """
+    lengths = window_lengths(min_words)
+    known = None
+    for level in range(len(lengths)):
+        last = level == len(lengths) - 1
+
+        def spread(batches: Iterable[pa.RecordBatch], level=level, last=last) -> Iterator[pa.RecordBatch]:
+            combiner = Combiner(last)
+            for batch in batches:
+                for k, doc in enumerate(batch.column(2).to_pylist()):
+                    if level and not batch.column(3)[k].is_valid:
+                        continue  # nothing of this document was repeated
+                    words = (batch.column(1)[k].as_py() or "").encode().split()
+                    if len(words) < min_words:
+                        continue
+                    document = Document(words, lengths)
+                    places = document.candidates(level, repeated_hashes(batch.column(3)[k], batch.column(4)[k]) if level else None)
+                    combiner.add(doc, *document.windows(level, places))
+                    if combiner.held >= CHUNK:
+                        yield combiner.flush()
+            if combiner.held:
+                yield combiner.flush()
+
+        def compare(batches: Iterable[pa.RecordBatch], last=last) -> Iterator[pa.RecordBatch]:
+            comparer = Comparer(last)
+            for batch in batches:
+                if batch.num_rows:
+                    yield comparer.take(batch)
+
+        source = rows.select("id", "text", "doc") if known is None else rows.join(known, "doc", "left").select("id", "text", "doc", "key", "keys")
+        sent = source.mapInArrow(spread, "key bigint, check int, doc bigint, several boolean, keys binary")
+        met = sent.repartition("key").sortWithinPartitions("key", "check", "doc").mapInArrow(compare, "doc bigint, key bigint, keys binary")
+        known = met.groupBy("doc").agg(F.collect_list("key").alias("key"), F.collect_list("keys").alias("keys"))
+    return known
+
+
+def covered(n: int, places: np.ndarray, min_words: int) -> np.ndarray:
+    """Which of n words the windows at some places cover."""
+    mark = np.zeros(n + 1, np.int64)
+    np.add.at(mark, places, 1)
+    np.add.at(mark, places + min_words, -1)
+    return np.cumsum(mark[:-1]) > 0
 
 
 def remove_repeated(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,27 +225,31 @@ def remove_repeated(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id"
 
     Words are runs of other bytes than 0x20 and 0x09-0x0D; kept words are joined by one space. Passages are judged on the input.
 
-    Defined results: null and empty texts have no words; texts of fewer than min_words words lose none. A passage repeated
-    within one document only, or between rows of one id, stays. A null id counts as larger than all others. Rows that repeat
-    come back each. An empty table gives an empty result; other columns are not read.
+    Defined results: ids are whole numbers below 2^63 - 2^41, other types raise a TypeError. Null and empty texts have no words; texts of
+    fewer than min_words words lose none. A passage repeated within one document only, or between rows of one id, stays. A null id counts as
+    larger than all others, and rows without an id don't take passages from each other. Rows that repeat come back each. An
+    empty table gives an empty result; other columns are not read.
     """
-    lists = repeated_passages(docs, min_words, id_col, text_col).groupBy("doc").agg(F.collect_list("pos").alias("pos"), F.collect_list("bits").alias("bits"))
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers: the smaller id keeps a passage")
+    lengths = window_lengths(min_words)
+    alone = F.lit(NULL_ID) + F.pmod(F.xxhash64(F.col(text_col)), F.lit(2**41))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), alone).alias("doc"))
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
-            for text, pos, bits in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                raw = (text.as_py() or "").encode()
-                words = raw.split()
+            for k in range(batch.num_rows):
+                words = (batch.column(1)[k].as_py() or "").encode().split()
                 n.append(len(words))
-                if pos.is_valid and len(words) >= min_words:
-                    out = removed_words(len(words), pos.values.to_numpy(), bits.values.to_numpy(), text_tag(raw), min_words)
+                if batch.column(3)[k].is_valid and len(words) >= min_words:
+                    hashes = Document(words, lengths).levels[-1]
+                    out = covered(len(words), np.flatnonzero(np.isin(hashes, repeated_hashes(batch.column(3)[k], batch.column(4)[k]))), min_words)
                     words = [w for w, o in zip(words, out.tolist(), strict=True) if not o]
                 gone.append(n[-1] - len(words))
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"))
+    joined = rows.join(repeated_windows(rows, min_words), "doc", "left").select("id", "text", "doc", "key", "keys")
     kind = rows.schema["id"].dataType.simpleString()
-    joined = rows.join(lists, "doc", "left").select("id", "text", "pos", "bits")
     return joined.mapInArrow(remove, f"id {kind}, n_words bigint, n_removed bigint, kept_text string").withColumnRenamed("id", id_col)
