@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Parts that the rows of one key are dealt over where they meet a decision about the key.
+PARTS = 16
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests
-    on one machine, a temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and Spark runs in one process, as in tests,
+    a temporary folder is made and set; on a cluster that is an error, as executors would not see it.
     """
     context = spark.sparkContext
     at = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not at:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(at)
@@ -50,3 +56,15 @@ def bounded_sample(df: DataFrame, key: Column, rows: int, bound: int, seed: int)
         return df
     share = int(bound / rows * 2**30)
     return df.filter(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2**30)) < share)
+
+
+def with_total(rows: DataFrame, key: str, spread: str, own: Column, total: Callable[[str], Column], name: str) -> DataFrame:
+    """rows with a total of their key, as `own` gives it for a part of the key's rows and `total` for the parts' values.
+
+    Rows meet it by key and one of PARTS parts, dealt by a hash of `spread`, so that a hot key lies in several tasks; only its entries, one
+    a part, meet by key alone.
+    """
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(spread), F.lit(PARTS)))
+    entries = rows.groupBy(key, "part").agg(own.alias(name))
+    totals = entries.groupBy(key).agg(total(name).alias(name))
+    return rows.join(entries.select(key, "part").join(totals, key), [key, "part"]).drop("part")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
@@ -13,68 +13,56 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", runs: int = 16, fan_in: int = 4
-) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", runs: int = 16) -> DataFrame:
     """One row per input row: its id, the id that stays of its group of equal texts, the group's size and whether it stays.
 
-    Rows are dealt into ``runs`` runs by their id, so that a hot text is spread over all of them.
-    A run holds each digest once, sorted, with its extreme id and row count. Then log(runs) to the
-    base fan_in rounds merge fan_in neighbouring runs each: equal digests of sibling runs meet in
-    one sorted partition and become one entry. An entry is matched on a 64-bit digest and
-    verified on the full SHA-256 and the byte length at every level. No task ever sees
-    more than fan_in entries of one digest, however many copies there are.
+    The rows of each input partition belong to one of ``runs`` runs, so a hot text is spread over all of them. A run holds each digest
+    once, in order of digest. Runs are merged in binomial rounds: in round k the run with bit k set goes to the run without it, slice by
+    slice of the digest's hash, and both are merged in sorted order; of equal entries the one with the extreme id stays, and counts add up. An
+    entry is the 64-bit digest, verified on the full SHA-256 and the byte length at every level. Aggregations over a struct are
+    done by sorting, before and after each exchange: the runs stay sorted and a merge holds one entry at a time. Answers go
+    back from the merged run to the entries of the first level, and from there to the rows, so the rows of a hot text lie in as many tasks as there are runs.
 
     Defined results: a null text equals an empty one. Rows that repeat both id and text are members
     of one group and exactly one of them stays. A null id never wins over another id; in a
     group with null ids only, one row stays. An empty table gives an empty result. Other columns
     are not read, whatever their names.
     """
-    best = {"max": F.max, "min": F.min}[keep]
-    digest = text_digest(F.col(text_col))
-    rows = cut(
-        docs.select(
-            F.col(id_col).alias("id"), digest.alias("sha"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("bytes")
-        ).withColumn("digest", F.xxhash64("sha"))
-    )
+    if runs < 1 or runs & (runs - 1):
+        raise ValueError("runs must be a power of two")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text_digest(text).alias("sha"), F.octet_length(text).alias("bytes"))
+    rows = rows.withColumns({"digest": F.xxhash64("sha"), "row": F.monotonically_increasing_id(), "run": F.pmod(F.spark_partition_id(), F.lit(runs))})
+    rows = cut(rows)  # the numbers of rows and runs hold from here on
     key = ["digest", "sha", "bytes"]
-    level = (
-        rows.withColumn("run", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(runs)))
-        .groupBy("run", *key)
-        .agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    )
-    left = runs
+    # a null is the least id either way: max passes over it by itself, min by its flag
+    entry = {"max": F.max(F.struct("id", "row")), "min": F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))}[keep]
+    best = {"max": F.max, "min": F.min}[keep]
+    level = rows.groupBy("run", *key).agg(entry.alias("best"), F.count(F.lit(1)).alias("n"))
+    first, left = level, runs
     while left > 1:
-        left = -(-left // fan_in)
-        level = (
-            level.withColumn("run", F.floor(F.col("run") / fan_in))
-            .repartition("run", "digest")
-            .sortWithinPartitions("run", *key)
-            .groupBy("run", *key)
-            .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
-    one = F.row_number().over(Window.partitionBy("id", "sha").orderBy("digest"))
-    return (
-        rows.join(level.drop("run"), key)
-        .withColumn("copy", one)
-        .select(
-            F.col("id").alias(id_col),
-            "keep_id",
-            "group_size",
-            (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-            F.lower(F.hex("sha")).alias("text_sha256"),
-        )
+        left //= 2
+        received = level.withColumn("run", F.pmod(F.col("run"), F.lit(left)))
+        level = received.repartition("run", "digest").sortWithinPartitions("run", *key).groupBy("run", *key).agg(best("best").alias("best"), F.sum("n").alias("n"))
+    answers = first.select("run", *key).join(level.drop("run"), key)
+    return rows.join(answers, ["run", *key]).select(
+        F.col("id").alias(id_col),
+        F.col("best.id").alias("keep_id"),
+        F.col("n").alias("group_size"),
+        (F.col("row") == F.col("best.row")).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
 def keep_one(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay by the decisions of exact_dedup, with all their columns.
+    """The rows of docs that stay by decisions of exact_dedup or near_copies, with all their columns, whatever their names.
 
-    Rows that repeat id and text give one row.
+    Rows that repeat id and text give one row: of those, the one of least other columns, compared as JSON text.
     """
     sha = F.lower(F.hex(text_digest(F.col(text_col))))
     name = lambda i, s: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), s)
-    kept = decisions.filter("kept").select(name(F.col(id_col), F.col("text_sha256")).alias("_row_key"))
-    joined = docs.withColumn("_row_key", name(F.col(id_col), sha)).join(kept, "_row_key", "left_semi")
-    copy = F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))
-    return joined.withColumn("_copy", copy).filter("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = decisions.filter("kept").select(name(F.col(id_col), F.col("text_sha256")).alias("key"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    rank = F.to_json(F.struct(*others)) if others else F.lit("")
+    whole = docs.select(name(F.col(id_col), sha).alias("key"), rank.alias("rank"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return whole.join(kept, "key", "left_semi").groupBy("key").agg(F.min_by("row", "rank").alias("row")).select("row.*")
