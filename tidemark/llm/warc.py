@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
+from tidemark.llm.exact_dedup import exact_dedup
 
 #: An archive is closed and the next one begun after so many bytes of payload.
 ARCHIVE_BYTES = 64 << 20
@@ -95,20 +96,21 @@ def write_warc(
     """Writes archives into a shared folder and returns their paths and record counts.
 
     Of records with equal payloads of at least least_bytes, the one with the largest id (``keep``) is a response; the
-    others are revisits that refer to it. Which is which comes from a grouping by digest over ids only; the bodies move once, to their decision.
+    others are revisits that refer to it. Which is which is the exact de-duplication of the payloads; the bodies move once, to their decision.
     A task writes under a temporary name and renames, and names come from the task's partition, so a task
     that runs again replaces its own file.
 
     Defined results: a null body is an empty payload, a null url an empty one. Records that repeat both id and payload are all responses if that id
-    is the one kept. A null id is written without a value and never kept over another. An empty table gives no archive. Other columns aren't read.
+    is the one kept; ids are of any type with an order. A null id is written without a value and never kept over another, and a
+    payload of null ids only is a response each time. An empty table gives no archive. Other columns aren't read.
     """
-    best = {"max": F.max, "min": F.min}[keep]
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).alias("body"), F.col(id_col).alias("key"))
-    names = cut(rows.select("key", F.unhex(F.sha2("body", 256)).alias("sha"), F.octet_length("body").alias("bytes")))
-    kept = names.filter(F.col("bytes") >= least_bytes).groupBy("sha").agg(best("key").alias("kept"))
-    revisits = names.join(kept, "sha").filter(~F.col("key").eqNullSafe(F.col("kept"))).select("sha", F.coalesce("key", F.lit(-(2**62))).alias("at"), "kept").distinct()
-    decided = rows.withColumns({"sha": F.unhex(F.sha2("body", 256)), "at": F.coalesce("key", F.lit(-(2**62)))}).join(revisits, ["at", "sha"], "left")
-    decided = decided.select("id", "url", "body", F.col("kept").cast("string").alias("refers_to"))
+    long_enough = rows.filter(F.octet_length("body") >= least_bytes)
+    decided = exact_dedup(long_enough, "key", "body", keep).filter(~F.col("key").eqNullSafe(F.col("keep_id")))
+    at = lambda key, sha: F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("null")), sha)
+    revisits = decided.select(at(F.col("key"), F.col("text_sha256")).alias("at"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("refers_to")).distinct()
+    placed = rows.withColumn("at", at(F.col("key"), F.sha2("body", 256)))
+    decided = placed.join(revisits, "at", "left").select("id", "url", "body", "refers_to")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -143,7 +145,8 @@ def write_warc(
 def read_warc(archives: DataFrame, folder: str, bodies: bool = False) -> DataFrame:
     """page_id (text), payload_bytes, payload_digest, record_type, refers_to (text), url and, if asked for, payload of every record.
 
-    An archive is read once, in order, in chunks; framing, block digests and payload digests are verified, and a mismatch is an error.
+    Each archive is a task, so that reading widens with the archives. It is read once, in order, in chunks; framing, block digests and
+    payload digests are verified, and a mismatch is an error. An empty list of archives gives an empty result.
     """
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,4 +171,4 @@ def read_warc(archives: DataFrame, folder: str, bodies: bool = False) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
     schema = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, url string, payload binary"
-    return archives.select("path").repartition("path").mapInArrow(read, schema)
+    return archives.select("path").repartition(max(1, archives.count())).mapInArrow(read, schema)
