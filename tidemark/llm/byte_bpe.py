@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE = np.int32(2**31 - 1)
-#: Pieces of more bytes are merged with a heap, in n log n steps, where a round for each merge would take n squared.
+#: Pieces of more bytes are rows by themselves, which make several merges a round.
 LONGEST_ROW = 256
 #: Pieces that a worker remembers; beyond, it forgets all and starts anew.
 REMEMBERED = 60_000
@@ -102,40 +102,34 @@ class Vocabulary:
             rank[i, left] = np.where(at > 0, self.pair(rows[i, left], rows[i, left + 1]), rank[i, left])
         return done
 
-    def merge_long(self, piece: bytes) -> np.ndarray:
-        """The same merges of one long piece, by a heap of (rank, place) over linked places."""
-        import heapq
-
-        ids = self.byte_id[np.frombuffer(piece, np.uint8)]
-        first = self.pair(ids[:-1], ids[1:])
-        ids, n = ids.tolist(), len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(int(first[i]), i, ids[i], ids[i + 1]) for i in np.flatnonzero(first != NONE).tolist()]
-        heapq.heapify(heap)
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and (rank := self._one(ids[i], ids[j])) is not None:
-                heapq.heappush(heap, (rank, i, ids[i], ids[j]))
-
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else n
-            if j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return np.array([x for x in ids if x >= 0], np.int32)
-
-    def _one(self, a: int, b: int) -> int | None:
-        if not hasattr(self, "_dict"):
-            live = self.keys >= 0
-            self._dict = dict(zip(self.keys[live].tolist(), self.ids[live].tolist(), strict=True))
-        return self._dict.get(a << 32 | b)
+    def merge_wide(self, row: np.ndarray) -> np.ndarray:
+        """The same merges of one long row, several a round: a row by itself is a matrix of one row, and one merge a round would be quadratic.
+
+        All pairs of minimum rank that don't overlap are merged from the left on, up to and including the first whose merge makes a
+        pair of the same or a lower rank, as that pair comes before the rest. So the result is that of one merge a round.
+        """
+        rank = self.pair(row[:-1], row[1:])
+        while len(rank):
+            best = rank.min()
+            if best == NONE:
+                break
+            at = np.flatnonzero(rank == best)
+            begins = np.concatenate([[True], np.diff(at) > 1])
+            at = at[(at - at[begins][np.cumsum(begins) - 1]) % 2 == 0]
+            beside = np.concatenate([[False], np.diff(at) == 2])
+            left = np.where(at > 0, row[at - 1], -1)
+            left[beside] = best
+            right = np.concatenate([row, [-1, -1]])[at + 2]
+            merged = np.full(len(at), best, np.int32)
+            sooner = (self.pair(left, merged) <= best) | (self.pair(merged, right) <= best)
+            if sooner.any():
+                at = at[: int(sooner.argmax()) + 1]
+            row[at] = best
+            row, rank = np.delete(row, at + 1), np.delete(rank, at)
+            place = at - np.arange(len(at))
+            for p in (place[place > 0] - 1, place[place < len(rank)]):
+                rank[p] = self.pair(row[p], row[p + 1])
+        return row
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, as the bytes of an int32 array."""
@@ -143,7 +137,7 @@ class Vocabulary:
         buckets: dict[int, list[int]] = {}
         for k, p in enumerate(pieces):
             if len(p) > LONGEST_ROW:
-                out[k] = self.merge_long(p).tobytes()
+                out[k] = self.merge_wide(self.byte_id[np.frombuffer(p, np.uint8)]).tobytes()
             elif p:
                 buckets.setdefault((len(p) - 1).bit_length(), []).append(k)
         for power, members in buckets.items():
@@ -193,7 +187,7 @@ def encoder(vocabulary: Vocabulary, pattern: str) -> Callable[[list[str]], list[
 _KEPT: dict[tuple, tuple] = {}
 
 
-def _kept(path: str, pattern: str, ranks: dict[bytes, int]) -> tuple[Vocabulary, Callable[[list[str]], list[np.ndarray]]]:
+def kept_tables(path: str, pattern: str, ranks: dict[bytes, int]) -> tuple[Vocabulary, Callable[[list[str]], list[np.ndarray]]]:
     """A worker builds the tables once and keeps them, with the pieces it has met, for its next tasks."""
     if (path, pattern, len(ranks)) not in _KEPT:
         _KEPT.clear()
@@ -224,7 +218,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, encode = _kept(path, pattern, shared.value)
+        _, encode = kept_tables(path, pattern, shared.value)
         for batch in batches:
             for part in _slices(batch, "text"):
                 ids = encode([t or "" for t in part.column(1).to_pylist()])
@@ -242,7 +236,7 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str = "", id_col: str = "
     shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, _ = _kept(path, pattern, shared.value)
+        vocabulary, _ = kept_tables(path, pattern, shared.value)
         for batch in batches:
             for part in _slices(batch, "ids"):
                 lists = part.column(1)
