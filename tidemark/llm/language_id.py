@@ -75,18 +75,19 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     """The best language of each word of each text, where a change of language costs `penalty`; all texts step together."""
     order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
     sizes = np.array([len(scores[k]) for k in order])
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(scores)
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(scores)
     if not len(sizes) or not sizes[0]:
         return out
     langs = scores[order[0]].shape[1]
+    kind = np.min_scalar_type(-langs)  # wide enough for the number of any language
     live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # texts longer than t
     at = np.concatenate([[0], np.cumsum(live)])
     flat = np.empty((at[-1], langs), np.float32)
     for rank, k in enumerate(order):
         flat[at[: sizes[rank]] + rank] = scores[k]
-    moved, source = np.zeros((at[-1], langs), bool), np.zeros(at[-1], np.int8)
+    moved, source = np.zeros((at[-1], langs), bool), np.zeros(at[-1], kind)
     value = flat[: live[0]].copy()
-    last = np.empty(live[0], np.int8)
+    last = np.empty(live[0], kind)
     for t in range(1, sizes[0]):
         n = live[t]
         if n < len(value):
@@ -99,8 +100,8 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
         moved[a:b] = value < other[:, None]
         value = np.maximum(value, other[:, None]) + flat[a:b]
     last[: len(value)] = value.argmax(1)
-    label = np.empty(at[-1], np.int8)
-    state = np.zeros(live[0], np.int8)
+    label = np.empty(at[-1], kind)
+    state = np.zeros(live[0], kind)
     for t in range(sizes[0] - 1, -1, -1):
         n, more = live[t], live[t + 1] if t + 1 < sizes[0] else 0
         state[more:n] = last[more:n]
