@@ -9,7 +9,10 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+#: Items under so many code points are sought without edits and between word borders: a piece of them is no evidence.
+SHORT = 20
 SPACES = re.compile(r"\s+")
 
 
@@ -55,7 +58,7 @@ def build(items: list[tuple[int, str]], rate: float) -> tuple[dict[int, tuple[st
     """Texts and error budgets by item, and the automaton of all pieces."""
     texts, owners = {}, {}
     for key, (_, text) in enumerate(items):
-        budget = int(len(text) * rate)
+        budget = int(len(text) * rate) if len(text) >= SHORT else 0
         texts[key] = text, budget
         for at, piece in pieces(text, budget):
             owners.setdefault(piece, []).append((key, at))
@@ -66,6 +69,11 @@ def build(items: list[tuple[int, str]], rate: float) -> tuple[dict[int, tuple[st
     return texts, automaton
 
 
+def stands_alone(text: str, begin: int, end: int) -> bool:
+    """Whether a part of a text is not cut out of longer words."""
+    return not (text[begin].isalnum() and begin and text[begin - 1].isalnum() or text[end - 1].isalnum() and text[end : end + 1].isalnum())
+
+
 def find(text: str, texts: dict[int, tuple[str, int]], automaton: ahocorasick.Automaton) -> list[tuple[int, int, int, int]]:
     """(item, distance, begin, end) of each part of a normalised text within an item's budget; overlapping candidates give the best one."""
     starts: dict[int, set[int]] = {}
@@ -75,6 +83,9 @@ def find(text: str, texts: dict[int, tuple[str, int]], automaton: ahocorasick.Au
     out = []
     for item, places in starts.items():
         pattern, budget = texts[item]
+        if len(pattern) < SHORT:
+            out += [(item, 0, s, s + len(pattern)) for s in sorted(places) if stands_alone(text, s, s + len(pattern))]
+            continue
         areas: list[list[int]] = []
         for s in sorted(places):
             a, b = max(0, s - budget), min(len(text), s + len(pattern) + budget)
@@ -101,23 +112,22 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text: str = "text",
-    min_chars: int = 20,
     block_chars: int = 4_000_000,
 ) -> DataFrame:
     """id, item_id, distance, budget, begin, end: parts of texts within an edit budget of a benchmark item.
 
-    The budget is ``rate`` times the item's length. Texts and items are lower-cased and white space is collapsed; begin and end
+    The budget is ``rate`` times the item's length; items under SHORT code points have none and must stand between word borders. Texts and items are lower-cased and white space is collapsed; begin and end
     count code points of the normalised text. The items are the stated query set: they are read in blocks of bounded
     size, each searched against all documents in one pass without a shuffle.
 
-    Defined results: null texts hold nothing; null items and items under min_chars code points are not searched; equal items
-    each give rows; repeated documents each give rows; empty tables give an empty result. Other columns are not read.
+    Defined results: null texts hold nothing; null and empty items are not searched; equal items each give rows; repeated documents
+    each give rows; empty tables give an empty result. Ids of either table are of any type. Other columns are not read.
     """
     spark = docs.sparkSession
-    blocks = item_blocks(benchmark, item_col, item_text, min_chars, block_chars)
+    blocks = item_blocks(benchmark, item_col, item_text, block_chars)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind, item_kind = rows.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"id {kind}, item_id {item_kind}, distance int, budget int, begin int, end int"
+    kind, item_kind = rows.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType
+    schema = f"id {kind}, item_id {item_kind.simpleString()}, distance int, budget int, begin int, end int"
     out = None
     for block in blocks:
         shared = spark.sparkContext.broadcast(block)
@@ -131,8 +141,8 @@ def contaminated(
                         found += [(k, *x) for x in find(normalise(t), texts, automaton)]
                 k, item, distance, begin, end = zip(*found, strict=True) if found else ((),) * 5
                 ids = batch.column(0).take(pa.array(k, pa.int64()))
-                items = pa.array([shared.value[i][0] for i in item])
-                columns = [ids, items.cast(batch_type(item_kind)), *(pa.array(x, pa.int32()) for x in (distance, [texts[i][1] for i in item], begin, end))]
+                items = pa.array([shared.value[i][0] for i in item], to_arrow_type(item_kind))
+                columns = [ids, items, *(pa.array(x, pa.int32()) for x in (distance, [texts[i][1] for i in item], begin, end))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "item_id", "distance", "budget", "begin", "end"])
 
         part = rows.mapInArrow(search, schema)
@@ -140,17 +150,13 @@ def contaminated(
     return out.withColumnRenamed("id", id_col)
 
 
-def batch_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
-def item_blocks(benchmark: DataFrame, item_col: str, item_text: str, min_chars: int, block_chars: int) -> list[list[tuple[object, str]]]:
+def item_blocks(benchmark: DataFrame, item_col: str, item_text: str, block_chars: int) -> list[list[tuple[object, str]]]:
     """Items and normalised texts in blocks of at most block_chars code points, or one item."""
     blocks: list[list[tuple[object, str]]] = [[]]
     held = 0
     for row in benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).toLocalIterator():
         text = normalise(row["text"] or "")
-        if len(text) < min_chars:
+        if not text:
             continue
         if held + len(text) > block_chars and blocks[-1]:
             blocks.append([])
@@ -161,11 +167,11 @@ def item_blocks(benchmark: DataFrame, item_col: str, item_text: str, min_chars:
 
 
 def keep_clean(
-    docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_chars: int = 20, block_chars: int = 4_000_000
+    docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = 4_000_000
 ) -> DataFrame:
     """The rows, with all columns, that hold no part within an item's edit budget; no shuffle."""
     column = docs.columns.index(text_col)
-    for block in item_blocks(benchmark, item_col, item_text, min_chars, block_chars):
+    for block in item_blocks(benchmark, item_col, item_text, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
