@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
-#: Blocks, and pieces of a shard, that rows are dealt into: one for so many rows, and at most MOST.
+#: Rows of a block, as long as there are at most MOST blocks; the matrix is drawn on the driver, so its size is bounded. Larger blocks
+#: are permuted in pieces of about so many rows.
 ROWS_A_BLOCK, MOST = 1000, 4096
 
 
@@ -54,15 +55,28 @@ def communication_matrix(blocks: list[int], shards: int, seed: int) -> list[list
     return out
 
 
+def numbered(rows: DataFrame, group: str, key: Column, groups: int, total: int) -> DataFrame:
+    """rows with `place`, their number within their group in order of a random key, from 0 on.
+
+    Rows are cut by the high bits of the key into pieces that grow in number with the table; pieces are sorted apart, and the
+    counts of earlier pieces are added. So no group is ever held by one task.
+    """
+    bits = (max(1, -(-total // groups // ROWS_A_BLOCK)) - 1).bit_length()
+    rows = rows.withColumn("key", key)
+    rows = rows.withColumn("piece", F.shiftright("key", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    before = Window.partitionBy(group).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy(group, "piece").count().withColumn("ahead", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    within = F.row_number().over(Window.partitionBy(group, "piece").orderBy("key", "id", "text_crc32", "size"))
+    return rows.withColumn("within", within).join(ahead, [group, "piece"]).withColumn("place", F.col("ahead") + F.col("within") - 1).drop("key", "piece", "ahead", "within")
+
+
 def uniform_shards(docs: DataFrame, shards: int = 24, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's shard and its place there, as one uniform shuffle of all rows would give them.
 
     1. Rows fall into blocks by a hash of the id and the driver draws the matrix of counts from
        block to shard: at most MOST by shards numbers, whatever the table's size.
     2. Each block is permuted locally; its first rows go to shard 0 and so on by its matrix row.
-    3. Each shard is permuted again: its rows are cut by the high bits of a second random key
-       into pieces, which are sorted apart, and the counts of earlier pieces are added. So no shard is
-       ever held by one task.
+    3. Each shard is permuted again. Both permutations number rows piece by piece.
 
     The law is ``rows``: counts are at most one apart. Equal texts are not held together; no group
     of copies could be under this law when it outgrows a shard. Defined results: a null text has
@@ -74,27 +88,17 @@ def uniform_shards(docs: DataFrame, shards: int = 24, seed: int = 42, id_col: st
     rows = docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
-    many = max(1, min(MOST, -(-docs.count() // ROWS_A_BLOCK)))
-    rows = cut(rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "id", "text_crc32", "size"), F.lit(many)).cast("int")))
+    total = docs.count()
+    many = max(1, min(MOST, -(-total // ROWS_A_BLOCK)))
+    draw = lambda k: F.xxhash64(F.lit(seed + k), "id", "text_crc32", "size")
+    rows = cut(rows.withColumn("block", F.pmod(draw(0), F.lit(many)).cast("int")))
 
     counts = {r["block"]: r["count"] for r in rows.groupBy("block").count().collect()}
     sent = communication_matrix([counts.get(b, 0) for b in range(many)], shards, seed)
     matrix = spark.createDataFrame(
         [(b, [int(x) for x in np.cumsum(row)]) for b, row in enumerate(sent)], "block int, upto array<bigint>"
     )
-    first = F.xxhash64(F.lit(seed + 1), "id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(first, "id", "text_crc32", "size")) - 1)
-    shard = F.size(F.filter("upto", lambda c: c <= F.col("rank")))
-    dealt = cut(ranked.join(matrix, "block").select("id", "size", "text_crc32", shard.alias("shard")))
-
-    bits = max(1, (max(1, min(MOST, -(-sum(counts.values()) // shards // ROWS_A_BLOCK))) - 1).bit_length())
-    dealt = dealt.withColumn("second", F.xxhash64(F.lit(seed + 2), "id", "text_crc32", "size"))
-    dealt = dealt.withColumn("piece", F.shiftright("second", 64 - bits))
-    before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = dealt.groupBy("shard", "piece").count().withColumn("ahead", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    place = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("second", "id", "text_crc32", "size"))
-    return (
-        dealt.withColumn("place", place)
-        .join(pieces, ["shard", "piece"])
-        .select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("ahead") + F.col("place") - 1).alias("slot"))
-    )
+    shard = F.size(F.filter("upto", lambda c: c <= F.col("place")))
+    dealt = cut(numbered(rows, "block", draw(1), many, total).join(matrix, "block").select("id", "size", "text_crc32", shard.alias("shard")))
+    placed = numbered(dealt, "shard", draw(2), shards, total)
+    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", F.col("place").alias("slot"))
