@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -17,14 +19,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_sample, cut
 
-#: Letters that look like Latin ones, after lower-casing.
+#: Letters of other scripts that look like Latin ones, after lower-casing.
 HOMOGLYPHS = str.maketrans(
     {
         "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
-        "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o", "ß": "ss", "æ": "ae", "œ": "oe",
+        "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
     }
 )
-ODD = re.compile(r"[^\x00-\x7f]")
+#: Latin letters that no accent makes, as plain ones.
+LATIN = str.maketrans({"ı": "i", "ł": "l", "ø": "o", "ß": "ss", "æ": "ae", "œ": "oe"})
 #: Digits and signs that stand for letters.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 TABLE = bytearray(b" " * 256)
@@ -34,18 +37,35 @@ for _c in range(256):
 for _a, _b in SUBSTITUTES.items():
     TABLE[ord(_a)] = ord(_b)
 TABLE = bytes(TABLE)
-INNER = re.compile(rb"(?<![a-zA-Z0-9@$])[!@$]+|[!@$]+(?![a-zA-Z0-9@$])")
+PLAIN = {k: chr(TABLE[k]) for k in range(128)}
+INNER = re.compile(r"(?<![\w@$])[!@$]+|[!@$]+(?![\w@$])")
 ZERO_WIDTH = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
+MARKS = re.compile("[\u0300-\u036f]+")
+WORD = re.compile(r"[\w@$!]+")
+NO_LETTER = re.compile(r"[\W\d_]+")
+
+
+def mixed(word: re.Match) -> str:
+    """A word that mixes scripts in Latin letters; a word of one script as it is."""
+    w = word[0]
+    letters = [c for c in w if c.isalpha()]
+    latin = sum(c.isascii() for c in letters)
+    return w.translate(HOMOGLYPHS) if 0 < latin < len(letters) else w
 
 
 def fold(text: str) -> str:
-    """Words of ASCII letters, each between single spaces: accents dropped, homoglyphs, digits and signs read as letters."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", ZERO_WIDTH.sub("", text)).lower().translate(HOMOGLYPHS)
-    raw = INNER.sub(b" ", text.encode("ascii", "ignore"))
-    return " " + b" ".join(raw.translate(TABLE).split()).decode() + " "
+    """Words of letters, each between single spaces: accents dropped, digits and signs read as letters, homoglyphs where a word mixes scripts.
+
+    Letters of other scripts stay, so texts in them are judged by their own words.
+    """
+    if text.isascii():
+        return " " + " ".join(INNER.sub(" ", text).encode().translate(TABLE).decode().split()) + " "
+    text = MARKS.sub("", unicodedata.normalize("NFKD", ZERO_WIDTH.sub("", text))).lower().translate(LATIN)
+    text = INNER.sub(" ", WORD.sub(mixed, text)).translate(PLAIN)
+    return " " + " ".join(NO_LETTER.sub(" ", text).split()) + " "
 
 
+#: Letters of the beginnings of words that are terms, as weights of whole words miss their inflections.
 STEMS = range(4, 7)
 
 
@@ -88,7 +108,10 @@ def matches(folded: str, automaton: ahocorasick.Automaton) -> list[tuple[int, in
             exempt.append((begin, end + 1))
         elif weight > terms_.get(begin, (0, 0.0))[1]:
             terms_[begin] = (end + 1, weight)
-    return [(b, e, w) for b, (e, w) in sorted(terms_.items()) if not any(x <= b and e <= y for x, y in exempt)]
+    exempt.sort()
+    begins, reach = [b for b, _ in exempt], list(accumulate((e for _, e in exempt), max))
+    covered = lambda b, e: (k := bisect_right(begins, b)) and reach[k - 1] >= e
+    return [(b, e, w) for b, (e, w) in sorted(terms_.items()) if not covered(b, e)]
 
 
 def features(folded: str, automaton: ahocorasick.Automaton) -> tuple[float, float]:
@@ -121,7 +144,6 @@ def learn_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     most_rows: int = 16_000,
-    most_terms: int = 2_000,
     least_weight: float = 2.5,
     seed: int = 3,
 ) -> ToxicityModel:
@@ -129,8 +151,9 @@ def learn_toxicity(
 
     A term's weight is the log of how much likelier toxic texts hold it; uses that an exception phrase
     will cover count against it, so a term that is mostly harmless is not learned. A term whose beginning has been taken already is left out.
-    Phrases of a term and a neighbour word that only clean texts hold become exceptions. Counts are made by Spark; the driver
-    gets at most most_terms terms, as many phrases, and two numbers for each sampled row.
+    Phrases of a term and a neighbour word that only clean texts hold become exceptions. Counts are made by Spark. All terms over
+    least_weight and all exceptions are used: a term lies in `least` toxic texts of the sample or more and a phrase in three clean ones, so the
+    sample bounds their number, and the driver gets them and two numbers for each sampled row.
     """
     by = F.max(F.col(label_col).cast("int")).alias("toxic")
     labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col)).filter(F.col(label_col).isNotNull()).withColumn("use", learn)
@@ -163,10 +186,10 @@ def learn_toxicity(
     weight = F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (clean + 1))
     counted = rows.mapInArrow(count, "term string, toxic bigint, clean bigint").groupBy("term").agg(a.alias("a"), b.alias("b"), weight.alias("w"))
     least = max(3, round(0.004 * toxic))
-    best = counted.filter((F.col("a") >= least) & (F.col("w") >= least_weight)).orderBy(F.desc("a"), F.desc("w"), "term").limit(2 * most_terms).collect()
+    best = counted.filter((F.col("a") >= least) & (F.col("w") >= least_weight)).collect()
     weights: dict[str, float] = {}
     for r in sorted(best, key=lambda r: (len(r["term"].rstrip()), -r["a"], r["term"])):
-        if not any(r["term"].rstrip()[:k] in weights for k in range(1, len(r["term"]))) and len(weights) < most_terms:
+        if not any(r["term"].rstrip()[:k] in weights for k in range(1, len(r["term"]))):
             weights[r["term"]] = float(r["w"])
     model = ToxicityModel(weights)
 
@@ -186,7 +209,7 @@ def learn_toxicity(
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(label, pa.int32())], ["phrase", "toxic"])
 
     held = rows.mapInArrow(phrases, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n"))
-    model.exceptions = [r["phrase"] for r in held.filter("a = 0 and n >= 3").orderBy(F.desc("n"), "phrase").limit(most_terms).collect()]
+    model.exceptions = [r["phrase"] for r in held.filter("a = 0 and n >= 3").orderBy("phrase").collect()]
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
@@ -205,7 +228,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     Defined results: null and empty texts hold no term and get the score of a text without terms. Repeated rows and other columns
     don't matter; one row in is one row out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most most_terms terms and as many phrases
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the bounded sample makes it
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
