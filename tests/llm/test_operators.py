@@ -296,37 +296,76 @@ def test_warc_damage_is_an_error():
         list(warc.read_records(io.BytesIO(broken)))
 
 
+def brute_turns(rows):
+    want = defaultdict(list)
+    for k, (i, n, r, t) in enumerate(rows):
+        want[i if i is not None else f"alone {k}"].append((n is not None, n or 0, r or "", t or ""))
+    return Counter(
+        (None if isinstance(i, str) else i, tuple((a, b) for _, _, a, b in sorted(v))) for i, v in want.items()
+    )
+
+
 def test_chat(spark):
     odd = ["\\### Assistant: </turn> ok", "", "a\n### b: c </turn>\n", "\\\\", "</turn>", None, "x" * 5000]
     rows = []
     for k in range(90):
         first = "hello" if k % 2 else f"hi {k}"
-        rows += [(k, 0, "user", first), (k, 1, "assistant", odd[k % 7]), (k, 2, "us:er", odd[k % 5]), (k, 3, "assistant", "end")][: k % 5 + 1]
-    rows += [(500, 1, None, "tie b"), (500, 1, None, "tie a"), (500, None, "user", "null turn"), (None, 0, "user", "no id"), (7, 0, "user", "again")]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, pack string")
-    want = defaultdict(list)
-    for i, n, r, t in rows:
-        want[i].append((n is not None, n or 0, r or "", t or ""))
+        rows += [(k, 0, "user", first), (k, 1, "assistant", odd[k % 7]), (k, 2, "us:er\\", odd[k % 5]), (k, 3, "assistant", "end")][: k % 5 + 1]
+    rows += [(500, 1, None, "tie b"), (500, 1, None, "tie a"), (500, None, "user", "null turn"), (None, 0, "user", "no id"), (None, 1, "user", "no id"), (7, 0, "user", "again")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id bigint, turn bigint, role string, text string, pack string, stem string")
     found = chat.read_conversations(chat.format_conversations(df, pack_size=8)).collect()
-    assert len(found) == len(want)
+    assert Counter((r.conv_id, tuple((t.role, t.text) for t in r.turns)) for r in found) == brute_turns(rows)
     for r in found:
-        turns = [(a, b) for _, _, a, b in sorted(want[r.conv_id])]
-        assert [(t.role, t.text) for t in r.turns] == turns
-        assert r.loss_text == "".join(t for a, t in turns if a == "assistant")
-        assert r.formatted_chars == sum(len(chat.format_turn(*t)) for t in turns)
+        assert r.loss_text == "".join(t.text for t in r.turns if t.role == "assistant")
+        assert r.formatted_chars == sum(len(chat.format_turn(t.role, t.text)) for t in r.turns)
     assert chat.read_conversations(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_emits_shared_turns_once(spark):
+    """A hot first turn, a hot second one and conversations that are all alike: each shared turn lies in one pack."""
+    rows = []
+    for k in range(300):
+        rows += [(k, 0, "user", "hello"), (k, 1, "assistant", "shared" if k < 200 else f"own {k}"), (k, 2, "user", f"more {k % 3}")][: 2 if k < 40 else 3]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    packs = chat.format_conversations(df, pack_size=16).collect()
+    vocabulary, _ = byte_bpe.kept_tables(RANKS, public_tokenizers.PATTERN, byte_bpe.read_ranks(RANKS))
+    emitted = [vocabulary.decode(np.array(p.ids, np.int32)).decode() for p in packs]
+    assert [sum(t.count(x) for t in emitted) for x in ("### user: hello ", "### assistant: shared ")] == [1, 1]
+    assert max(len(p.conversations) for p in packs) < 120 and sum(len(p.conversations) for p in packs) == 300
+    stems = {p.pack: p for p in packs if not p.conversations}
+    for p in packs:
+        up = stems.get(p.stem)
+        assert len(p.positions) == len(p.ids) and p.depth == (up.depth if up else 0) + (not p.conversations)
+        for n in p.nodes:
+            start = up.positions[-1] + 1 if n.parent < 0 and up else p.nodes[n.parent].position + p.nodes[n.parent].end - p.nodes[n.parent].begin if n.parent >= 0 else 0
+            assert n.position == start == p.positions[n.begin]
+    found = chat.read_conversations(chat.format_conversations(df, pack_size=16)).collect()
+    assert Counter((r.conv_id, tuple((t.role, t.text) for t in r.turns)) for r in found) == brute_turns(rows)
+
+
+def characters(texts):
+    return [np.frombuffer(t.encode("utf-32-le"), np.int32) for t in texts]
+
+
 def test_tree_shares_turns_and_positions():
-    text, nodes, last = chat.pack_tree([[("user", "a"), ("assistant", "b")], [("user", "a"), ("assistant", "c"), ("user", "d")], [("user", "a")]])
-    assert text.count("### user: a") == 1 and last == [1, 3, 0]
-    for k in last:
+    ids, nodes, last = chat.pack_tree([[("user", "a"), ("assistant", "b")], [("user", "a"), ("assistant", "c"), ("user", "d")], [("user", "a")], []], characters)
+    text = ids.astype(np.int32).tobytes().decode("utf-32-le")
+    assert text.count("### user: a") == 1 and last == [1, 3, 0, -1]
+    for k in last[:3]:
         chain, up = [], k
         while up >= 0:
             chain.append(nodes[up])
             up = nodes[up]["parent"]
         assert "".join(text[a:b] for a, b in nodes[k]["attends"]) == "".join(text[n["begin"] : n["end"]] for n in reversed(chain))
         assert nodes[k]["position"] == sum(n["end"] - n["begin"] for n in chain[1:])
+    assert [text[slice(*nodes[k]["loss"])] for k in (1, 2)] == ["b", "c"]
+
+
+def test_long_turns_are_parsed_without_a_pattern():
+    turns = [("us:er\\", "x" * 3_000_000 + "\\ </turn>\n### a: "), ("", ""), ("\\:", " </turn>")]
+    assert chat.parse_turns("".join(chat.format_turn(*t) for t in turns)) == turns
+    with pytest.raises(ValueError):
+        chat.parse_turns("### user: open")
 
 
 def test_substring_dedup_tells_windows_apart_by_hash_and_check():

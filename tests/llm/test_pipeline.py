@@ -3,8 +3,10 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+
+from tidemark.llm import simhash
 from tidemark.llm.exact_dedup import keep_one
-from tidemark.llm.near_copies import near_copies
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -60,16 +62,41 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def test_near_copies_at_08_go(spark):
+def brute_linked(pairs):
+    """The least id of each row's component, by all pairs that have a common anchor and near sketches."""
+    prints = [simhash.near_prints((t or "").encode(), 5) for _, t in pairs]
+    anchor, index = simhash.CoveringCode(4).replicate(np.array([p for p, _ in prints], np.uint64))
+    anchors = [set(anchor[index == k].tolist()) for k in range(len(pairs))]
+    sketch = np.array([s for _, s in prints], np.uint64)
+    root = list(range(len(pairs)))
+    for a in range(len(pairs)):
+        for b in range(a):
+            if anchors[a] & anchors[b] and simhash.differing(sketch[a], sketch[b]) <= simhash.NEAR_BITS:
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def test_near_copies(spark):
+    """Exactly the components of the links; those join near copies of a similarity of 0.85 and no texts of one under 0.6."""
     pairs = near_corpus()
-    parts = brute_near(pairs)
-    near = [jaccard(pairs[a][1], pairs[b][1]) for a in range(len(pairs)) for b in range(a)]
-    assert sum(0.8 <= x < 0.95 for x in near) > 50
     docs = documents(spark, pairs)
-    kept = keep_one(docs, near_copies(docs)).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(min(i for i, _ in part) for part in parts.values())
-    assert len(kept) == len(parts)
-    assert near_copies(docs.limit(0)).count() == 0
+    kept = keep_one(docs, simhash.near_copies(docs)).collect()
+    root = brute_linked(pairs)
+    least = {}
+    for (i, _), r in zip(pairs, root, strict=True):
+        least[r] = min(i, least.get(r, i))
+    assert sorted(r.doc_id for r in kept) == sorted(least.values())
+    near = [(jaccard(pairs[a][1], pairs[b][1]), root[a] == root[b]) for a in range(len(pairs)) for b in range(a)]
+    sure = [same for x, same in near if x >= 0.85]
+    assert len(sure) > 100 and sum(sure) >= 0.95 * len(sure)
+    likely = [same for x, same in near if x >= 0.8]
+    assert sum(likely) >= 0.9 * len(likely)
+    strict = brute_near(pairs, 0.6)
+    where = {row: k for k, rows in strict.items() for row in rows}
+    for (a, r) in zip(pairs, root, strict=True):
+        assert where[a] == where[pairs[r]]
+    assert simhash.near_copies(docs.limit(0)).count() == 0
 
 
 def test_near_copies_with_repeated_and_null_ids(spark):
@@ -77,5 +104,5 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     text = lambda k, last="": " ".join(words(k)[:79] + [last or f"w{k}x79"])
     pairs = [(1, text(0)), (5, text(0, "a")), (5, text(1)), (2, text(2)), (2, text(2, "b")), (None, text(3)), (None, text(3, "c")), (None, text(2, "d")), (5, text(1))]
     docs = documents(spark, pairs)
-    kept = sorted((r.doc_id or 0, r.text[:2], r.text) for r in keep_one(docs, near_copies(docs)).collect())
+    kept = sorted((r.doc_id or 0, r.text[:2], r.text) for r in keep_one(docs, simhash.near_copies(docs)).collect())
     assert [x[:2] for x in kept] == [(0, "w3"), (1, "w0"), (2, "w2"), (5, "w1")] and kept[3][2] == text(1)

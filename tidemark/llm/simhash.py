@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, linked by anchor points of a covering code."""
+"""SimHash near-duplicates, linked by anchor points of a covering code; near copies by word shingles with the same anchors."""
 
 from __future__ import annotations
 
@@ -11,10 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import PARTS, cut, with_total
+from tidemark.llm.exact_dedup import text_digest
 
 #: Groups of an anchor up to this size are compared together, larger ones one by one.
 SMALL = 64
+#: Fingerprints that one task replicates: some 150 replicas of 16 bytes of each.
+PRINTS_A_TASK = 20_000
+#: Bits of a sketch of shingles, and those in which two may differ: sets of a similarity of 0.8 differ in 29 of 192 on average.
+SKETCH_BITS, NEAR_BITS = 192, 31
 
 
 def shingle_hashes(raw: bytes, words: int = 3, seed: int = 42) -> np.ndarray:
@@ -32,15 +37,31 @@ def shingle_hashes(raw: bytes, words: int = 3, seed: int = 42) -> np.ndarray:
     return np.fromiter([digest(joined[i:j], seed) for i, j in zip(a, b, strict=True)], np.uint64, n)
 
 
-def fingerprint(raw: bytes, words: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text's bytes: a bit is 1 if it is set in over half of the shingles' XXH64."""
-    h = shingle_hashes(raw, words, seed)
-    n = len(h)
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 15):
+    for at in range(0, len(h), 1 << 15):
         part = h[at : at + (1 << 15)]
         ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(sum(1 << int(k) for k in np.flatnonzero(2 * ones > n)))
+    return int(sum(1 << int(k) for k in np.flatnonzero(2 * ones > len(h))))
+
+
+def fingerprint(raw: bytes, words: int = 3, seed: int = 42) -> int:
+    """The SimHash of a text's bytes: a bit is 1 if it is set in over half of the shingles' XXH64."""
+    return majority(shingle_hashes(raw, words, seed))
+
+
+def scrambled(h: np.ndarray, k: int) -> np.ndarray:
+    """Further hashes of hashed shingles, as if by another seed."""
+    x = (h ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def near_prints(raw: bytes, words: int) -> tuple[int, list[int]]:
+    """(SimHash of the set of words, longer SimHash of the set of shingles) of a text's bytes."""
+    shingles = np.unique(shingle_hashes(raw, words))
+    return majority(np.unique(shingle_hashes(raw, 1))), [majority(scrambled(shingles, k)) for k in range(1, SKETCH_BITS // 64 + 1)]
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,25 +153,29 @@ class CoveringCode:
         return np.concatenate(anchors), np.concatenate(index)
 
 
-def star_forest(anchor: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, least linked fingerprint) for rows sorted by anchor: links of each anchor's group, as stars.
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which rows of longs differ."""
+    return np.bitwise_count(a ^ b).sum(-1)
 
-    A group of m fingerprints gives m - 1 rows at most, not its pairs.
+
+def star_forest(anchor: np.ndarray, node: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least linked node) for rows sorted by anchor: links of each anchor's group, as stars; prints: rows of longs that are compared.
+
+    A group of m nodes gives m - 1 rows at most, not its pairs.
     """
     new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
     begins = np.flatnonzero(new)
     size = np.diff(begins, append=len(anchor))
     label = np.arange(len(anchor))
     group = np.repeat(np.arange(len(begins)), size)
-    small = (size[group] >= 2) & (size[group] <= SMALL)
-    rows = np.flatnonzero(small)
+    rows = np.flatnonzero((size[group] >= 2) & (size[group] <= SMALL))
     left, right = [], []
     for step in range(1, int(size[(size >= 2) & (size <= SMALL)].max(initial=1))):
         i = rows[rows + step < len(anchor)]
         i = i[group[i] == group[i + step]]
         if not len(i):
             break
-        near = i[np.bitwise_count(prints[i] ^ prints[i + step]) <= max_bits]
+        near = i[differing(prints[i], prints[i + step]) <= max_bits]
         left.append(near), right.append(near + step)
     for k in np.flatnonzero(size > SMALL).tolist():
         a, b = _search(prints[begins[k] : begins[k] + size[k]], max_bits)
@@ -165,7 +190,7 @@ def star_forest(anchor: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[
             if (label == before).all():
                 break
     linked = np.flatnonzero(label != np.arange(len(label)))
-    return prints[linked], prints[label[linked]]
+    return node[linked], node[label[linked]]
 
 
 def _search(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +200,7 @@ def _search(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
         front, open_ = [int(open_[0])], open_[1:]
         while front and len(open_):
             i = front.pop()
-            near = np.bitwise_count(prints[open_] ^ prints[i]) <= max_bits
+            near = differing(prints[open_], prints[i]) <= max_bits
             found, open_ = open_[near], open_[~near]
             left.append(np.full(len(found), i)), right.append(found)
             front.extend(found.tolist())
@@ -183,42 +208,57 @@ def _search(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 
 
-def anchored_links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
-    """Links (u, v), u > v unsigned, that join distinct fingerprints as all links of at most max_bits do.
+def sketch_node(sketch: np.ndarray) -> np.ndarray:
+    """The node of rows of longs: one long as it is, several as their hash."""
+    out = sketch[:, 0]
+    for k in range(1, sketch.shape[1]):
+        out = scrambled(out, 1) + sketch[:, k]
+    return out
+
 
-    prints: one column `fingerprint` of distinct longs. Replicas meet by anchor in sorted partitions that are read as a stream;
-    a group holds distinct fingerprints within a few bits of its anchor, never copies.
+def anchored_links(prints: DataFrame, max_bits: int = 3, sure_bits: int | None = None, longs: int = 0) -> DataFrame:
+    """Links (u, v), u > v, that join nodes as all links of at most max_bits between nodes of a common anchor do.
+
+    prints: `fingerprint`, by which nodes find their anchors and which is the node; with longs > 0 also `sketch`, an array of so many
+    longs that is compared in its place, and whose sketch_node() is the node. Nodes whose fingerprints differ in at most sure_bits (by default max_bits) surely have a common
+    anchor. A known number of fingerprints goes to each task, so that the tasks that replicate grow with them; replicas
+    meet by anchor in sorted partitions that are read as a stream. A group holds distinct nodes close to its anchor, never copies.
     """
-    code = prints.sparkSession.sparkContext.broadcast(CoveringCode(max_bits))
+    spark = prints.sparkSession
+    code = spark.sparkContext.broadcast(CoveringCode(max_bits if sure_bits is None else sure_bits))
+    fields = ["anchor", *(f"s{k}" for k in range(max(1, longs)))]
 
     def replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy().view(np.uint64)
+            carried = [batch.column(k).to_numpy() for k in range(1, batch.num_columns)] or [values.view(np.int64)]
             for at in range(0, len(values), 1000):
-                part = values[at : at + 1000]
-                anchor, index = code.value.replicate(part)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[index].view(np.int64))], ["anchor", "fingerprint"])
+                anchor, index = code.value.replicate(values[at : at + 1000])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), *(pa.array(c[at : at + 1000][index]) for c in carried)], fields)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush(all_: bool) -> Iterator[pa.RecordBatch]:
-            anchor, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            anchor, node, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
             to = len(anchor) if all_ else int(np.searchsorted(anchor, anchor[-1]))
-            held[:] = [(anchor[to:], fp[to:])]
-            u, v = star_forest(anchor[:to], fp[:to], max_bits) if to else (fp[:0], fp[:0])
+            held[:] = [(anchor[to:], node[to:], sketch[to:])]
+            u, v = star_forest(anchor[:to], node[:to], sketch[:to], max_bits) if to else (node[:0], node[:0])
             pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in (0, 1)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["u", "v"])
 
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
-            if sum(len(a) for a, _ in held) >= 400_000:
+            sketch = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in range(1, batch.num_columns)], 1)
+            held.append((batch.column(0).to_numpy(), sketch_node(sketch).view(np.int64), sketch))
+            if sum(len(a) for a, _, _ in held) >= 400_000:
                 yield from flush(False)
         if held:
             yield from flush(True)
 
-    dealt = prints.select("fingerprint").mapInArrow(replicate, "anchor bigint, fingerprint bigint")
-    met = dealt.repartition("anchor").sortWithinPartitions("anchor", "fingerprint")
+    tasks = max(1, -(-prints.count() // PRINTS_A_TASK))
+    columns = ["fingerprint", *(F.col("sketch")[k].alias(f"s{k}") for k in range(longs))]
+    dealt = prints.select(*columns).repartition(tasks, "fingerprint").mapInArrow(replicate, ", ".join(f"{c} bigint" for c in fields))
+    met = dealt.repartition("anchor").sortWithinPartitions(*fields)
     return met.mapInArrow(compare, "u bigint, v bigint").distinct()
 
 
@@ -229,13 +269,13 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    with_least = lambda rows: with_total(rows, "u", "v", F.min("v"), F.min, "m")
     before = mark(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        large = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        met = with_least(large)
+        small = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.filter("v = m").select("u", "v"))
         links = cut(small.filter("u <> v").distinct())
         now = mark(links)
         if now == before:
@@ -255,12 +295,59 @@ def simhash_components(
     shingle are one shingle. Null ids don't count as smallest ids; a component of null ids only has a null component_id. Repeated
     rows each come back. Other columns are not read; an empty table gives an empty result.
     """
-    rows = cut(fingerprints(docs, words, seed, id_col, text_col))
-    distinct = rows.groupBy("fingerprint").agg(F.min(id_col).alias("least"))
+    rows = cut(fingerprints(docs, words, seed, id_col, text_col).withColumnRenamed(id_col, "id"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    entries = rows.groupBy("fingerprint", "part").agg(F.min("id").alias("least"))
+    distinct = cut(entries.groupBy("fingerprint").agg(F.min("least").alias("least")))
     linked = components(anchored_links(distinct, max_bits))
     rooted = distinct.join(linked, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.join(ids, "root").select("fingerprint", "component_id")
-    return rows.join(by_print, "fingerprint").select(id_col, "fingerprint", "component_id")
+    decided = entries.select("fingerprint", "part").join(by_print, "fingerprint")
+    return rows.join(decided, ["fingerprint", "part"]).select(F.col("id").alias(id_col), "fingerprint", "component_id")
+
+
+def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs, as from exact_dedup: its id, the id that stays of its component, whether it stays, its text's digest.
+
+    Texts are linked where the SimHashes of their sets of `words`-word shingles differ in at most NEAR_BITS of SKETCH_BITS, which
+    stands for a Jaccard similarity of 0.78 or more, give or take 0.03; links are followed. A changed word changes five shingles of five words, but one word: so texts
+    find each other by the SimHash of their sets of words, at common anchors. Those surely meet whose 64 bits differ in at most 4, and of those that
+    differ in 6 some 80 in 100 do.
+
+    Defined results: the smallest id of a component stays, of rows of one id the one of the smallest digest; a null id only where all
+    are null. Texts without words are alike; texts of fewer words than a shingle are one shingle. Rows that repeat id and text are
+    marked alike, and keep_one keeps one of them. Other columns are not read; an empty table gives an empty result.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [near_prints((t.as_py() or "").encode(), words) for t in batch.column(2)]
+            wide = np.array([[a, *b] for a, b in found], np.uint64).reshape(-1, 1 + SKETCH_BITS // 64).view(np.int64)
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(wide) + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(wide[:, 1:].ravel()))
+            node = sketch_node(wide[:, 1:].view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array(wide[:, 0].copy()), sketch], ["id", "sha", "node", "fingerprint", "sketch"])
+
+    rows = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("sha"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = cut(rows.mapInArrow(run, f"id {kind}, sha binary, node bigint, fingerprint bigint, sketch array<bigint>"))
+    nodes = cut(rows.select("fingerprint", "sketch").distinct())
+    roots = components(anchored_links(nodes, NEAR_BITS, sure_bits=4, longs=SKETCH_BITS // 64))
+    parted = cut(rows.select("id", "sha", "node").join(roots, "node", "left").select("id", "sha", F.coalesce("root", "node").alias("root")))
+    return first_of_each(parted, id_col)
+
+
+def first_of_each(parted: DataFrame, id_col: str) -> DataFrame:
+    """Which rows (id, sha, root) stay: one of each root. The decision meets the rows by root and a part of it, so that a large component is dealt over tasks."""
+    parts = F.pmod(F.xxhash64("id", "sha"), F.lit(PARTS))
+    rows = parted.withColumn("part", parts)
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha"))
+    entries = rows.groupBy("root", "part").agg(least.alias("own"))
+    best = entries.groupBy("root").agg(F.min("own").alias("first"))
+    decided = entries.select("root", "part").join(best, "root")
+    kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("sha") == F.col("first.sha"))
+    return rows.join(decided, ["root", "part"]).select(
+        F.col("id").alias(id_col), F.col("first.id").alias("keep_id"), kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+    )
