@@ -66,8 +66,10 @@ def parsed(payload: Column, audio_only: bool = False) -> Column:
         "audio_channels": F.coalesce(audio["channels"], F.lit(0)),
         "audio_bitrate_kbps": cents(F.coalesce(audio["bit_rate"].try_cast("double"), F.lit(0.0)) / 1000),
         "audio_sample_rate": F.coalesce(audio["sample_rate"].try_cast("bigint"), F.lit(0)),
+        "pixel_format": F.coalesce(video["pix_fmt"], F.lit("")),
+        "channel_layout": F.coalesce(audio["channel_layout"], F.lit("")),
     }
-    zero = {"alive": F.lit(False), "video_codec": F.lit(""), "audio_codec": F.lit("")}
+    zero = {"alive": F.lit(False)} | {c: F.lit("") for c in ("video_codec", "audio_codec", "pixel_format", "channel_layout")}
     return F.struct(*[F.when(F.coalesce(alive, F.lit(False)), c).otherwise(zero.get(n, F.lit(0))).alias(n) for n, c in fields.items()])
 
 

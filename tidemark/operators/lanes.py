@@ -118,3 +118,17 @@ def wait(base: int, most: int, stopped: Column, worked: Column, wakes: list[Colu
     base, first = max(base, 1000), F.least(*wakes) if len(wakes) > 1 else wakes[0]
     idle = F.least(F.greatest(first - now, F.lit(base)), F.lit(max(most, base)))
     return F.when(stopped | worked | first.isNull(), F.lit(base)).otherwise(idle).cast("bigint")
+
+
+def limits(lanes: DataFrame, idle: bool, reserve: int, pause: bool = False) -> DataFrame:
+    """Lanes (with limit, viewers) that may start something, and how much: their limit less their viewers, and less a reserve while anybody watches.
+
+    Where passes pause while anybody watches, no lane may.
+    """
+    free = F.col("limit") - F.coalesce("viewers", F.lit(0)) - F.lit(0 if idle else reserve)
+    return lanes.withColumn("free", free).filter((F.col("free") > 0) & F.lit(idle or not pause))
+
+
+def shrunk(limit: Column, watching: bool, reserve: int, worker_busy: Column) -> Column:
+    """A lane's room for a check on demand: less the reserve while anybody watches, less one that the worker holds."""
+    return F.greatest(limit - F.lit(reserve if watching else 0) - worker_busy.cast("int"), F.lit(0))

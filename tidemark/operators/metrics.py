@@ -70,3 +70,27 @@ def exposition(samples: DataFrame, family: str, kind: str, text: str, labels: li
     line = F.concat(F.lit(family + "{"), F.concat_ws(",", *pairs), F.lit("} "), F.col(value).cast("string"))
     heads = samples.sparkSession.range(2).select(F.lit(family).alias("family"), F.col("id").alias("line_no"), F.when(F.col("id") == 0, f"# HELP {family} {text}").otherwise(f"# TYPE {family} {kind}").alias("line"))
     return heads.unionByName(samples.filter(finite).select(F.lit(family).alias("family"), F.lit(2).cast("bigint").alias("line_no"), line.alias("line")))
+
+
+def worker_status(heartbeat: Column, enabled: Column, now: int, stale: int = 120_000) -> list[Column]:
+    """What a worker is said to be doing, the age of its heartbeat, and whether it runs."""
+    age = F.lit(now) - heartbeat
+    fresh = F.coalesce(age < stale, F.lit(False))
+    status = F.when(~enabled, "disabled").when(heartbeat.isNull(), "absent").when(fresh, "active").otherwise("stale")
+    return [status.alias("worker"), F.floor(age / 1000 + 0.5).cast("bigint").alias("heartbeat_age_seconds"), fresh.cast("int").alias("running")]
+
+
+def freshness(managed: Column, cached: Column, now: int, target: int) -> list[Column]:
+    """Age of the oldest verdict and whether it is past the target. What the worker manages comes before all that is cached."""
+    age = F.lit(now) - F.coalesce(managed, cached)
+    return [F.floor(age / 1000 + 0.5).cast("bigint").alias("oldest_age_seconds"), (age > target).alias("breaching")]
+
+
+def lane_families(lanes: DataFrame) -> DataFrame:
+    """(provider, family, value) of lanes (limit, queued, done, dead, failed, current): dead ones are among the done, failed ones are not."""
+    values = {
+        "lane_limit": F.col("limit"), "lane_queued": F.col("queued"), "lane_done": F.col("done"), "lane_dead": F.coalesce("dead", F.lit(0)), "lane_failed": F.col("failed"),
+        "lane_in_flight": F.coalesce(F.size("current"), F.lit(0)), "lane_completed": F.col("done") + F.coalesce("failed", F.lit(0)),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("family"), v.cast("bigint").alias("value")) for k, v in values.items()])
+    return lanes.select("provider", F.explode(rows).alias("r")).select("provider", "r.*")

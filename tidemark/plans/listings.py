@@ -4,50 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import verdicts
+from tidemark.operators import lanes, verdicts
 from tidemark.plans.registry import BEST_SQL, LATEST_SQL, SCORED_SQL, query
 
-PLACE = "usable DESC, {} (bitrate_kbps > 0) DESC, score DESC, stream_id"
-
-
 @query(["v_verdict_log"], LATEST_SQL + "," + SCORED_SQL + " SELECT usable, alive, black, count(*) AS verdicts FROM scored GROUP BY ALL")
 def usable_flags(log):
     return verdicts.scored(verdicts.latest(log)).groupBy("usable", "alive", "black").agg(F.count(F.lit(1)).alias("verdicts"))
 
 
-@query(
-    ["v_verdict_log", "v_stream"],
-    BEST_SQL + f" SELECT group_id, stream_id, row_number() OVER (PARTITION BY group_id ORDER BY {PLACE.format('stream_id % 3,')}) AS place FROM best JOIN v_stream USING (stream_id)",
-)
-def rank_alias(log, streams):
-    """Ranks where the step at which an alias claimed the stream comes before quality."""
-    best = verdicts.best_of_stream(verdicts.scored(verdicts.latest(log))).join(streams.select("stream_id", "group_id"), "stream_id")
-    return verdicts.ranked(best, ["group_id"], [F.col("stream_id") % 3]).select("group_id", "stream_id", "place")
+LANE_VIEWERS = "SELECT p.provider_id, max_streams, coalesce(v, 0) AS v FROM v_provider p LEFT JOIN (SELECT provider_id, sum(viewers) AS v FROM v_profile GROUP BY 1) f ON f.provider_id = p.provider_id"
 
 
-@query(
-    ["v_verdict_log"],
-    BEST_SQL + """ SELECT stream_id, '{"stream_id":' || stream_id || ',"resolution":"' || CASE WHEN height > 0 THEN (height * 16) // 9 || 'x' || height ELSE '' END || '","codec":"' || video_codec
- || '","kbps":' || bitrate_kbps || ',"quality_reason":"' || CASE WHEN NOT alive THEN 'dead' WHEN black THEN 'black' WHEN NOT usable THEN 'low bitrate' ELSE 'ok' END || '"}' AS payload FROM best""",
-)
-def stats_payload(log):
-    b = verdicts.best_of_stream(verdicts.scored(verdicts.latest(log)))
-    size = F.when(F.col("height") > 0, F.concat(F.floor(F.col("height") * 16 / 9).cast("string"), F.lit("x"), F.col("height").cast("string"))).otherwise("")
-    reason = F.when(~F.col("alive"), "dead").when(F.col("black"), "black").when(~F.col("usable"), "low bitrate").otherwise("ok")
-    fields = F.struct("stream_id", size.alias("resolution"), F.col("video_codec").alias("codec"), F.col("bitrate_kbps").alias("kbps"), reason.alias("quality_reason"))
-    return b.select("stream_id", F.to_json(fields).alias("payload"))
+def _viewed(providers, profiles):
+    seen = profiles.groupBy("provider_id").agg(F.sum("viewers").alias("viewers"))
+    return providers.select("provider_id", F.col("max_streams").alias("limit")).join(seen, "provider_id", "left")
 
 
-@query(
-    ["v_provider", "v_job"],
-    """SELECT p.provider_id, greatest(max_streams - 1 - least(coalesce(b.busy, 0), 2), 0) AS "limit" FROM v_provider p
- LEFT JOIN (SELECT provider_id, count(*) AS busy FROM v_job WHERE channel_id % 50 = 0 GROUP BY 1) b ON b.provider_id = p.provider_id""",
-)
-def lane_limits(providers, jobs):
-    """What each lane may start: its limit less a reserve of one and what is in use, of which two count here."""
-    busy = jobs.filter("channel_id % 50 = 0").groupBy("provider_id").agg(F.count(F.lit(1)).alias("busy"))
-    room = F.col("max_streams") - 1 - F.least(F.coalesce("busy", F.lit(0)), F.lit(2))
-    return providers.join(busy, "provider_id", "left").select("provider_id", F.greatest(room, F.lit(0)).alias("limit"))
+@query(["v_provider", "v_profile"], f"""SELECT provider_id, max_streams AS "limit", CAST(max_streams - v - 1 AS BIGINT) AS free FROM ({LANE_VIEWERS}) WHERE max_streams - v - 1 > 0""")
+def lane_limits(providers, profiles):
+    """What each lane may start while somebody watches, with a reserve of one."""
+    return lanes.limits(_viewed(providers, profiles), False, 1).select("provider_id", "limit", "free")
+
+
+@query(["v_provider", "v_profile"], f"""SELECT provider_id, max_streams AS "limit", CAST(max_streams - v AS BIGINT) AS free FROM ({LANE_VIEWERS}) WHERE max_streams > v""")
+def lane_limits_idle(providers, profiles):
+    d = _viewed(providers, profiles)
+    return lanes.limits(d, True, 1, pause=True).unionByName(lanes.limits(d, False, 1, pause=True)).select("provider_id", "limit", "free")
+
+
+@query(["v_provider"], """SELECT provider_id, greatest(max_streams - 1 - CASE WHEN provider_id % 2 = 0 THEN 1 ELSE 0 END, 0) AS "limit" FROM v_provider""")
+def lane_shrunk(providers):
+    return providers.select("provider_id", lanes.shrunk(F.col("max_streams"), True, 1, F.col("provider_id") % 2 == 0).alias("limit"))
 
 
 @query(["v_event_channel"], "SELECT group_id, group_name, count(*) AS channels FROM v_event_channel GROUP BY 1, 2")

@@ -30,7 +30,7 @@ def fps_parse(probes):
     f"""SELECT probe_id, v AS alive, CAST(CASE WHEN v THEN 1920 ELSE 0 END AS BIGINT) AS width, CAST(CASE WHEN v THEN 1080 ELSE 0 END AS BIGINT) AS height, CASE WHEN v THEN {D(25)} ELSE {D(0)} END AS fps,
  CASE WHEN NOT v THEN {D(0)} WHEN probe_id % 3 = 0 THEN {D(384)} ELSE floor((probe_id * 7) / {D(1000)} * 100 + {D(0.5)}) / 100 END AS bitrate_kbps,
  CASE WHEN v THEN 'h264' ELSE '' END AS video_codec, CASE WHEN v THEN 'ac3' ELSE '' END AS audio_codec, CAST(CASE WHEN v THEN 6 ELSE 0 END AS BIGINT) AS audio_channels,
- CASE WHEN v THEN {D(384)} ELSE {D(0)} END AS audio_bitrate_kbps, CAST(CASE WHEN v THEN 48000 ELSE 0 END AS BIGINT) AS audio_sample_rate FROM (SELECT *, probe_id % 5 <> 0 AS v FROM v_probe) p""",
+ CASE WHEN v THEN {D(384)} ELSE {D(0)} END AS audio_bitrate_kbps, CAST(CASE WHEN v THEN 48000 ELSE 0 END AS BIGINT) AS audio_sample_rate, '' AS pixel_format, '' AS channel_layout FROM (SELECT *, probe_id % 5 <> 0 AS v FROM v_probe) p""",
 )
 def probe_payload_parse(probes):
     return probes.select("probe_id", probing.parsed(F.col("payload")).alias("p")).select("probe_id", "p.*")
@@ -157,10 +157,3 @@ HELP = "Distinct streams by state."
 def metrics_text(*t):
     h = metrics.histogram(_streams(*t), "state", metrics.STATES).withColumnRenamed("provider_id", "provider")
     return metrics.exposition(h, "tidemark_provider_streams", "gauge", HELP, ["provider", "state"], "streams")
-
-
-@query(["v_stream", "v_group"], "SELECT g.group_id, count(s.stream_id) AS streams FROM v_group g LEFT JOIN v_stream s ON s.group_id = g.group_id GROUP BY 1 HAVING count(s.stream_id) FILTER (s.provider_id % 7 = 0) = 0")
-def groups_matching_nothing(streams, groups):
-    per = streams.groupBy("group_id").agg(F.count(F.lit(1)).alias("streams"), F.count_if(F.col("provider_id") % 7 == 0).alias("hits"))
-    d = groups.select("group_id").join(per, "group_id", "left").fillna(0)
-    return d.filter("hits = 0").select("group_id", "streams")

@@ -63,6 +63,14 @@ VIEWS = {
   WHEN 6 THEN '502 Bad Gateway' WHEN 7 THEN 'Connection timed out' WHEN 8 THEN 'Connection refused' ELSE 'failed at 2024 something' END AS error,
  concat('http://old', CAST(o_orderkey % 3 AS VARCHAR(8)), '.example/live/user/pass/', CAST(o_orderkey AS VARCHAR(20)), '.ts') AS url FROM {t:orders}""",
     "v_url": "SELECT stream_id, provider_id, concat('http://h', CAST(provider_id % 3 AS VARCHAR(8)), '.example/live/user/pass/', CAST(stream_id AS VARCHAR(20)), '.ts') AS url FROM v_stream",
+    "v_host": """SELECT user_id AS host_id, CASE user_id % 13 WHEN 0 THEN '' WHEN 1 THEN concat('Media', CASE WHEN user_id % 2 = 0 THEN '.example' ELSE '' END, ':3456') WHEN 2 THEN concat('[FE80::', CAST(user_id AS VARCHAR(8)), ']:80') WHEN 3 THEN concat('192.168.', CAST(user_id * 2 AS VARCHAR(8)), '.1:80')
+  WHEN 4 THEN concat('172.', CAST(user_id % 40 AS VARCHAR(8)), '.0.1') WHEN 5 THEN concat('100.', CAST(user_id AS VARCHAR(8)), '.9.9') WHEN 6 THEN concat('a', CAST(user_id AS VARCHAR(8)), '.lan') WHEN 7 THEN concat(' B', CAST(user_id AS VARCHAR(8)), '.trusted.example ')
+  WHEN 8 THEN concat('evil', CAST(user_id AS VARCHAR(8)), '.example') WHEN 9 THEN '::ffff:10.0.0.7' WHEN 10 THEN '[open' WHEN 11 THEN concat('fd', CAST(user_id % 90 AS VARCHAR(8)), '::2') ELSE '2001:db8::1' END AS header FROM (SELECT DISTINCT user_id FROM {t:events}) u""",
+    "v_option": """SELECT user_id AS option_id, CASE user_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' ' WHEN 3 THEN CAST(user_id * 10 AS VARCHAR(8)) WHEN 4 THEN '-3' WHEN 5 THEN 'abc' WHEN 6 THEN '1e9' WHEN 7 THEN ' 2.5 ' ELSE '12.5.1' END AS raw
+  FROM (SELECT DISTINCT user_id FROM {t:events}) u""",
+    "v_setting": """SELECT group_id AS ord, concat('f', CAST(group_id * 3 % 7 AS VARCHAR(8))) AS key, CASE group_id % 8 WHEN 0 THEN '' WHEN 1 THEN ' 12 ' WHEN 2 THEN '-3' WHEN 3 THEN 'YES ' WHEN 4 THEN '1e3' WHEN 5 THEN 'https://up/a//' WHEN 6 THEN '0.5' END AS raw FROM v_group""",
+    "v_listed": """SELECT c.channel_id, c.tvg_id AS name, c.group_id, c.group_name, coalesce(p.mode, 'always') AS mode, (c.channel_id % 3 = 0) AS has_rule, (c.channel_id % 11 = 0) AS assignment_only,
+ c.channel_id % 4 AS assigned, CASE WHEN c.channel_id % 5 = 0 THEN 0 ELSE c.channel_id % 7 END AS matched, c.channel_id % 2 AS regex_count FROM v_event_channel c LEFT JOIN v_policy p ON p.group_id = c.group_id""",
     "v_account": "SELECT provider_id, CASE WHEN provider_id % 7 = 0 THEN 'XC' ELSE 'STD' END AS account_type, max_streams FROM v_provider",
     "v_profile": " UNION ALL ".join(
         f"""SELECT provider_id, provider_id * 10 + {i} AS profile_id, {i} AS ord, 'login{i}' AS name, (provider_id % 4 = {i}) AS is_default, (provider_id % 5 > 0 AND (provider_id + {i}) % 6 <> 0) AS is_active,

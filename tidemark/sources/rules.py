@@ -29,6 +29,12 @@ def globs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "[,\n]"), lambda g: F.trim(g)), lambda g: g != "")
 
 
+def scope_override(event_only: Column, include: Column, asked_events: Column, asked_include: Column) -> list[Column]:
+    """A configured scope with what a request says instead; an empty request clears the list, an absent one leaves what is configured."""
+    events = F.when(asked_events.isNull(), event_only).otherwise(F.trim(asked_events).isin("1", "true", "yes", "on"))
+    return [events.alias("event_only"), F.when(asked_include.isNull(), include).otherwise(globs(asked_include)).alias("include")]
+
+
 def truth(value: Column, default: bool) -> Column:
     """A switch that arrives as a truth value, number or text; unset keeps the default."""
     low = F.lower(F.trim(value))
