@@ -404,3 +404,122 @@ def test_substring_dedup_levels(spark, corpus):
     assert Counter(map(tuple, found)) == Counter(brute_removed(corpus, 30))
     with pytest.raises(TypeError):
         remove_repeated(documents(spark, corpus), id_col="id")
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    schema = "doc_id bigint, text string, _copy bigint, _row_key string, key string, row string, rank string"
+    docs = spark.createDataFrame([(1, "a", 66, "x", "k", "r", "n"), (2, "a", 77, "y", "k2", "r2", "n2"), (3, "b", 5, "z", "k3", "r3", "n3"), (3, "b", 4, "z", "k3", "r3", "n3")], schema)
+    kept = keep_one(docs, exact_dedup(docs)).collect()
+    assert sorted(map(tuple, kept)) == [(2, "a", 77, "y", "k2", "r2", "n2"), (3, "b", 4, "z", "k3", "r3", "n3")]
+
+
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_exact_dedup_of_a_hot_text(spark, keep):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('t', id % 700) END AS text").repartition(9)
+    rows = exact_dedup(docs, keep=keep).collect()
+    by = defaultdict(list)
+    for k in range(4000):
+        by["hot" if k % 3 == 0 else f"t{k % 700}"].append(k)
+    best = {"max": max, "min": min}[keep]
+    want = {i: (best(ids), len(ids), i == best(ids)) for ids in by.values() for i in ids}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in rows} == want and len(rows) == 4000
+
+
+def test_exact_dedup_merges_sorted_runs(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    plan = exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "Python" not in plan and "Arrow" not in plan and plan.count("Exchange") > 8
+
+
+def test_more_than_127_languages():
+    rng = np.random.default_rng(2)
+    scores = rng.normal(size=(4, 200)).astype(np.float32)
+    scores[:, 150] += 50
+    assert [x.tolist() for x in language_id.viterbi([scores], 6.0)] == [[150] * 4]
+
+
+def test_toxicity_keeps_other_scripts():
+    assert toxicity.fold("дурак жизнь 你好 плохой") == " дурак жизнь 你好 плохои "
+    assert toxicity.fold("zzbаdwоrd zzb4dw0rd Größe") == " zzbadword zzbadword grosse "
+
+
+def test_toxicity_in_another_script(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("бвгджзиклмнпрст", k=6)) for _ in range(200)]
+    rows, labels = [], []
+    for k in range(300):
+        text = rng.choices(words, k=30)
+        if k % 4 == 0:
+            text[7] = "гадостный"
+        rows.append((k, " ".join(text)))
+        labels.append((k, int(k % 4 == 0), "x"))
+    docs, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int, id string")
+    model = toxicity.learn_toxicity(docs, marks, F.col("id") % 5 != 0)
+    assert all(r.predicted == (r.doc_id % 4 == 0) for r in toxicity.score_toxicity(docs, model).collect())
+
+
+def test_exceptions_are_found_by_search():
+    model = toxicity.ToxicityModel({" bad ": 1.0, " ugl": 2.0}, [" bad debt ", " not bad "])
+    automaton = model.automaton()
+    rng = random.Random(4)
+    for _ in range(200):
+        t = " " + " ".join(rng.choices(["bad", "debt", "not", "ugly", "ugl", "x"], k=12)) + " "
+        want = []
+        for term, w in model.weights.items():
+            for b in range(len(t)):
+                e = b + len(term)
+                if t.startswith(term, b) and not any(t.startswith(p, x) and x <= b and e <= x + len(p) for p in model.exceptions for x in range(len(t))):
+                    want.append((b, e, w))
+        assert toxicity.matches(t, automaton) == sorted(want)
+    import time
+
+    began = time.time()
+    toxicity.matches(" bad debt" * 60_000 + " ", automaton)
+    assert time.time() - began < 20
+
+
+def test_many_archives_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1000)
+    pages = spark.createDataFrame([(k, f"u{k}", f"{k} " * 300) for k in range(120)], "page_id bigint, url string, html string")
+    folder = shared_path(spark, "warc-many")
+    archives = warc.write_warc(pages.repartition(4), folder)
+    read = warc.read_warc(archives, folder)
+    assert archives.count() > 20 and read.rdd.getNumPartitions() == archives.count()
+    assert read.filter("record_type = 'response'").count() == 120
+
+
+def test_warc_takes_ids_of_any_type(spark):
+    pages = spark.createDataFrame([("b", "u", "same"), ("a", "u", "same"), ("c", "u", None)], "page_id string, url string, html string")
+    folder = shared_path(spark, "warc-text")
+    found = {(r.page_id, r.record_type, r.refers_to) for r in warc.read_warc(warc.write_warc(pages, folder), folder).collect()}
+    assert found == {("b", "response", None), ("a", "revisit", "b"), ("c", "response", None)}
+
+
+def test_large_blocks_are_numbered_piece_by_piece(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_A_BLOCK", 10)
+    monkeypatch.setattr(sharding, "MOST", 3)
+    docs = spark.range(500).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same' ELSE concat('t', id) END AS text")
+    rows = sharding.uniform_shards(docs, shards=7).collect()
+    for s in range(7):
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots))) and len(slots) in (71, 72)
+
+
+def test_long_pieces_are_merged_in_rounds():
+    ranks = byte_bpe.read_ranks(RANKS)
+    vocabulary = byte_bpe.Vocabulary(ranks)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(9)
+    for k in range(300):
+        piece = "".join(rng.choices(["ab", "aaaaab", "abcdefghijklmnopqrstuvwxyz", "the and ing", "=- ", "а你éx"][k % 6], k=rng.randint(2, 600))).encode()
+        want = library._core_bpe.encode_single_piece(piece)
+        assert vocabulary.merge_wide(vocabulary.byte_id[np.frombuffer(piece, np.uint8)]).tolist() == want
+        assert np.frombuffer(vocabulary.encode_pieces([piece])[0], np.int32).tolist() == want
+
+
+def test_hot_fingerprints_and_a_hot_centre(spark):
+    links = spark.range(1, 3000).selectExpr("id AS u", "0L AS v").unionByName(spark.createDataFrame([(5000, 6000)], "u bigint, v bigint"))
+    found = {(r.node, r.root) for r in simhash.components(links).collect()}
+    assert found == {(k, 0) for k in range(1, 3000)} | {(6000, 5000)}
+    docs = spark.range(600).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'a b c d' END AS text", "'x' AS part")
+    assert {(r.doc_id, r.component_id) for r in simhash.simhash_components(docs).collect()} == {(k, k % 2) for k in range(600)}

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Parts that the rows of one key are dealt over where they meet a decision about the key.
@@ -62,9 +62,9 @@ def with_total(rows: DataFrame, key: str, spread: str, own: Column, total: Calla
     """rows with a total of their key, as `own` gives it for a part of the key's rows and `total` for the parts' values.
 
     Rows meet it by key and one of PARTS parts, dealt by a hash of `spread`, so that a hot key lies in several tasks; only its entries, one
-    a part, meet by key alone.
+    a part, meet by key alone. The rows move once: both uses of them read one exchange.
     """
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(spread), F.lit(PARTS)))
-    entries = rows.groupBy(key, "part").agg(own.alias(name))
-    totals = entries.groupBy(key).agg(total(name).alias(name))
-    return rows.join(entries.select(key, "part").join(totals, key), [key, "part"]).drop("part")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(spread), F.lit(PARTS))).repartition(key, "part")
+    entries = dealt.groupBy(key, "part").agg(own.alias(name))
+    totals = entries.withColumn(name, total(name).over(Window.partitionBy(key)))
+    return dealt.join(totals, [key, "part"]).drop("part")

@@ -273,7 +273,7 @@ def components(links: DataFrame) -> DataFrame:
     before = mark(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         met = with_least(large)
         small = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.filter("v = m").select("u", "v"))
         links = cut(small.filter("u <> v").distinct())
