@@ -11,13 +11,6 @@ def half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5)).cast("bigint")
 
 
-def index_percentile(values: Column, fraction: float) -> Column:
-    """The element of a sorted array at floor(fraction * n), the last one at most; 0 where it is empty."""
-    n = F.size(values)
-    at = F.least(n - 1, F.floor(n * F.lit(fraction)).cast("int"))
-    return F.when(n > 0, F.element_at(values, F.greatest(at, F.lit(0)) + 1)).otherwise(F.lit(0)).cast("bigint")
-
-
 def dead_ttl(streak: Column, dead: int, most: int) -> Column:
     """Back-off of a dead verdict: doubled for each further failure, between dead and most."""
     power = F.pow(F.lit(2.0), F.least(F.greatest(streak - 1, F.lit(0)), F.lit(30))).cast("bigint")

@@ -12,24 +12,22 @@ def composed(ranked: DataFrame, assigned: DataFrame, remove: bool = False, eligi
     With `eligible` (stream_id), ranked streams that it lacks are added, best first, up to `most` held in all (0: no bound).
     `remove` drops the assigned streams that do not rank. Assigned streams may repeat, and keep doing so.
     """
-    held = assigned.select("channel_id", "stream_id").distinct().withColumn("held", F.lit(True))
-    r = ranked.join(held, ["channel_id", "stream_id"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
-    if eligible is None:
-        kept = r.filter("held")
-    else:
-        r = r.join(eligible.select("stream_id").distinct().withColumn("fit", F.lit(True)), "stream_id", "left")
-        r = r.withColumn("fit", F.coalesce("fit", F.lit(False)) & ~F.col("held"))
-        whole = Window.partitionBy("channel_id")
-        sofar = whole.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-        nth = F.sum(F.col("fit").cast("int")).over(sofar)
-        room = F.greatest(F.lit(most) - F.sum(F.col("held").cast("int")).over(whole), F.lit(0))
-        fits = F.col("fit") & (F.lit(most <= 0) | (nth <= room))
-        kept = r.withColumn("kept", F.col("held") | fits).filter("kept")
-    kept = kept.select("channel_id", "stream_id", "ord", F.lit(0).alias("part"))
-    if not remove:
-        rest = assigned.join(kept.select("channel_id", "stream_id"), ["channel_id", "stream_id"], "left_anti")
-        kept = kept.unionByName(rest.select("channel_id", "stream_id", "ord", F.lit(1).alias("part")))
-    at = F.row_number().over(Window.partitionBy("channel_id").orderBy("part", "ord"))
+    fit = F.lit(False)
+    if eligible is not None:
+        ranked = ranked.join(eligible.select("stream_id").distinct().withColumn("fit", F.lit(True)), "stream_id", "left")
+        fit = F.coalesce("fit", F.lit(False))
+    rows = ranked.select("channel_id", "stream_id", "ord", F.lit(0).alias("part"), fit.alias("fit"))
+    rows = rows.unionByName(assigned.select("channel_id", "stream_id", "ord", F.lit(1).alias("part"), F.lit(False).alias("fit")))
+    # one exchange by channel serves all windows; each row of a list is read once
+    pair, whole = Window.partitionBy("channel_id", "stream_id"), Window.partitionBy("channel_id")
+    rows = rows.repartition("channel_id").withColumn("held", F.max("part").over(pair) == 1).withColumn("ranks", F.min("part").over(pair) == 0)
+    first = F.col("part") == 0
+    new = F.col("fit") & ~F.col("held") & first
+    nth = F.sum(new.cast("int")).over(whole.orderBy("part", "ord").rowsBetween(Window.unboundedPreceding, 0))
+    room = F.greatest(F.lit(most) - F.sum((first & F.col("held")).cast("int")).over(whole), F.lit(0))
+    fits = new & (F.lit(most <= 0) | (nth <= room))
+    kept = rows.withColumn("kept", F.when(first, F.col("held") | fits).otherwise(~F.col("ranks") & F.lit(not remove))).filter("kept")
+    at = F.row_number().over(whole.orderBy("part", "ord"))
     return kept.select("channel_id", at.cast("bigint").alias("position"), "stream_id")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +15,57 @@ from tidemark.sources.scratch import folder
 FACTORS = ["tier", "group_name", "provider_name"]
 
 
-def fitted(buckets: DataFrame, rounds: int = 20, least_move: float = 1.0) -> DataFrame:
+#: Cells of tier, group and provider up to which the fit is solved from its pair sums on the driver; beyond, each round is a Spark job.
+MOST_CELLS = 2_000_000
+
+
+def fitted(buckets: DataFrame, rounds: int = 20, least_move: float = 1.0, most_cells: int = MOST_CELLS) -> DataFrame:
     """factor, key, samples, effective_kbps, delta_kbps, baseline_kbps: weighted backfitting over tier, group, provider in turn.
 
     buckets: the three factors, effective_kbps and samples (the weight). Each level is the weighted mean of what the others leave,
-    then each factor is centred; it ends when no level moved by least_move before centring. Effects stay columns of the buckets,
-    so nothing but one number a factor and round comes to the driver; lineage is cut with a checkpoint once a round.
+    then each factor is centred; it ends when no level moved by least_move before centring. A round needs nothing but the weights of pairs of levels
+    and each level's weighted sum, which one aggregation over the cells gives; they are as many as an installation has providers times groups,
+    whatever its samples. Where there are more than most_cells, rounds run on Spark.
     """
     folder(buckets.sparkSession)
-    w, y = F.col("w"), F.col("y")
     d = buckets.groupBy(*FACTORS).agg(F.sum("samples").cast("double").alias("w"), (F.sum(F.col("effective_kbps") * F.col("samples")) / F.sum("samples")).alias("y"))
     d = d.checkpoint()
+    if d.count() > most_cells:
+        return _fitted_on_spark(d, rounds, least_move)
+    cells = d.toPandas()
+    w, y = cells["w"].to_numpy(float), cells["y"].to_numpy(float)
+    grand = float((w * y).sum() / w.sum()) if len(w) else 0.0
+    codes, keys = zip(*[pd.factorize(cells[f]) for f in FACTORS], strict=True)
+    weight = [np.bincount(c, w) for c in codes]
+    own = [np.bincount(c, w * (y - grand)) for c in codes]
+    pairs = {}
+    for a, b in permutations(range(len(FACTORS)), 2):
+        both, at = np.unique(codes[a].astype(np.int64) * len(keys[b]) + codes[b], return_inverse=True)
+        pairs[a, b] = both // max(len(keys[b]), 1), both % max(len(keys[b]), 1), np.bincount(at, w)
+    effect = [np.zeros(len(k)) for k in keys]
+    for _ in range(rounds):
+        moved = 0.0
+        for f in range(len(FACTORS)):
+            left = own[f].copy()
+            for o in range(len(FACTORS)):
+                if o != f and len(keys[f]):
+                    mine, theirs, sums = pairs[f, o]
+                    left -= np.bincount(mine, sums * effect[o][theirs], len(keys[f]))
+            new = left / weight[f] if len(left) else left
+            moved = max(moved, float(np.abs(new - effect[f]).max(initial=0)))
+            effect[f] = new - (new * weight[f]).sum() / max(weight[f].sum(), 1e-300)
+        if moved < least_move:
+            break
+    rows = [(f, k, int(n), float(e)) for f, ks, ns, es in zip(FACTORS, keys, weight, effect, strict=True) for k, n, e in zip(ks, ns, es, strict=True)]
+    out = buckets.sparkSession.createDataFrame(rows, "factor string, key string, samples bigint, effect double")
+    base = half_up(F.lit(grand))
+    delta = half_up(F.col("effect"))
+    return out.select("factor", "key", "samples", (base + delta).alias("effective_kbps"), delta.alias("delta_kbps"), base.alias("baseline_kbps"))
+
+
+def _fitted_on_spark(d: DataFrame, rounds: int, least_move: float) -> DataFrame:
+    """The same fit with effects as columns of the cells: one number a factor and round comes to the driver, and a checkpoint cuts lineage."""
+    w, y = F.col("w"), F.col("y")
     grand = d.agg((F.sum(w * y) / F.sum(w)).alias("g")).first()["g"]
     if grand is None:
         grand = 0.0

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.plans.registry import QUERIES, SQL
-from tidemark.streaming.incremental import dead_streaks, folder_stream, hourly
+from tidemark.functions.scalars import verdict_ttl
+from tidemark.plans.registry import QUERIES, SQL, TTL
+from tidemark.streaming.incremental import dead_streaks, folder_stream, hourly, verdict_cache
 
 
 def stream_query(sql: str):
@@ -26,3 +27,13 @@ def stream_hourly_window(spark, sf_dir):
 SELECT user_id, count(*) FILTER (seen IS NULL OR (ts, event_id) > seen) AS dead_streak FROM events JOIN l USING (user_id) GROUP BY 1""")
 def stream_dead_streak(spark, sf_dir):
     return dead_streaks(folder_stream(spark, f"{sf_dir}/events.parque[t]"), "user_id", F.col("event_type").isin("view", "click"), ["ts", "event_id"])
+
+
+@stream_query(f"""WITH l AS (SELECT user_id, max((ts, event_id)) FILTER (event_type IN ('view', 'click')) AS seen, arg_max(event_type, (ts, event_id)) IN ('view', 'click') AS alive, max(epoch_us(ts) // 1000) AS at_ms FROM events GROUP BY 1),
+ s AS (SELECT l.user_id, alive, at_ms, count(*) FILTER (seen IS NULL OR (ts, event_id) > seen) AS dead_streak FROM events e JOIN l ON l.user_id = e.user_id GROUP BY 1, 2, 3)
+SELECT user_id, alive, dead_streak, at_ms + CASE WHEN alive THEN {TTL["live"]} ELSE least(CAST(pow(2, least(greatest(dead_streak - 1, 0), 30)) AS BIGINT) * {TTL["dead"]}, {TTL["most"]}) END AS due_at FROM s""")
+def stream_verdict_cache(spark, sf_dir):
+    """The last verdict of each key from a stream, kept as state, and when it is due again."""
+    d = verdict_cache(folder_stream(spark, f"{sf_dir}/events.parque[t]"), F.col("user_id"), F.col("event_type").isin("view", "click"), F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id"))
+    ttl = verdict_ttl(F.col("alive"), F.lit(1), F.col("dead_streak"), TTL["live"], TTL["dead"], TTL["most"], TTL["unknown"])
+    return d.select(F.col("key").alias("user_id"), "alive", "dead_streak", (F.col("at_ms") + ttl).alias("due_at"))

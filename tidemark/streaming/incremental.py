@@ -6,15 +6,17 @@ failure replaces what it wrote; the answer is a fold over those parts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.sources.scratch import path
 
 
-def run_available(stream: DataFrame, name: str, each: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def run_available(stream: DataFrame, name: str, each: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """All that the stream has now, as the parts that `each` makes of its micro-batches, with their batch id."""
     spark = stream.sparkSession
     at = path(spark, name)
@@ -22,7 +24,7 @@ def run_available(stream: DataFrame, name: str, each: Callable[[DataFrame], Data
     def part(batch: DataFrame, batch_id: int) -> None:
         each(batch).write.mode("overwrite").parquet(f"{at}/parts/batch={batch_id}")
 
-    query = stream.writeStream.foreachBatch(part).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(part).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.option("basePath", f"{at}/parts").parquet(f"{at}/parts")
 
@@ -71,3 +73,54 @@ def settled(stream: DataFrame, key: str, expected: DataFrame) -> DataFrame:
     d = expected.join(parts.withColumn("so_far", so_far), key, "left").groupBy(key, "parts")
     done = F.min(F.when(F.col("so_far") >= F.col("parts"), F.col("batch"))).cast("bigint")
     return d.agg(F.coalesce(F.sum("landed"), F.lit(0)).alias("landed"), done.alias("settled_in"))
+
+
+VERDICT = "alive boolean, at_ms bigint, seq bigint, dead_streak bigint"
+
+
+class VerdictState(StatefulProcessor):
+    """The last verdict of a key and how many failures in a row it ends; late attempts don't take its place, and state past its retention goes."""
+
+    def __init__(self, retention_ms: int | None):
+        self.retention_ms = retention_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", VERDICT, self.retention_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        alive, at, seq, streak = self.last.get() if self.last.exists() else (True, -1, -1, 0)
+        fresh = pd.concat(list(rows)).sort_values(["at_ms", "seq"])
+        fresh = fresh[(fresh["at_ms"] > at) | (fresh["at_ms"] == at) & (fresh["seq"] > seq)]
+        if len(fresh):
+            good = fresh["alive"].to_numpy(bool)
+            since = len(good) - 1 - int(good[::-1].argmax()) if good.any() else None
+            streak = streak + len(good) if since is None else len(good) - 1 - since
+            end = fresh.iloc[-1]
+            alive, at, seq = bool(end["alive"]), int(end["at_ms"]), int(end["seq"])
+            self.last.update((alive, at, seq, streak))
+        yield pd.DataFrame({"key": [key[0]], "alive": [alive], "at_ms": [at], "seq": [seq], "dead_streak": [streak]})
+
+    def close(self) -> None:
+        pass
+
+
+def verdict_cache(stream: DataFrame, key: Column, alive: Column, at_ms: Column, seq: Column, retention_ms: int | None = None) -> DataFrame:
+    """key, alive, at_ms, seq, dead_streak of each key after all that the stream has now, kept as state by key.
+
+    State is one row a key in the state store, not a row a batch. With retention_ms a key that nothing was heard of for so long (by the
+    clock) is forgotten. Each batch writes what its keys are now; the last of a key is the answer.
+    """
+    spark = stream.sparkSession
+    rows = stream.select(key.alias("key"), alive.alias("alive"), at_ms.alias("at_ms"), seq.alias("seq"))
+    kind = rows.schema["key"].dataType.simpleString()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        mode = "none" if retention_ms is None else "processingTime"
+        states = rows.groupBy("key").transformWithStateInPandas(VerdictState(retention_ms), f"key {kind}, {VERDICT}", "update", mode)
+        parts = run_available(states, "verdicts", lambda batch: batch, "update")
+    finally:
+        spark.conf.set(provider, before)
+    last = F.max_by(F.struct("alive", "at_ms", "seq", "dead_streak"), "batch")
+    return parts.groupBy("key").agg(last.alias("last")).select("key", "last.*")
