@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from tidemark.operators import effects
 
 
@@ -25,13 +27,14 @@ def plain_fit(rows):
     return grand, tables
 
 
-def test_fit(spark):
+@pytest.mark.parametrize("most_cells", [effects.MOST_CELLS, 0])
+def test_fit(spark, most_cells):
     rng = random.Random(5)
     rows = [(t, g, p, 3000 + 900 * i + (1500 if g == "g1" else 0) + 100 * j + rng.randrange(300), rng.randrange(1, 60))
             for i, t in enumerate(["sd", "hd", "fhd"]) for g in ["g1", "g2", "g3", ""] for j, p in enumerate(["p1", "p2"]) if rng.random() < 0.8]
     df = spark.createDataFrame(rows, "tier string, group_name string, provider_name string, effective_kbps bigint, samples bigint")
     grand, tables = plain_fit(rows)
-    got = {(r.factor, r.key): r for r in effects.fitted(df).collect()}
+    got = {(r.factor, r.key): r for r in effects.fitted(df, most_cells=most_cells).collect()}
     assert len(got) == sum(map(len, tables))
     for f, table in zip(effects.FACTORS, tables, strict=True):
         for k, v in table.items():

@@ -19,6 +19,9 @@ FLAGS = ["AAC", "AC3", "DTS", "DD", "DD+", "ATMOS", "2.0", "5.1", "7.1", "RAW",
 DECORATION = "[¹²³ʰ-˿ᴬ-ᶿ⁰-₟⁦-⁩]+"
 # End of fixed values.
 
+# Words of a whole name that tell its tier, the best tier first.
+TIER_WORDS = {"uhd": "UHD|4K|2160P|2160I", "fhd": "FHD|1080P|1080I", "hd": "HD|720P|720I", "sd": "SD|LQ|576P|576I|480P|480I|360P"}
+# End of fixed values.
 BRACKETED = r"\[[^\]]*\]|\([^)]*\)"
 RESOLUTION, RATE = r"^([0-9]{3,4})[PI]$", r"^([0-9]{2,3})FPS$"
 #: Words of a section at most, and characters before its separator.
@@ -42,6 +45,12 @@ def match_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(fold(text)), "[^a-z0-9+]+", "")
 
 
+def tier_of(name: Column) -> Column:
+    """The tier that a raw name says anywhere, between anything but letters and digits in front and letters behind."""
+    says = lambda t: F.upper(name).rlike(f"(^|[^A-Z0-9])({TIER_WORDS[t]})([^A-Z]|$)")
+    return reduce(lambda out, t: out.when(says(t), t), list(TIER_WORDS)[1:], F.when(says("uhd"), "uhd")).otherwise("unknown")
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 

@@ -50,10 +50,14 @@ def by_section(aliases: DataFrame, streams: DataFrame) -> DataFrame:
 
 
 def by_needle(needles: DataFrame, streams: DataFrame) -> DataFrame:
-    """Needles and the streams whose clean name has them between word bounds. Both meet on the needle's first run of letters or digits."""
-    n = needles.withColumn("needle", F.lower("text")).filter("needle <> ''").withColumn("lead", F.regexp_extract("needle", "[a-z0-9]+", 0))
-    runs = F.array_append(F.regexp_extract_all(F.lower("clean"), F.lit("([a-z0-9]+)")), F.lit(""))
-    s = streams.withColumn("run", F.explode(F.array_distinct(runs)))
+    """Needles and the streams whose clean name has them between word bounds.
+
+    Both meet on the needle's longest run of letters or digits, as that is in the fewest names, or on its largest sign where it has neither.
+    """
+    runs = lambda text: F.regexp_extract_all(text, F.lit(r"([a-z0-9]+|[^a-z0-9\s])"))
+    longest = F.array_max(F.transform(runs(F.col("needle")), lambda r: F.struct(F.length(r).alias("size"), r.alias("run"))))["run"]
+    n = needles.withColumn("needle", F.lower("text")).filter("needle <> ''").withColumn("lead", longest)
+    s = streams.withColumn("run", F.explode(F.array_distinct(runs(F.lower("clean")))))
     quoted = F.regexp_replace("needle", r"([^a-z0-9\s])", r"\\$1")
     pattern = F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])"))
     return n.join(s, n["lead"] == s["run"]).filter(F.rlike(F.lower("clean"), pattern)).drop("needle", "lead", "run")

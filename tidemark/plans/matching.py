@@ -132,3 +132,8 @@ def excluded_groups(groups):
 )
 def stream_search(streams):
     return matching.search(matching.prepared(streams, _countries(streams)), "ring")
+
+
+@query(["v_stream"], f"WITH {PARTS} SELECT stream_id, CASE k WHEN 0 THEN 'fhd' WHEN 1 THEN 'uhd' WHEN 2 THEN 'hd' WHEN 3 THEN 'fhd' WHEN 5 THEN 'sd' ELSE 'unknown' END AS tier FROM p")
+def name_tiers(streams):
+    return streams.select("stream_id", names.tier_of(F.col("name")).alias("tier"))
