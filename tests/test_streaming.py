@@ -1,15 +1,11 @@
 """Streams of several batches against the answer over all rows."""
 
-import datetime
-
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import path
 from tidemark.streaming.incremental import folder_stream, verdict_cache
 
-EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
-
 
 @pytest.fixture(scope="module")
 def attempts(spark):
@@ -33,13 +29,19 @@ def last_streaks(rows):
     return out
 
 
-@pytest.mark.parametrize("retention", [None, 3_600_000])
-def test_verdicts_are_kept_as_state_over_batches(spark, attempts, retention):
+def test_verdicts_are_kept_as_state_over_batches(spark, attempts):
     at, rows = attempts
-    stream = folder_stream(spark, at, files_a_batch=1)
-    d = verdict_cache(stream, F.col("key"), F.col("alive"), F.col("at_ms"), F.col("seq"), retention)
+    d = verdict_cache(folder_stream(spark, at, files_a_batch=1), F.col("key"), F.col("alive"), F.col("at_ms"), F.col("seq"))
     found = {r.key: (r.alive, r.at_ms, r.seq, r.dead_streak) for r in d.collect()}
     want = last_streaks(rows)
     assert {k: v[:3] for k, v in found.items()} == {k: v[:3] for k, v in want.items()}
     for key, (_, _, _, streak) in found.items():  # attempts that arrive after later ones do not count
         assert streak == last_streaks([r for r in rows if r[3] < 900])[key][3]
+
+
+def test_silent_keys_are_forgotten(spark):
+    at = path(spark, "silent")
+    for part in ([(1, True, 1_000, 1), (2, False, 2_000, 2)], [(2, False, 70_000, 3)], [(3, True, 71_000, 4)]):
+        spark.createDataFrame(part, "key bigint, alive boolean, at_ms bigint, seq bigint").coalesce(1).write.mode("append").parquet(at)
+    d = verdict_cache(folder_stream(spark, at, files_a_batch=1), F.col("key"), F.col("alive"), F.col("at_ms"), F.col("seq"), 60_000)
+    assert {(r.key, r.dead_streak) for r in d.collect()} == {(2, 2), (3, 0)}

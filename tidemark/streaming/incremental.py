@@ -79,15 +79,19 @@ VERDICT = "alive boolean, at_ms bigint, seq bigint, dead_streak bigint"
 
 
 class VerdictState(StatefulProcessor):
-    """The last verdict of a key and how many failures in a row it ends; late attempts don't take its place, and state past its retention goes."""
+    """The last verdict of a key and how many failures in a row it ends; late attempts don't take its place.
+
+    A key that the stream's time has left behind by more than the retention is forgotten, which a row without `alive` says.
+    """
 
     def __init__(self, retention_ms: int | None):
         self.retention_ms = retention_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", VERDICT, self.retention_ms)
+        self.handle = handle
+        self.last = handle.getValueState("last", VERDICT)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         alive, at, seq, streak = self.last.get() if self.last.exists() else (True, -1, -1, 0)
         fresh = pd.concat(list(rows)).sort_values(["at_ms", "seq"])
         fresh = fresh[(fresh["at_ms"] > at) | (fresh["at_ms"] == at) & (fresh["seq"] > seq)]
@@ -96,10 +100,19 @@ class VerdictState(StatefulProcessor):
             since = len(good) - 1 - int(good[::-1].argmax()) if good.any() else None
             streak = streak + len(good) if since is None else len(good) - 1 - since
             end = fresh.iloc[-1]
+            if self.retention_ms is not None:
+                if at >= 0:
+                    self.handle.deleteTimer(at + self.retention_ms)
+                self.handle.registerTimer(int(end["at_ms"]) + self.retention_ms)
             alive, at, seq = bool(end["alive"]), int(end["at_ms"]), int(end["seq"])
             self.last.update((alive, at, seq, streak))
         yield pd.DataFrame({"key": [key[0]], "alive": [alive], "at_ms": [at], "seq": [seq], "dead_streak": [streak]})
 
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        _, at, seq, _ = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame({"key": [key[0]], "alive": pd.array([None], "boolean"), "at_ms": [at], "seq": [seq], "dead_streak": [0]})
+
     def close(self) -> None:
         pass
 
@@ -107,20 +120,22 @@ class VerdictState(StatefulProcessor):
 def verdict_cache(stream: DataFrame, key: Column, alive: Column, at_ms: Column, seq: Column, retention_ms: int | None = None) -> DataFrame:
     """key, alive, at_ms, seq, dead_streak of each key after all that the stream has now, kept as state by key.
 
-    State is one row a key in the state store, not a row a batch. With retention_ms a key that nothing was heard of for so long (by the
-    clock) is forgotten. Each batch writes what its keys are now; the last of a key is the answer.
+    State is one row a key in the state store, not a row a batch. With retention_ms a key is forgotten once the stream's time, which is that of its latest
+    attempt so far, has passed its last attempt by so much. Each batch writes what its keys are now; the last of a key is the answer.
     """
     spark = stream.sparkSession
     rows = stream.select(key.alias("key"), alive.alias("alive"), at_ms.alias("at_ms"), seq.alias("seq"))
     kind = rows.schema["key"].dataType.simpleString()
+    mode = "none"
+    if retention_ms is not None:
+        rows, mode = rows.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", "0 seconds"), "eventTime"
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        mode = "none" if retention_ms is None else "processingTime"
         states = rows.groupBy("key").transformWithStateInPandas(VerdictState(retention_ms), f"key {kind}, {VERDICT}", "update", mode)
         parts = run_available(states, "verdicts", lambda batch: batch, "update")
     finally:
         spark.conf.set(provider, before)
     last = F.max_by(F.struct("alive", "at_ms", "seq", "dead_streak"), "batch")
-    return parts.groupBy("key").agg(last.alias("last")).select("key", "last.*")
+    return parts.groupBy("key").agg(last.alias("last")).select("key", "last.*").filter("alive IS NOT NULL")
