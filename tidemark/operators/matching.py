@@ -166,3 +166,11 @@ def search(streams: DataFrame, needle: str) -> DataFrame:
         F.max(F.when(F.col("n") == 1, F.col("name"))).alias("sample_1"), F.max(F.when(F.col("n") == 2, F.col("name"))).alias("sample_2"), F.max(F.when(F.col("n") == 3, F.col("name"))).alias("sample_3"),
     )
     return out
+
+
+def claimers(found: DataFrame, claims: DataFrame) -> DataFrame:
+    """For each key found: its streams, those that a channel claims, and the channels that do; counted in two steps, so no set of a key is built."""
+    d = found.select("key", "stream_id").distinct().join(claims.select("stream_id", "channel_id").distinct(), "stream_id", "left")
+    streams = d.groupBy("key", "stream_id").agg(F.count("channel_id").alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("streams"), F.count_if(F.col("n") > 0).alias("claimed"))
+    channels = d.filter("channel_id IS NOT NULL").select("key", "channel_id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("claimers"))
+    return streams.join(channels, "key", "left").fillna(0, ["claimers"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.verdicts import due_at
+from tidemark.sources.scratch import written
 
 
 def due_jobs(candidates: DataFrame, verdicts: DataFrame, now: int, forced: int, **ttl: int) -> DataFrame:
@@ -57,6 +58,19 @@ def lane_slice(jobs: DataFrame, limits: DataFrame, total: int) -> DataFrame:
     return by_share.select(*cols, F.lit("share").alias("taken_by")).unionByName(rest.select(*cols, F.lit("rest").alias("taken_by")))
 
 
+def numbered(items: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """items with `seq`, their number from 0 on within `by` in an order without ties.
+
+    Rows are dealt by ranges of (by, order) and written; each range is numbered by itself and starts where the ranges before it end. So the items of
+    one value of `by` may fill many tasks.
+    """
+    placed = written(items.repartitionByRange(by, *order).withColumn("piece", F.spark_partition_id()), "numbered")
+    before = Window.partitionBy(by).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = placed.groupBy(by, "piece").count().select(by, "piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
+    within = F.row_number().over(Window.partitionBy(by, "piece").orderBy(*order))
+    return placed.withColumn("within", within).join(ahead, [by, "piece"]).withColumn("seq", F.col("ahead") + F.col("within") - 1).drop("piece", "ahead", "within")
+
+
 def draw(items: DataFrame, logins: DataFrame, order: list[str]) -> DataFrame:
     """Each item's login by weighted round-robin within its provider: the login whose range of widths holds its number modulo their sum.
 
@@ -66,8 +80,7 @@ def draw(items: DataFrame, logins: DataFrame, order: list[str]) -> DataFrame:
     all_of = Window.partitionBy("provider_id")
     ranges = logins.withColumn("hi", F.sum("slots").over(per.rowsBetween(Window.unboundedPreceding, 0))).withColumn("lo", F.col("hi") - F.col("slots"))
     ranges = ranges.withColumn("width", F.sum("slots").over(all_of)).withColumn("first", F.min("login_id").over(all_of))
-    numbered = items.withColumn("seq", F.row_number().over(Window.partitionBy("provider_id").orderBy(*order)) - 1)
-    d = numbered.join(ranges, "provider_id")
+    d = numbered(items, "provider_id", order).join(ranges, "provider_id")
     at = F.try_mod(F.col("seq"), F.col("width"))
     hit = F.when(F.col("width") > 0, (F.col("lo") <= at) & (at < F.col("hi"))).otherwise(F.col("login_id") == F.col("first"))
     return d.filter(hit).select(*items.columns, "login_id")

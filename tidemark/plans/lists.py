@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import texts
-from tidemark.operators import gate, lists, metrics, quality
+from tidemark.functions import names, texts
+from tidemark.operators import documents, gate, lists, matching, metrics, quality
 from tidemark.plans.matching import RULES_SQL, VIEWS, _matched
 from tidemark.plans.passes import GATE_SQL, PATTERNS as POLICY_PATTERNS
 from tidemark.plans.registry import BUCKETS_SQL, D, EPG_NOW, query
+from tidemark.sources import exports
 
 RANKED = "mode IN ('assigned', 'after_epg_start')"
 PROBEABLE = f"(mode <> 'never' AND (has_rule OR assignment_only OR {RANKED} AND assigned > 0))"
@@ -135,3 +136,55 @@ def lane_metrics(providers):
     i = F.col("provider_id")
     flight = F.when(i % 3 > 0, F.sequence(F.lit(1), (i % 3).cast("int")))
     return metrics.lane_families(providers.select(i.alias("provider"), F.col("max_streams").alias("limit"), (i % 9).alias("queued"), (i % 7).alias("done"), F.when(i % 2 == 0, i % 3).alias("dead"), (i % 4).alias("failed"), flight.alias("current")))
+
+
+@query(
+    ["v_option"],
+    """SELECT option_id, CASE WHEN option_id % 4 = 1 THEN 'provider' WHEN option_id % 4 = 2 THEN 'alias' ELSE 'quality' END AS mode, ['b', CAST(option_id AS VARCHAR)] AS provider_preference, CASE WHEN option_id % 3 = 0 THEN option_id * 0.5::DOUBLE ELSE 0::DOUBLE END AS bitrate FROM v_option""",
+)
+def orderings_stored(options):
+    i = F.col("option_id")
+    mode = F.when(i % 4 == 1, "provider").when(i % 4 == 2, "alias").when(i % 4 == 3, "odd")
+    names = F.array(F.lit(" b"), F.lit(" "), i.cast("string"), F.lit("b "))
+    weight = F.when(i % 3 == 0, i * 0.5).when(i % 3 == 1, F.lit(float("inf")))
+    return options.select("option_id", *documents.ordering(mode, names, {"bitrate": weight}))
+
+
+@query(
+    ["v_channel"],
+    """WITH c AS (SELECT channel_id AS i, channel_id % 3 > 0 AS ruled, channel_id % 2 = 0 AS edited FROM v_channel)
+ SELECT i AS channel_id, CASE WHEN ruled THEN i % 5 > 0 ELSE true END AS enabled, CASE WHEN edited THEN ['n' || i] ELSE ['o' || i, ' '] END AS aliases, CASE WHEN edited THEN [] ELSE ['c'] END AS contains,
+ CASE WHEN edited AND i % 4 = 0 THEN CASE WHEN i % 8 = 0 THEN [i, 2] END WHEN ruled THEN [i] END AS providers FROM c WHERE ruled OR edited""",
+)
+def rules_edited(channels):
+    """Rules of two thirds of the channels after edits of each second one; each edit comes twice and the later one counts."""
+    i = F.col("channel_id")
+    text = lambda prefix: F.concat(F.lit(prefix), i.cast("string"))
+    none, blank = F.array().cast("array<string>"), F.lit(" ")
+    old = channels.filter(i % 3 > 0).select("channel_id", (i % 5 > 0).alias("enabled"), F.array(text("o"), blank).alias("aliases"), F.array(F.lit("c")).alias("contains"), none.alias("exclude"), F.array(i).alias("providers"))
+    scope = F.when(i % 8 == 0, F.array(i, F.lit(2).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    edit = lambda ord_, name: channels.filter(i % 2 == 0).select("channel_id", F.lit(ord_).alias("ord"), F.array(text(name), blank, text(name)).alias("aliases"), none.alias("contains"), none.alias("exclude"), scope.alias("providers"), (i % 4 == 0).alias("providers_given"))
+    return documents.rules_edited(old, edit(2, "n").unionByName(edit(1, "x"))).drop("exclude")
+
+
+@query(
+    VIEWS,
+    f"""WITH {RULES_SQL}, m AS (SELECT DISTINCT channel_id, stream_id FROM passed WHERE (channel_id, stream_id) NOT IN (SELECT (channel_id, stream_id) FROM out)), t AS (SELECT * FROM m WHERE stream_id % 5 > 0 OR channel_id % 2 = 0),
+ j AS (SELECT m.channel_id, count(*) AS ours, count(t.stream_id) AS shared FROM m LEFT JOIN t ON t.channel_id = m.channel_id AND t.stream_id = m.stream_id GROUP BY 1)
+ SELECT channel_id, CASE WHEN shared > 0 THEN 'both' ELSE 'ours' END AS found, ours, shared AS theirs, shared, ours = shared AS same FROM j""",
+)
+def claims_cross_checked(channels, streams, groups):
+    claims = _matched(channels, streams, groups).select("channel_id", "stream_id")
+    return exports.cross_checked(claims, claims.filter("stream_id % 5 > 0 OR channel_id % 2 = 0"))
+
+
+@query(
+    VIEWS,
+    f"""WITH {RULES_SQL}, m AS (SELECT DISTINCT channel_id, stream_id FROM passed WHERE (channel_id, stream_id) NOT IN (SELECT (channel_id, stream_id) FROM out)),
+ f AS (SELECT stream_id, CASE WHEN k = 6 THEN replace(p_name, ' ', '') || '+1' ELSE replace(p_name, ' ', '') END AS key FROM p WHERE contains(lower(name), 'ring'))
+ SELECT key, count(DISTINCT f.stream_id) AS streams, count(DISTINCT m.stream_id) AS claimed, count(DISTINCT channel_id) AS claimers FROM f LEFT JOIN m ON m.stream_id = f.stream_id GROUP BY 1""",
+)
+def search_claimed(channels, streams, groups):
+    """Search results by key with how many of their streams are claimed, and by how many channels."""
+    found = matching.having(matching.prepared(streams, names.country_codes(streams.sparkSession)), "ring").select("key", "stream_id")
+    return matching.claimers(found, _matched(channels, streams, groups))

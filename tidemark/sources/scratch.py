@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder, set here, only where that is unset, as in tests."""
+    """The session's spark.checkpoint.dir; a temporary folder, set here, only where that is unset and Spark runs in one process, as in tests."""
     context = spark.sparkContext
     at = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not at:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(at)
