@@ -7,7 +7,7 @@ code, E an empty token, N anything else), so that "the longest tail of tags" is
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,48 +72,85 @@ def with_parts(df: DataFrame, name: str, countries: list[str]) -> DataFrame:
 
     A null name counts as empty. A trailing country code is a market tag only where a known tag stands to its left.
     """
-    keep = df.columns
-    d = df.withColumn("_folded", fold(F.coalesce(F.col(name), F.lit(""))))
+    d = df
+    for batch in _part_steps(df.sparkSession, name, tuple(countries)):
+        d = d.withColumns(batch)
+    return d.select(*df.columns, "clean", "prefixes", "brackets", "regions", "timeshift", "tier", "height", "codec", "fps", "flags")
+
+
+@lru_cache(maxsize=8)
+def _part_steps(spark: SparkSession, name: str, countries: tuple[str, ...]) -> list[dict[str, Column]]:
+    """The columns of with_parts, in batches that each read those before. They are the same for every table, so a session builds them once."""
+    steps: list[dict[str, Column]] = [{}]
+    add = lambda column, value: steps[-1].__setitem__(column, value)
+    then = lambda: steps.append({})
+    add("_folded", fold(F.coalesce(F.col(name), F.lit(""))))
+    add("prefixes", F.array().cast("array<string>"))
+    then()
     inner = F.transform(F.regexp_extract_all("_folded", F.lit(f"({BRACKETED})")), lambda b: F.trim(F.substring(b, F.lit(2), F.length(b) - 2)))
-    d = d.withColumn("brackets", F.filter(inner, lambda b: b != "")).withColumn("_text", F.regexp_replace("_folded", BRACKETED, " "))
-    d = d.withColumn("timeshift", F.col("_text").rlike(r"\+\s*[0-9]")).withColumn("prefixes", F.array().cast("array<string>"))
+    add("brackets", F.filter(inner, lambda b: b != ""))
+    add("_text", F.regexp_replace("_folded", BRACKETED, " "))
+    then()
+    add("timeshift", F.col("_text").rlike(r"\+\s*[0-9]"))
     for k in range(SECTIONS):
-        d = d.withColumn(f"_t{k}", F.regexp_replace("_text", r"^[\s:|]+", ""))
+        add(f"_t{k}", F.regexp_replace("_text", r"^[\s:|]+", ""))
+        then()
         t = F.col(f"_t{k}")
-        d = d.withColumn(f"_h{k}", F.regexp_extract(t, r"^([^:|]*?)\s*[:|]", 1))
+        add(f"_h{k}", F.regexp_extract(t, r"^([^:|]*?)\s*[:|]", 1))
+        then()
         head = F.col(f"_h{k}")
         ok = (head != "") & (F.length(head) <= SECTION_CHARS) & (F.size(F.split(head, r"\s+")) <= SECTION_WORDS)
-        d = d.withColumn("prefixes", F.when(ok, F.array_append("prefixes", head)).otherwise(F.col("prefixes")))
-        d = d.withColumn("_text", F.when(ok, F.regexp_replace(t, r"^[^:|]*?\s*[:|]\s*", "")).otherwise(t))
-    d = d.withColumn("_words", words(F.regexp_replace("_text", r"\+", "+ ")))
-    d = d.withColumn("_tokens", F.transform("_words", lambda w: F.upper(F.regexp_replace(w, r"^[.,\-_]+|[.,\-_]+$", ""))))
+        add("prefixes", F.when(ok, F.array_append("prefixes", head)).otherwise(F.col("prefixes")))
+        add("_text", F.when(ok, F.regexp_replace(t, r"^[^:|]*?\s*[:|]\s*", "")).otherwise(t))
+        then()
+    add("_words", words(F.regexp_replace("_text", r"\+", "+ ")))
+    then()
+    add("_tokens", F.transform("_words", lambda w: F.upper(F.regexp_replace(w, r"^[.,\-_]+|[.,\-_]+$", ""))))
     codecs = {spelling: codec for codec, spellings in CODEC.items() for spelling in spellings}
     known: Callable[[Column], Column] = lambda t: t.isin(*QUALITY, *codecs, *FLAGS) | t.rlike(RESOLUTION) | t.rlike(RATE)
     kind = lambda t: F.when(t == "", "E").when(known(t), "K").when(t.isin(*countries), "C").otherwise("N")
-    d = d.withColumn("_kinds", F.array_join(F.transform("_tokens", kind), "")).withColumn("_tail", F.regexp_extract("_kinds", "([KCE]*)$", 1))
-    d = d.withColumn("_from", F.length("_kinds") - F.length("_tail")).withColumn("_till", F.col("_from") + F.length(F.regexp_extract("_tail", "^([CE]*)", 1)))
+    then()
+    add("_kinds", F.array_join(F.transform("_tokens", kind), ""))
+    then()
+    add("_tail", F.regexp_extract("_kinds", "([KCE]*)$", 1))
+    then()
+    add("_from", F.length("_kinds") - F.length("_tail"))
+    then()
+    add("_till", F.col("_from") + F.length(F.regexp_extract("_tail", "^([CE]*)", 1)))
     said = F.filter("_words", lambda w, i: (i < F.col("_from")) | ((i < F.col("_till")) & (F.substring(F.col("_kinds"), i + 1, F.lit(1)) == "C")))
+    then()
     tidy = F.regexp_replace(F.array_join(said, " "), r"^[\s\-_.]+|[\s\-_.]+$", "")
-    d = d.withColumn("clean", F.regexp_replace(tidy, r"\s+", " ")).withColumn("_tags", F.slice("_tokens", F.col("_till") + 1, F.greatest(F.size("_tokens") - F.col("_till"), F.lit(0))))
+    add("clean", F.regexp_replace(tidy, r"\s+", " "))
+    add("_tags", F.slice("_tokens", F.col("_till") + 1, F.greatest(F.size("_tokens") - F.col("_till"), F.lit(0))))
     # Runs of market tags come from the last one on, each in its own order.
     before = lambda i: F.length(F.regexp_replace(F.substring(F.col("_kinds"), F.lit(1), i), "[^K]", ""))
     runs = F.transform("_words", lambda w, i: F.struct((-before(i)).alias("run"), i.alias("i"), w.alias("w"), F.substring(F.col("_kinds"), i + 1, F.lit(1)).alias("k")))
     at = F.filter(runs, lambda r: (r["i"] >= F.col("_till")) & (r["k"] == "C"))
-    d = d.withColumn("regions", F.transform(F.array_sort(at), lambda r: r["w"]))
-    d = d.withColumn("_size", _last(F.filter("_tags", lambda t: t.isin(*QUALITY) | t.rlike(RESOLUTION))))
+    add("regions", F.transform(F.array_sort(at), lambda r: r["w"]))
+    then()
+    add("_size", _last(F.filter("_tags", lambda t: t.isin(*QUALITY) | t.rlike(RESOLUTION))))
+    then()
     lines = F.regexp_extract("_size", RESOLUTION, 1).try_cast("bigint")
-    d = d.withColumn("height", F.coalesce(_pick({k: v[1] for k, v in QUALITY.items()}, F.col("_size")).cast("bigint"), lines, F.lit(0).cast("bigint")))
+    add("height", F.coalesce(_pick({k: v[1] for k, v in QUALITY.items()}, F.col("_size")).cast("bigint"), lines, F.lit(0).cast("bigint")))
     ladder = F.when(lines >= 2000, "uhd").when(lines >= 1000, "fhd").when(lines >= 700, "hd").when(lines.isNotNull(), "sd")
-    d = d.withColumn("tier", F.coalesce(_pick({k: v[0] for k, v in QUALITY.items()}, F.col("_size")), ladder, F.lit("")))
+    add("tier", F.coalesce(_pick({k: v[0] for k, v in QUALITY.items()}, F.col("_size")), ladder, F.lit("")))
     codec = F.transform(F.filter("_tags", lambda t: t.isin(*codecs)), lambda t: _pick(codecs, t))
     rates = F.filter(F.transform(F.filter("_tags", lambda t: t.rlike(RATE)), lambda t: F.regexp_extract(t, RATE, 1).cast("bigint")), lambda x: x > 0)
-    d = d.withColumn("codec", F.coalesce(_last(codec), F.lit(""))).withColumn("fps", F.coalesce(_last(rates), F.lit(0).cast("bigint")))
-    d = d.withColumn("flags", F.array_sort(F.array_distinct(F.filter("_tags", lambda t: t.isin(*FLAGS)))))
-    return d.select(*keep, "clean", "prefixes", "brackets", "regions", "timeshift", "tier", "height", "codec", "fps", "flags")
+    add("codec", F.coalesce(_last(codec), F.lit("")))
+    add("fps", F.coalesce(_last(rates), F.lit(0).cast("bigint")))
+    add("flags", F.array_sort(F.array_distinct(F.filter("_tags", lambda t: t.isin(*FLAGS)))))
+    return steps
 
 
 def with_keys(parts: DataFrame) -> DataFrame:
     """Parts with `key`, `quality_keys` (all spellings of the tags), `tail_keys` (and of the brackets) and `section_keys`."""
+    columns = _key_columns(parts.sparkSession)
+    return parts.withColumns({c: columns[c] for c in ("key", "quality_keys")}).withColumns({c: columns[c] for c in ("tail_keys", "section_keys")})
+
+
+@lru_cache(maxsize=8)
+def _key_columns(spark: SparkSession) -> dict[str, Column]:
+    """The columns of with_keys, which a session builds once."""
     none = F.array().cast("array<string>")
     of_tier = {t: [s for s, v in QUALITY.items() if v[0] == t] for t in ("uhd", "fhd", "hd", "sd")}
     tier = reduce(lambda rest, kv: F.when(F.col("tier") == kv[0], F.array(*map(F.lit, kv[1]))).otherwise(rest), of_tier.items(), none)
@@ -127,8 +164,9 @@ def with_keys(parts: DataFrame) -> DataFrame:
         return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.least(F.size(w), F.lit(SECTION_WORDS))), lambda i: F.array_join(F.slice(w, 1, i), " "))).otherwise(none)
 
     sections = F.concat(F.flatten(F.transform("prefixes", starts)), F.col("regions"), starts(F.col("clean")))
-    d = parts.withColumn("key", match_key(F.col("clean"))).withColumn("quality_keys", _keys(spelled))
-    return d.withColumn("tail_keys", F.array_union("quality_keys", _keys(bracket))).withColumn("section_keys", _keys(sections))
+    return {
+        "key": match_key(F.col("clean")), "quality_keys": _keys(spelled), "tail_keys": F.array_union("quality_keys", _keys(bracket)), "section_keys": _keys(sections),
+    }
 
 
 def with_alias(lines: DataFrame, line: str) -> DataFrame:
