@@ -12,13 +12,11 @@ ORDER = ["probed_at", "l_orderkey", "l_linenumber", "tie"]
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """The last verdict of each key, with how many failures in a row it ends."""
-    by = Window.partitionBy(*KEY).orderBy(*ORDER)
-    island = F.sum(F.col("alive").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    runs = Window.partitionBy(*KEY, "island").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    streak = F.sum((~F.col("alive")).cast("bigint")).over(runs)
-    last = Window.partitionBy(*KEY).orderBy(*[F.desc(c) for c in ORDER])
-    return log.withColumn("island", island).withColumn("dead_streak", streak).withColumn("rn", F.row_number().over(last)).filter("rn = 1").drop("rn", "island")
+    """The last verdict of each key, with how many failures in a row it ends: those after the last that was alive. One exchange and one sort."""
+    whole = Window.partitionBy(*KEY)
+    d = log.withColumn("rn", F.row_number().over(whole.orderBy(*ORDER)))
+    d = d.withColumns({"n": F.count(F.lit(1)).over(whole), "seen": F.max(F.when(F.col("alive"), F.col("rn"))).over(whole)})
+    return d.filter("rn = n").withColumn("dead_streak", F.col("n") - F.coalesce("seen", F.lit(0))).drop("rn", "n", "seen")
 
 
 def due_at(v: DataFrame, now: int, forced: int, live: int, dead: int, most: int, unknown: int) -> Column:
