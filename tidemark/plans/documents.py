@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
@@ -124,3 +127,33 @@ def legacy_convert(bodies):
 )
 def legacy_totals(bodies):
     return legacy.totals(legacy.converted(legacy.patterns(bodies)))
+
+
+@query(
+    ["v_raw_status", "v_uuid"],
+    """SELECT 'live' AS kind, (SELECT count(DISTINCT channel_id * m) FROM v_uuid, (SELECT unnest([1, 10, 100]) AS m) WHERE channel_id % 3 > 0) AS channels, false AS idle, false AS probe_failed
+ UNION ALL SELECT 'quiet', 0, true, false UNION ALL SELECT 'missing', NULL, false, true UNION ALL SELECT 'broken', NULL, false, true""",
+)
+def activity_read(bodies, uuids):
+    """Who watches, by four readings: sessions, none, no answer, and an answer that cannot be read."""
+    found = upstream.sessions(bodies, uuids)
+    none = found.filter("false")
+    broken = bodies.select(F.lit("<html>").alias("body"))
+    cases = {"live": (bodies, found), "quiet": (bodies.select(F.lit('{"count":0,"channels":[]}').alias("body")), none), "missing": (bodies.filter("false"), none), "broken": (broken, none)}
+    rows = [upstream.activity(*c).select(F.lit(k).alias("kind"), "*") for k, c in cases.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query(["v_raw_status", "v_uuid"], "SELECT profile_id, count(*) AS viewers FROM v_uuid, (SELECT unnest([7, 8])::BIGINT AS profile_id) WHERE channel_id % 3 > 0 GROUP BY 1")
+def profile_viewers(bodies, uuids):
+    return upstream.profile_viewers(upstream.sessions(bodies, uuids))
+
+
+@query(
+    ["v_raw_grid"],
+    """SELECT 't' || event_id AS tvg_id, CASE i WHEN 0 THEN 1704103200000 + 60000 * (event_id % 60) END AS start_ms, i::BIGINT AS ord FROM events, (SELECT unnest([0, 2]) AS i)""",
+)
+def epg_fallback(bodies):
+    """Programmes of a second grid, as the first answered with none."""
+    first = upstream.programmes(bodies.select(F.lit("[]").alias("body")))
+    return upstream.with_fallback(first, upstream.programmes(bodies)).select("tvg_id", "start_ms", "ord")

@@ -124,3 +124,25 @@ def sessions(bodies: DataFrame, uuids: DataFrame) -> DataFrame:
     checked = F.when((F.col("counted") > 0) & (some == 0), F.raise_error(F.lit("sessions are counted but none names a channel"))).otherwise(F.col("channel_id"))
     profile = F.when(F.trim("profile") != "", F.col("profile").try_cast("double").cast("bigint"))
     return first.withColumn("channel_id", checked).filter(F.col("channel_id").isNotNull()).select("channel_id", profile.alias("profile_id"))
+
+
+def activity(bodies: DataFrame, found: DataFrame) -> DataFrame:
+    """One row about who watches: channels, idle, probe_failed. A status that is missing or cannot be read counts as busy, and says so."""
+    state = F.from_json("body", "channels ARRAY<STRING>, count BIGINT")
+    broken = F.col("body").isNull() | ~_is_object(F.col("body")) | (F.coalesce(state["channels"].isNull() & state["count"].isNull(), F.lit(True)))
+    read = bodies.agg((F.count(F.lit(1)) == 0).alias("missing"), F.coalesce(F.bool_or(broken), F.lit(False)).alias("broken"))
+    seen = found.agg(F.count(F.lit(1)).alias("sessions"), F.count_distinct("channel_id").alias("channels"))
+    failed = F.col("missing") | F.col("broken")
+    d = read.join(seen)  # two single rows
+    return d.select(F.when(~failed, F.col("channels")).alias("channels"), (~failed & (F.col("sessions") == 0)).alias("idle"), failed.alias("probe_failed"))
+
+
+def profile_viewers(found: DataFrame) -> DataFrame:
+    """Sessions of each profile that a session names."""
+    return found.filter("profile_id IS NOT NULL").groupBy("profile_id").agg(F.count(F.lit(1)).alias("viewers"))
+
+
+def with_fallback(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """The rows of a source, or those of another where it gave none."""
+    none = rows.agg((F.count(F.lit(1)) == 0).alias("none")).scalar()
+    return rows.unionByName(other.select(rows.columns).filter(none))
