@@ -27,40 +27,31 @@ def scope_verdict(event_only: bool, include: list[str], exclude: list[str], grou
 CELL = ["provider_id", "group_id", "tier", "audio_only"]
 
 
-def at_fractions(values: DataFrame, by: list[str], fractions: dict[str, float]) -> DataFrame:
-    """`n` values of each cell and the values at floor(fraction * n) in order, the last one at most; values: the cell, `value`.
+def at_fraction(value: str, fraction: float) -> Column:
+    """Aggregate: the value at floor(fraction * n) in order, the last one at most; 0 without values.
 
-    Values are counted first, so what is ordered within a cell are its distinct values; no cell's rows are ever gathered.
+    It is the discrete percentile from the other end. Spark holds counts of distinct values for it, map-side first, and never a cell's rows.
     """
-    counted = values.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by)
-    d = counted.withColumn("upto", F.sum("n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
-    at = lambda f: F.least(F.col("all") - 1, F.floor(F.col("all") * F.lit(f)))
-    return d.groupBy(*by).agg(F.sum("n").alias("n"), *[F.min(F.when(F.col("upto") > at(f), F.col("value"))).cast("bigint").alias(c) for c, f in fractions.items()])
+    return F.coalesce(F.expr(f"percentile_disc({1 - fraction!r}D) WITHIN GROUP (ORDER BY {value} DESC)"), F.lit(0)).cast("bigint")
 
 
 def buckets(samples: DataFrame) -> DataFrame:
-    """One row per provider, group, tier and audio flag: rates, index percentiles and the effective bitrate.
-
-    One aggregation gives counts by cell, bitrate and height where those count; percentiles come from running counts over them.
-    """
+    """One row per provider, group, tier and audio flag: rates, index percentiles and the effective bitrate, in one aggregation."""
     alive, black = F.col("alive"), F.col("black")
     rated = alive & F.col("measured") & ~black & (F.col("bitrate_kbps") > 0)
-    own = {"rate": F.when(rated, F.col("bitrate_kbps")), "height": F.when(alive & (F.col("height") > 0), F.col("height"))}
-    cells = samples.groupBy(*CELL).agg(
-        F.count(F.lit(1)).alias("samples"), F.count_if(alive).alias("n_alive"), F.count_if(alive & black).alias("n_black"), F.max("sampled_at").alias("last_sampled_at")
-    )
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in own.items()])
-    values = samples.select(*CELL, F.explode(kinds).alias("v")).select(*CELL, "v.kind", "v.value").filter("value IS NOT NULL")
-    points = at_fractions(values, [*CELL, "kind"], {"half": 0.5, "most": 0.9})
-    when = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
-    wide = points.groupBy(*CELL).agg(when("rate", "n").alias("measured_samples"), when("rate", "half").alias("median_kbps"), when("rate", "most").alias("p90_kbps"), when("height", "half").alias("median_height"))
-    out = cells.join(wide, CELL, "left").fillna(0, ["measured_samples", "median_kbps", "p90_kbps", "median_height"])
-    out = out.withColumns(
-        {"alive_rate": F.col("n_alive") / F.col("samples"), "black_rate": F.when(F.col("n_alive") == 0, F.lit(0.0)).otherwise(F.col("n_black") / F.greatest("n_alive", F.lit(1)))}
+    own = {"rate": F.when(rated, F.col("bitrate_kbps")), "seen_height": F.when(alive & (F.col("height") > 0), F.col("height"))}
+    n, n_alive = F.count(F.lit(1)), F.count_if(alive)
+    out = samples.withColumns(own).groupBy(*CELL).agg(
+        n.alias("samples"),
+        (n_alive / n).alias("alive_rate"),
+        F.when(n_alive == 0, F.lit(0.0)).otherwise(F.count_if(alive & black) / F.greatest(n_alive, F.lit(1))).alias("black_rate"),
+        F.max("sampled_at").alias("last_sampled_at"),
+        F.count("rate").alias("measured_samples"),
+        at_fraction("rate", 0.5).alias("median_kbps"),
+        at_fraction("rate", 0.9).alias("p90_kbps"),
+        at_fraction("seen_height", 0.5).alias("median_height"),
     )
-    effective = half_up(F.col("median_kbps") * F.col("alive_rate") * (1 - F.col("black_rate")))
-    return out.select(*CELL, "samples", "alive_rate", "black_rate", "last_sampled_at", "measured_samples", "median_kbps", "p90_kbps", "median_height", effective.alias("effective_kbps"))
+    return out.withColumn("effective_kbps", half_up(F.col("median_kbps") * F.col("alive_rate") * (1 - F.col("black_rate"))))
 
 
 def trimmed(samples: DataFrame, newest: int) -> DataFrame:
