@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import path
-from tidemark.streaming.incremental import folder_stream, verdict_cache
+from tidemark.streaming.incremental import folder_stream, hourly, verdict_cache
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +45,14 @@ def test_silent_keys_are_forgotten(spark):
         spark.createDataFrame(part, "key bigint, alive boolean, at_ms bigint, seq bigint").coalesce(1).write.mode("append").parquet(at)
     d = verdict_cache(folder_stream(spark, at, files_a_batch=1), F.col("key"), F.col("alive"), F.col("at_ms"), F.col("seq"), 60_000)
     assert {(r.key, r.dead_streak) for r in d.collect()} == {(2, 2), (3, 0)}
+
+
+def test_hourly_windows_are_merged_batch_by_batch(spark, attempts):
+    at, rows = attempts
+    stream = folder_stream(spark, at, files_a_batch=1).withColumn("ts", F.timestamp_millis(F.col("at_ms") * 60))
+    found = {r.start.timestamp(): (r.rows, r.total) for r in hourly(stream, "ts", F.lit(1)).collect()}
+    want = {}
+    for _, _, ms, _ in rows:
+        start = ms * 60 // 3_600_000 * 3600
+        want[start] = want.get(start, 0) + 1
+    assert found == {k: (v, v) for k, v in want.items()}

@@ -16,17 +16,25 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tidemark.sources.scratch import path
 
 
-def run_available(stream: DataFrame, name: str, each: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """All that the stream has now, as the parts that `each` makes of its micro-batches, with their batch id."""
+def run_available(stream: DataFrame, name: str, each: Callable[[DataFrame], DataFrame], mode: str = "append", fold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """All that the stream has now, as the parts that `each` makes of its micro-batches, with their batch id.
+
+    With `fold` each batch merges its part with what the batch before left, so what is kept and read is one answer and doesn't grow with batches; a batch that
+    runs again starts from the same one.
+    """
     spark = stream.sparkSession
     at = path(spark, name)
 
     def part(batch: DataFrame, batch_id: int) -> None:
-        each(batch).write.mode("overwrite").parquet(f"{at}/parts/batch={batch_id}")
+        rows = each(batch)
+        if fold and batch_id:
+            rows = fold(rows.unionByName(spark.read.parquet(f"{at}/parts/batch={batch_id - 1}")))
+        rows.write.mode("overwrite").parquet(f"{at}/parts/batch={batch_id}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(part).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.option("basePath", f"{at}/parts").parquet(f"{at}/parts")
+    parts = spark.read.option("basePath", f"{at}/parts").parquet(f"{at}/parts")
+    return parts.filter(F.col("batch") == parts.agg(F.max("batch")).first()[0]) if fold else parts
 
 
 def folder_stream(spark: SparkSession, at: str, files_a_batch: int = 100) -> DataFrame:
@@ -41,8 +49,8 @@ def hourly(stream: DataFrame, at: str, measure: Column, width: str = "1 hour", s
     def each(batch: DataFrame) -> DataFrame:
         return batch.groupBy(window.alias("w")).agg(F.count(F.lit(1)).alias("rows"), F.sum(measure).alias("total")).select(F.col("w.start").alias("start"), "rows", "total")
 
-    parts = run_available(stream, "hourly", each)
-    return parts.groupBy("start").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))
+    merged = lambda d: d.groupBy("start").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))
+    return run_available(stream, "hourly", each, fold=merged).drop("batch")
 
 
 def dead_streaks(stream: DataFrame, key: str, alive: Column, order: list[str]) -> DataFrame:
