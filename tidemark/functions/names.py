@@ -17,13 +17,13 @@ QUALITY = {"UHD": ("uhd", 2160), "4K": ("uhd", 2160), "FHD": ("fhd", 1080), "HD"
 CODEC = {"hevc": ["HEVC", "H265", "H.265", "X265"], "h264": ["AVC", "H264", "H.264", "X264"]}
 FLAGS = ["AAC", "AC3", "DTS", "DD", "DD+", "ATMOS", "2.0", "5.1", "7.1", "RAW", "MULTI", "HDR", "VIP", "BACKUP", "ALT"]
 DECORATION = "[¹²³ʰ-˿ᴬ-ᶿ⁰-₟⁦-⁩]+"
-# End of fixed values.
-
-# Words of a whole name that tell its tier, the best tier first.
+# Words of a whole name that tell its tier, the best tier first.
 TIER_WORDS = {"uhd": "UHD|4K|2160P|2160I", "fhd": "FHD|1080P|1080I", "hd": "HD|720P|720I", "sd": "SD|LQ|576P|576I|480P|480I|360P"}
-# End of fixed values.
+# Brackets, and tags that are a number of lines or of frames a second.
 BRACKETED = r"\[[^\]]*\]|\([^)]*\)"
 RESOLUTION, RATE = r"^([0-9]{3,4})[PI]$", r"^([0-9]{2,3})FPS$"
+# End of fixed values.
+
 #: Words of a section at most, and characters before its separator.
 SECTION_WORDS, SECTION_CHARS, SECTIONS = 4, 25, 3
 

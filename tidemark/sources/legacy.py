@@ -17,10 +17,12 @@ from tidemark.sources.rules import scope
 TIMESHIFT = r"(?!.*\+\s*1(?![0-9]))"
 PREFIXES = r"(?:(?!Radio:)[^:|]{1,25}[:|]\s*){0,3}"
 QUALITY_TAIL = r"(?:\s*(?:HD|FHD|SD|UHD"
-# End of fixed values.
-
 REGIONS = r"\(\?!\\s\*\(\?:(?P<regions>[^)]+)\)\\s\*\(\?:\[:\|\]\|\\s\)\)"
 WORDS = r"\(\?:\[A-Za-z0-9\]\{1,\d+\}\\s\+\)\{0,\d+\}"
+# Why a pattern gives no names.
+NOT_FLAT, NOT_PLAIN = "core is not a flat alternation", "branch is not a plain name: "
+# End of fixed values.
+
 HEAD = re.compile(rf"(?:\(\?i\))?\^?(?:{REGIONS})?(?P<timeshift>{re.escape(TIMESHIFT)})?(?P<radio>{re.escape(PREFIXES)})?(?:{WORDS})?")
 BARE = re.compile(r"\\.|(?P<bare>[][{}()*+?^$|]|\\\Z)", re.S)
 PARTS = StructType(
@@ -55,12 +57,12 @@ def taken_apart(pattern: str) -> dict:
     core = core[3:-1] if grouped else core
     bars = [m for m in _bare(core) if m["bare"] == "|"]
     if any(m["bare"] in "()" for m in _bare(core)) or (bars and not grouped):
-        return out | {"reason": "core is not a flat alternation"}
+        return out | {"reason": NOT_FLAT}
     ends = [-1, *(m.start() for m in bars), len(core)]
     branches = [core[a + 1 : b] for a, b in zip(ends, ends[1:], strict=False)]
     names = [_name(b) for b in branches]
     if None in names:
-        return out | {"reason": f"branch is not a plain name: {branches[names.index(None)][:40]}"}
+        return out | {"reason": NOT_PLAIN + branches[names.index(None)][:40]}
     return out | {"aliases": list(dict.fromkeys(names))}
 
 
