@@ -16,6 +16,7 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.language_id import identify_languages, learn_languages
 from tidemark.llm.sharding import uniform_shards
 from tidemark.llm.simhash import simhash_components
+from tidemark.llm.source_divergence import source_divergence
 from tidemark.llm.substring_dedup import remove_repeated
 from tidemark.llm.toxicity import learn_toxicity, score_toxicity
 from tidemark.llm.warc import read_warc, write_warc
@@ -145,12 +146,37 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
 """
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"), least_docs=3, most_terms=200)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ t AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+ kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT k) >= 3),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+ f AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+ p AS (SELECT lang, source, term, n, CAST(1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER w + count(*) OVER w) AS BIGINT) AS p FROM f WINDOW w AS (PARTITION BY lang, source)),
+ a AS (SELECT lang, term, sum(n) AS n FROM f GROUP BY ALL),
+ q AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER w + count(*) OVER w) AS BIGINT) AS q FROM a WINDOW w AS (PARTITION BY lang)),
+ s AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY ALL),
+ r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+   FROM g x JOIN g y ON y.lang = x.lang AND y.source <> x.source LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_exact_dedup, op3_toxicity, op4_decontamination, op5_sharding,
         op6_byte_bpe, op7_simhash, op8_language_id, op9_warc, op10_chat,
+        op13_source_divergence,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op9_warc": OP9_SQL, "op10_chat": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op9_warc": OP9_SQL, "op10_chat": OP10_SQL, "op13_source_divergence": OP13_SQL}
