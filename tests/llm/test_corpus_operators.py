@@ -1,13 +1,22 @@
 """Source divergence, cross-tokenizer alignment and the quality model against plain versions."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from functools import partial
 
+import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
+import sentencepiece
+from tokenizers import Tokenizer
 
+from tidemark.llm import cross_tokenizer, queries
 from tidemark.llm import source_divergence as divergence
 
+A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
 
 def plain_divergence(docs, least=3, most=200, scale=10**9):
     """docs: (text, lang, source)"""
@@ -65,3 +74,87 @@ def test_shares_are_exact_for_counts_beyond_longs(spark):
 
     row = spark.createDataFrame([(8 * 10**15, 3 * 10**16)], "c bigint, n bigint").select(divergence.share(F.col("c"), F.col("n"), 10**9)).first()
     assert row[0] == 1 + 10**9 * (8 * 10**15 + 1) // (3 * 10**16)
+
+
+def plain_links(docs):
+    """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) by loops over every token."""
+    a = Tokenizer.from_file(A)
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=B)
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = dict(zip(map(chr, [*shown, *range(256, 324)]), [*shown, *(k for k in range(256) if k not in shown)], strict=True))
+    raw_a = lambda i: bytes(byte[c] for c in a.id_to_token(i))
+
+    def raw_b(i):
+        piece = b.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", piece) else piece.replace("\u2581", " ").encode()
+
+    held, links, shown = [], [], []
+    for _, t in docs:
+        x, y = (a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)) if t else ([], [])
+        u, v = list(map(raw_a, x)), list(map(raw_b, y))
+        if not t or not b"".join(u) == b"".join(v) == (" " + t).encode():
+            held.append((0, 0)), links.append([]), shown.append(None)
+            continue
+        i = j = p = q = 0
+        groups = [([], [])]
+        while i < len(x) or j < len(y):
+            if p <= q:
+                p, i = p + len(u[i]), i + 1
+                groups[-1][0].append(x[i - 1])
+            else:
+                q, j = q + len(v[j]), j + 1
+                groups[-1][1].append(y[j - 1])
+            if p == q:
+                groups.append(([], []))
+        groups.pop()
+        held.append((len(x), len(y)))
+        links.append([(m, n) for g in groups for m in g[0] for n in g[1]])
+        shown.append((len(groups), ";".join(",".join(map(str, g[0])) + "|" + ",".join(map(str, g[1])) for g in groups)))
+    count = Counter(pair for own in links for pair in set(own))
+    top = defaultdict(int)
+    for (m, _), n in count.items():
+        top[m] = max(top[m], n)
+    for (i, _), n, own, text in zip(docs, held, links, shown, strict=True):
+        best = sum(count[p] == top[p[0]] for p in own)
+        sha = hashlib.sha256(text[1].encode()).hexdigest() if text else ""
+        yield i, *n, text[0] if text else 0, len(own), best, sum(count[p] for p in own), sha
+
+
+def odd_texts():
+    rng = random.Random(4)
+    kinds = ["the cat sat ", "Stra\u00dfe \u00e9t\u00e9 ", "\U0001f600\U0001f3fd", "\u4f60\u597d\u4e16\u754c", "x" * 9, " " * 7, "\n\n\t", "<s></s><|endoftext|><0x41>", "12345", "don't!!", "\x00\x1c\u200d", "ab" * 5]
+    out = [(k, "".join(rng.choices(kinds, k=rng.randint(1, 12)))) for k in range(60)]
+    return out + [(100, None), (101, ""), (102, " "), (103, "\u2581 meta \u2581space"), (104, "ab" * 3000), (105, "xab" + "ab" * 2000), (106, "\ufb01 \uff21 \u0130"), (107, "word " * 3000), (5, out[5][1]), (None, "word word"), (None, "word word")]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_cross_tokenizer(spark, monkeypatch, small):
+    docs = odd_texts()
+    rows = spark.createDataFrame([(i, t, "a", 1, "k") for i, t in docs], "doc_id bigint, text string, a string, block int, at string").repartition(3)
+    if small:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+        monkeypatch.setattr(cross_tokenizer, "PARTS", 2)
+    try:
+        found = cross_tokenizer.cross_tokenizer_links(rows, partial(cross_tokenizer.byte_level, A), partial(cross_tokenizer.pieces, B))
+        assert Counter(map(tuple, found.collect())) == Counter(plain_links(docs))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert cross_tokenizer.cross_tokenizer_links(rows.limit(0), partial(cross_tokenizer.byte_level, A), partial(cross_tokenizer.pieces, B)).count() == 0
+
+
+def test_wide_groups_and_slices_give_equal_links(monkeypatch):
+    """Tokens that never end together: counting equal tokens first, and expanding in slices, change nothing."""
+    a, b = (cross_tokenizer.Tokens(lambda t: [], [b"", b"x", b"xy", b"yx", b"y"]) for _ in range(2))
+    ids = [[1, *[3] * 40, 4], [2] * 41, [1, 4]], [[2] * 41, [1, *[3] * 40, 4], [2]]
+    want = cross_tokenizer.aligned(*ids, a, b)
+    for name, value in (("MANY_LINKS", 10**9), ("EXPANDED", 7), ("MANY_LINKS", 0)):
+        monkeypatch.setattr(cross_tokenizer, name, value)
+        got = cross_tokenizer.aligned(*ids, a, b)
+        assert all(list(x) == list(y) for x, y in zip(want, got, strict=True))
+    assert want[1].tolist() == [42 * 41, 42 * 41, 2] and want[2][2] == b"1,4|2"
+
+
+def test_op12(spark):
+    docs = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
+    assert Counter(map(tuple, queries.op12_cross_tokenizer(spark, "/root/testdata/sf0.001").collect())) == Counter(plain_links(docs))

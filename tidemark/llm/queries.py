@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.byte_bpe import bpe_decode, bpe_encode
 from tidemark.llm.chat import format_conversations, read_conversations
 from tidemark.llm.common import crc_fold, shared_path, table
+from tidemark.llm.cross_tokenizer import byte_level, cross_tokenizer_links, pieces
 from tidemark.llm.decontamination import contaminated
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.language_id import identify_languages, learn_languages
@@ -146,6 +148,12 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
 """
 
 
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = partial(byte_level, public_tokenizers.path("byte_bpe_50k.json"))
+    second = partial(pieces, public_tokenizers.path("piece_bpe_32k.model"))
+    return cross_tokenizer_links(table(spark, sf_dir, "documents"), first, second)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"), least_docs=3, most_terms=200)
 
@@ -174,7 +182,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_exact_dedup, op3_toxicity, op4_decontamination, op5_sharding,
         op6_byte_bpe, op7_simhash, op8_language_id, op9_warc, op10_chat,
-        op13_source_divergence,
+        op12_cross_tokenizer, op13_source_divergence,
     )}
 
 
