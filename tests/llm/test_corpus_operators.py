@@ -1,18 +1,22 @@
 """Source divergence, cross-tokenizer alignment and the quality model against plain versions."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from functools import partial
 
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import cross_tokenizer, queries
+from tidemark.llm import common, cross_tokenizer, quality, queries
 from tidemark.llm import source_divergence as divergence
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -158,3 +162,126 @@ def test_wide_groups_and_slices_give_equal_links(monkeypatch):
 def test_op12(spark):
     docs = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
     assert Counter(map(tuple, queries.op12_cross_tokenizer(spark, "/root/testdata/sf0.001").collect())) == Counter(plain_links(docs))
+
+
+def plain_features(text):
+    """The features of a text of one piece, by plain counting."""
+    raw = (text or "").encode()
+    if not raw:
+        return dict.fromkeys(quality.FEATURES, 0.0)
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    m = max(1, len(words))
+    part = {k: sum(c in v for c in raw) / len(raw) for k, v in quality.CLASSES.items()}
+    windows = [words[k : k + 500] for k in range(0, len(words), 500)]
+    part |= {
+        "words": math.log1p(len(words)), "word_length": sum(map(len, words)) / m, "longest_word": math.log1p(max(map(len, words), default=0)),
+        "words_a_line": math.log1p(len(words) / max(1, len(lines))), "lines": math.log1p(len(lines)), "shouted_words": sum(w.isupper() for w in words) / m,
+        "sentence_length": math.log1p(len(words) / (1 + sum(c in b".!?" for c in raw))), "same_as_before": sum(a == b for a, b in zip(words, words[1:])) / m,
+        "distinct_words": sum(len(set(w)) for w in windows) / m, "distinct_pairs": sum(len(set(zip(w, w[1:]))) for w in windows) / max(1, sum(len(w) - 1 for w in windows)),
+        "commonest_word": sum(max(w.count(x) for x in set(w)) for w in windows) / m, "repeated_lines": 1 - len(set(lines)) / len(lines) if lines else 0.0,
+        "wordless": sum(not any(chr(c).isalpha() and c < 128 or c >= 128 for c in w) for w in words) / m,
+    }
+    return part
+
+
+def plain_score(model, x):
+    """The sum of table entries, bins found by counting edges."""
+    b = [sum(v >= e for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+    total = model.intercept + sum(t[k] for t, k in zip(model.single, b, strict=True))
+    total += sum(t[model.coarse[i][b[i]]][model.coarse[j][b[j]]] for (i, j), t in model.pairs.items())
+    return 1 / (1 + math.exp(-max(-30, min(30, total))))
+
+
+ODD = [None, "", " ", "\n\n", "A", "!!! ???", "the The THE\nthe The THE\nnew | line $$$", "你好。 été\x00", "same " * 1300, "x" * 5000, "one\ntwo\none\n", "12 34 56"]
+
+
+def test_features_and_scores_follow_plain_versions(spark):
+    rng = np.random.default_rng(3)
+    x = np.array([quality.measure((t or "").encode()) for t in ODD])
+    for t, row in zip(ODD, x, strict=True):
+        want = plain_features(t)
+        assert row == pytest.approx([want[f] for f in quality.FEATURES], abs=1e-12), t
+    many = x[rng.integers(0, len(x), 400)] + rng.normal(0, 0.05, (400, x.shape[1]))
+    model = quality.fit_tables(many, (many[:, 0] + many[:, 5] > np.median(many[:, 0])).astype(float), rounds=20, pair_rounds=5)
+    assert model.pairs
+    rows = [(k, t, "x", 0.5) for k, t in enumerate(ODD)] + [(3, "again", "x", 1.0), (None, "again", "x", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, id string, score double")
+    found = quality.score_quality(docs, model).collect()
+    want = Counter((i, round(plain_score(model, quality.measure((t or "").encode())), 9)) for i, t, *_ in rows)
+    assert Counter((r.doc_id, round(r.score, 9)) for r in found) == want and all(r.predicted == (r.score >= 0.3) and r.weakest in model.names() for r in found)
+    assert quality.score_quality(docs.limit(0), model).count() == 0
+
+
+def test_texts_of_several_pieces_are_whole(monkeypatch):
+    text = " ".join(f"word{k}" for k in range(400)).encode()
+    whole = quality.measure(text)
+    monkeypatch.setattr(quality, "PIECE", 100)
+    parts = dict(zip(quality.FEATURES, quality.measure(text), strict=True))
+    for f, v in zip(quality.FEATURES, whole, strict=True):
+        if f not in ("commonest_word", "distinct_pairs", "lines", "words_a_line", "repeated_lines"):  # counted within a piece
+            assert parts[f] == pytest.approx(v), f
+
+
+def test_pairs_hold_what_single_tables_cannot():
+    rng = np.random.default_rng(1)
+    x = rng.random((3000, 4))
+    y = ((x[:, 1] > 0.5) != (x[:, 3] > 0.5)).astype(float)
+    model = quality.fit_tables(x, y, rounds=30, pair_rounds=60)
+    assert next(iter(model.pairs)) == (1, 3)
+    assert np.mean((model.scores(x) >= 0.5) == y) > 0.95
+    alone = quality.fit_tables(x, y, rounds=30, pairs=0)
+    assert np.mean((alone.scores(x) >= 0.5) == y) < 0.65
+
+
+def brute_tree(g, h, ridge, least):
+    """The greatest sum of squared gradients over curvatures that two cuts, the best first, give."""
+    gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + ridge)
+    ranges = [(0, len(g))]
+    for _ in range(2):
+        options = [(gain(a, k) + gain(k, b) - gain(a, b), a, k, b) for a, b in ranges for k in range(a + 1, b) if min(h[a:k].sum(), h[k:b].sum()) >= least]
+        if not options or max(options)[0] <= 1e-12:
+            break
+        _, a, k, b = max(options)
+        ranges = [r for r in ranges if r != (a, b)] + [(a, k), (k, b)]
+    return {(a, b): -g[a:b].sum() / (h[a:b].sum() + ridge) for a, b in ranges}
+
+
+def test_trees_take_the_best_cuts():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        g, h = rng.normal(0, 1, 9), rng.random(9)
+        tree = quality.shallow_tree(g, h, 1.0, 0.5)
+        for (a, b), v in brute_tree(g, h, 1.0, 0.5).items():
+            assert tree[a:b] == pytest.approx([v] * (b - a))
+    assert not quality.shallow_tree(np.zeros(5), np.ones(5), 1.0, 1.0).any()
+
+
+def test_quality_without_labels_or_with_one_class(spark):
+    docs = spark.createDataFrame([(1, "a b", 1), (2, "c", 0)], "doc_id int, text string, quality int")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (2, None), (None, 0)], "doc_id int, quality int")
+    for some in (labels, labels.limit(0), labels.filter("doc_id = 7")):
+        model = quality.learn_quality(docs, some, F.lit(True))
+        scores = [r.score for r in quality.score_quality(docs, model).collect()]
+        assert len(scores) == 2 and all(0 < s < 1 for s in scores)
+
+
+def test_op11_held_out(spark):
+    at = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{at}/labels.parquet").to_pylist()}
+    found = {r.doc_id: r for r in queries.op11_quality(spark, at).collect()}
+    assert found.keys() == set(pq.read_table(f"{at}/documents.parquet", columns=["doc_id"]).column(0).to_pylist())
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for i, r in found.items())
+    held = [(found[i].predicted, y) for i, y in truth.items() if found[i].held_out and y is not None]
+    assert np.mean([p == y for p, y in held]) >= 0.95 and sum(not y for _, y in held) > 5
+
+
+def test_samples_are_bounded(spark):
+    rows = spark.range(9000).selectExpr("cast(null as bigint) AS id", "concat('text ', id) AS text")
+    for bound in (8000, 100):
+        assert 0.7 * bound <= common.bounded_sample(rows, ["id", "text"], bound, 1).count() <= 1.3 * bound
+    assert common.bounded_sample(rows.withColumn("text", F.lit("same")), ["id", "text"], 100, 1).count() == 1
+    assert common.bounded_sample(rows.limit(0), ["id", "text"], 100, 1).count() == 0
+    docs = spark.range(3000).selectExpr("id % 3 AS doc_id", "concat('t', id) AS text")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (None, 1)], "doc_id bigint, y int")
+    got = common.labelled_sample(docs, labels, F.col("id") >= 0, "doc_id", "text", "y", 200, 1).collect()
+    assert 120 <= len(got) <= 280 and {r.label for r in got} == {0, 1}

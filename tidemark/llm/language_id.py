@@ -119,13 +119,12 @@ def learn_languages(
 ) -> LanguageModel:
     """A model from the rows where `learn` holds and the language is not null.
 
-    Grams are counted by Spark over a sample of about ``most_rows`` rows, chosen by a hash of the id.
+    Grams are counted by Spark over a sample of about ``most_rows`` rows, chosen by a hash of id and text.
     What reaches the driver is a count for each language and bucket, not texts.
     """
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    there = rows.select("lang").count()
-    sample = bounded_sample(rows, F.col("id"), there, most_rows, seed).select("text", "lang")
+    sample = bounded_sample(rows, ["id", "text"], most_rows, seed).select("text", "lang")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

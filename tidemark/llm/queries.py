@@ -16,6 +16,7 @@ from tidemark.llm.cross_tokenizer import byte_level, cross_tokenizer_links, piec
 from tidemark.llm.decontamination import contaminated
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.language_id import identify_languages, learn_languages
+from tidemark.llm.quality import learn_quality, score_quality
 from tidemark.llm.sharding import uniform_shards
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.source_divergence import source_divergence
@@ -148,6 +149,13 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
 """
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn_quality(docs, table(spark, sf_dir, "labels"), crc_fold(F.col("id"), 5) != 0)
+    held_out = crc_fold(F.col("doc_id"), 5) == 0
+    return score_quality(docs, model, least=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted", "weakest")
+
+
 def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = partial(byte_level, public_tokenizers.path("byte_bpe_50k.json"))
     second = partial(pieces, public_tokenizers.path("piece_bpe_32k.model"))
@@ -182,7 +190,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_exact_dedup, op3_toxicity, op4_decontamination, op5_sharding,
         op6_byte_bpe, op7_simhash, op8_language_id, op9_warc, op10_chat,
-        op12_cross_tokenizer, op13_source_divergence,
+        op11_quality, op12_cross_tokenizer, op13_source_divergence,
     )}
 
 

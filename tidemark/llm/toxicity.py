@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, cut
+from tidemark.llm.common import labelled_sample
 
 #: Letters of other scripts that look like Latin ones, after lower-casing.
 HOMOGLYPHS = str.maketrans(
@@ -147,7 +147,7 @@ def learn_toxicity(
     least_weight: float = 2.5,
     seed: int = 3,
 ) -> ToxicityModel:
-    """A model from labelled rows where `learn` (over the id) holds; a sample of about ``most_rows`` of them, by a hash of the id.
+    """A model from labelled rows where `learn` (over the id) holds; a sample of about ``most_rows`` of them, by a hash.
 
     A term's weight is the log of how much likelier toxic texts hold it; uses that an exception phrase
     will cover count against it, so a term that is mostly harmless is not learned. A term whose beginning has been taken already is left out.
@@ -155,11 +155,7 @@ def learn_toxicity(
     least_weight and all exceptions are used: a term lies in `least` toxic texts of the sample or more and a phrase in three clean ones, so the
     sample bounds their number, and the driver gets them and two numbers for each sampled row.
     """
-    by = F.max(F.col(label_col).cast("int")).alias("toxic")
-    labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col)).filter(F.col(label_col).isNotNull()).withColumn("use", learn)
-    labelled = labelled.filter("use").groupBy("id").agg(by)
-    few = F.broadcast(bounded_sample(labelled, F.col("id"), labelled.count(), most_rows, seed))  # at most about most_rows rows of 12 bytes
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, "id").select("text", "toxic"))
+    rows = labelled_sample(docs, labels, learn, id_col, text_col, label_col, most_rows, seed).withColumnRenamed("label", "toxic")
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
