@@ -14,8 +14,8 @@ from tidemark.llm.common import crc_fold, shared_path, table
 from tidemark.llm.decontamination import keep_clean
 from tidemark.llm.exact_dedup import exact_dedup, keep_one
 from tidemark.llm.language_id import keep_identified, learn_languages
+from tidemark.llm.near_copies import near_copies
 from tidemark.llm.queries import encoded_digests
-from tidemark.llm.simhash import near_copies
 
 #: A document whose most frequent language labels a smaller share of its letters is rejected as mixed.
 LEAST_SHARE = 0.5
@@ -33,8 +33,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of a similarity of about 0.8 or more over five-word shingles join, the smallest doc_id stays."""
-    return keep_one(docs, near_copies(docs, words=5))
+    """Of documents that links of a Jaccard similarity of 0.8 or more over five-word shingles join, the smallest doc_id stays."""
+    return keep_one(docs, near_copies(docs, words=5, least=0.8))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

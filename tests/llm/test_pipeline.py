@@ -1,12 +1,13 @@
-"""The corpus pipeline and its stages against brute-force versions."""
+"""Near copies against plain Jaccard similarities, and the pipeline's stages on edge cases."""
 
 import random
 from collections import defaultdict
 
-import numpy as np
+import pytest
 
-from tidemark.llm import simhash
+from tidemark.llm import near_copies as near
 from tidemark.llm.exact_dedup import keep_one
+from tidemark.llm.near_copies import near_copies
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -20,19 +21,16 @@ def shingles(text, words=5):
     return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
 
 
-def brute_near(pairs, least=0.8):
-    """The rows of each component."""
+def plain_roots(pairs, least=0.8):
+    """The index of each row's component by the similarity of all pairs."""
     sets = [shingles(t) for _, t in pairs]
     root = list(range(len(pairs)))
     for a in range(len(pairs)):
         for b in range(a):
-            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+            if root[a] != root[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least:
                 old, new = root[a], root[b]
                 root = [new if r == old else r for r in root]
-    parts = defaultdict(list)
-    for (i, t), r in zip(pairs, root, strict=True):
-        parts[r].append((i, t))
-    return parts
+    return root
 
 
 def near_corpus(seed=11):
@@ -48,7 +46,7 @@ def near_corpus(seed=11):
             for at in rng.sample(range(len(copy)), 1 + c):
                 copy[at] = rng.choice(vocabulary)
             out.append((10 * k + 1 + c, " ".join(copy)))
-    hot = rng.choices(vocabulary, k=120)  # a group larger than SMALL, whose members are not all near each other
+    hot = rng.choices(vocabulary, k=120)  # a group whose members are not all near each other
     for c in range(80):
         copy = list(hot)
         for at in rng.sample(range(len(copy)), rng.randint(0, 3)):
@@ -57,46 +55,57 @@ def near_corpus(seed=11):
     return out
 
 
-def jaccard(a, b):
-    a, b = shingles(a), shingles(b)
-    return len(a & b) / len(a | b)
-
-
-def brute_linked(pairs):
-    """The least id of each row's component, by all pairs that have a common anchor and near sketches."""
-    prints = [simhash.near_prints((t or "").encode(), 5) for _, t in pairs]
-    anchor, index = simhash.CoveringCode(4).replicate(np.array([p for p, _ in prints], np.uint64))
-    anchors = [set(anchor[index == k].tolist()) for k in range(len(pairs))]
-    sketch = np.array([s for _, s in prints], np.uint64)
-    root = list(range(len(pairs)))
-    for a in range(len(pairs)):
-        for b in range(a):
-            if anchors[a] & anchors[b] and simhash.differing(sketch[a], sketch[b]) <= simhash.NEAR_BITS:
-                old, new = root[a], root[b]
-                root = [new if r == old else r for r in root]
-    return root
-
-
-def test_near_copies(spark):
-    """Exactly the components of the links; those join near copies of a similarity of 0.85 and no texts of one under 0.6."""
+@pytest.mark.parametrize("block", [512, 16])
+def test_near_copies(spark, monkeypatch, block):
+    """Exactly the components of all pairs of a similarity of 0.8 or more, however many of a component are compared in one task."""
+    monkeypatch.setattr(near, "BLOCK", block)
     pairs = near_corpus()
-    docs = documents(spark, pairs)
-    kept = keep_one(docs, simhash.near_copies(docs)).collect()
-    root = brute_linked(pairs)
+    docs = documents(spark, pairs).repartition(3)
+    found = near_copies(docs)
+    root = plain_roots(pairs)
     least = {}
     for (i, _), r in zip(pairs, root, strict=True):
         least[r] = min(i, least.get(r, i))
-    assert sorted(r.doc_id for r in kept) == sorted(least.values())
-    near = [(jaccard(pairs[a][1], pairs[b][1]), root[a] == root[b]) for a in range(len(pairs)) for b in range(a)]
-    sure = [same for x, same in near if x >= 0.85]
-    assert len(sure) > 100 and sum(sure) >= 0.95 * len(sure)
-    likely = [same for x, same in near if x >= 0.8]
-    assert sum(likely) >= 0.9 * len(likely)
-    strict = brute_near(pairs, 0.6)
-    where = {row: k for k, rows in strict.items() for row in rows}
-    for (a, r) in zip(pairs, root, strict=True):
-        assert where[a] == where[pairs[r]]
-    assert simhash.near_copies(docs.limit(0)).count() == 0
+    assert {r.doc_id: r.keep_id for r in found.collect()} == {i: least[r] for (i, _), r in zip(pairs, root, strict=True)}
+    assert sorted(r.doc_id for r in keep_one(docs, found).collect()) == sorted(set(least.values()))
+    assert len(set(root)) < len(pairs) - 60 and near_copies(docs.limit(0)).count() == 0
+
+
+def test_links_at_the_bound(spark):
+    """Sets of 8 of 10 and of 7 of 9 equal shingles: 0.8 is linked, less is not."""
+    words = [f"w{k}" for k in range(13)]
+    long = [f"v{k}" for k in range(60)]
+    base, same = " ".join(words), " ".join(["x", *words[1:]])
+    pairs = [(1, base), (2, same), (3, " ".join(long)), (4, " ".join([*long[:50], "y", *long[51:]])), (5, " ".join([*long[:20], "y", *long[21:40], "z", *long[41:]])), (6, base.upper()), (7, "  " + base + "\n")]
+    root = plain_roots(pairs)
+    want = {i: min(j for (j, _), q in zip(pairs, root, strict=True) if q == r) for (i, _), r in zip(pairs, root, strict=True)}
+    assert {r.doc_id: r.keep_id for r in near_copies(documents(spark, pairs)).collect()} == want
+
+
+def test_recall_on_given_tables(spark):
+    """Of all pairs of distinct texts of a similarity of 0.8 or more, found by a plain index of shingles, 0.98 are joined; none is joined that no such pairs link."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
+    pairs = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+    sets, holders = [shingles(t) for _, t in pairs], defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            holders[x].append(k)
+    linked = set()
+    for a, s in enumerate(sets):
+        shared = defaultdict(int)
+        for x in s:
+            for b in holders[x]:
+                shared[b] += 1
+        linked |= {(a, b) for b, n in shared.items() if b < a and n / (len(s) + len(sets[b]) - n) >= 0.8}
+    root = list(range(len(pairs)))
+    for a, b in linked:
+        old, new = root[a], root[b]
+        root = [new if r == old else r for r in root]
+    found = {r.doc_id: r.keep_id for r in near_copies(documents(spark, pairs)).collect()}
+    joined = [found[pairs[a][0]] == found[pairs[b][0]] for a, b in linked]
+    assert len(joined) >= 4 and sum(joined) >= 0.98 * len(joined)
+    of = dict(zip((i for i, _ in pairs), root, strict=True))
+    assert all(of[i] == of[k] for i, k in found.items())
 
 
 def test_near_copies_with_repeated_and_null_ids(spark):
@@ -104,5 +113,5 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     text = lambda k, last="": " ".join(words(k)[:79] + [last or f"w{k}x79"])
     pairs = [(1, text(0)), (5, text(0, "a")), (5, text(1)), (2, text(2)), (2, text(2, "b")), (None, text(3)), (None, text(3, "c")), (None, text(2, "d")), (5, text(1))]
     docs = documents(spark, pairs)
-    kept = sorted((r.doc_id or 0, r.text[:2], r.text) for r in keep_one(docs, simhash.near_copies(docs)).collect())
+    kept = sorted((r.doc_id or 0, r.text[:2], r.text) for r in keep_one(docs, near_copies(docs)).collect())
     assert [x[:2] for x in kept] == [(0, "w3"), (1, "w0"), (2, "w2"), (5, "w1")] and kept[3][2] == text(1)

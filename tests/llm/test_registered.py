@@ -1,6 +1,8 @@
 """The registered queries and the pipeline over the smallest tables, against plain versions; those with SQL are in tests/test_queries.py."""
 
 import hashlib
+import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,10 +11,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
-from tidemark.llm import byte_bpe, decontamination, language_id, queries, simhash
+from tidemark.llm import byte_bpe, decontamination, language_id, queries, toxicity
 from tidemark.llm.common import crc_fold
 from tidemark.llm.queries import RANKS
 
@@ -151,23 +154,95 @@ def test_op3_held_out(spark):
     assert sum(p for p, y in held if y) >= 0.5 * sum(y for _, y in held)
 
 
+def plain_label(model, text, penalty=6.0):
+    """(language, score) by scoring each word's byte trigrams one by one and trying every change of language at every word."""
+    words = re.findall(rb"[A-Za-z\x80-\xff]+", text.lower().encode()) if regex.search(r"\p{L}", text) else []
+    value, paths = None, []
+    for w in words:
+        padded, own = b" " + w + b" ", np.zeros(len(model.langs), np.float32)
+        for x, y, z in zip(padded, padded[1:], padded[2:], strict=False):
+            h = (x * 0x9E3779B1 ^ y * 0x85EBCA77 ^ z * 0xC2B2AE3D) & 0xFFFFFFFF
+            h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+            own = own + model.table[h >> 17]
+        script = max((k for c in w if c >= 0xC0 for k, (_, low, high) in enumerate(language_id.SCRIPT_OF_LEAD_BYTE) if low <= c <= high), default=0)
+        own = np.where(model.scripts[script], own, np.float32(-1e4))
+        if value is None:
+            value, paths = own, [[k] for k in range(len(own))]
+            continue
+        new, extended = [], []
+        for k in range(len(own)):
+            best = max(range(len(own)), key=lambda j: (value[j] - np.float32(penalty * (j != k)), j == k, -j))
+            new.append(value[best] - np.float32(penalty * (best != k)) + own[k])
+            extended.append([*paths[best], k])
+        value, paths = np.array(new, np.float32), extended
+    if value is None:
+        return "und", 0.0
+    share = Counter()
+    for w, k in zip(words, paths[int(value.argmax())], strict=True):
+        share[k] += len(w)
+    best = min(share, key=lambda k: (-share[k], k))
+    return model.langs[best], share[best] / sum(share.values())
+
+
+def test_op8(spark, docs):
+    """Every row's language and score, given the model that the query learns."""
+    model = language_id.learn_languages(spark.read.parquet(f"{AT}/documents.parquet"), crc_fold(F.col("doc_id"), 4) != 2)
+    found = {r.doc_id: r for r in queries.op8_language_id(spark, AT).collect()}
+    assert found.keys() == {i for i, _ in docs}
+    for i, t in docs:
+        lang, score = plain_label(model, t)
+        assert found[i].lang_pred == lang and found[i].score == pytest.approx(score), i
+
+
+def plain_toxicity(model, folded):
+    """(score, terms): every place of every term by str.find, the heaviest at a place, without those inside an exception phrase."""
+    def places(x):
+        at = folded.find(x)
+        while at >= 0:
+            yield at, at + len(x)
+            at = folded.find(x, at + 1)
+
+    exempt = [p for x in model.exceptions if x not in model.weights for p in places(x)]
+    heaviest = {}
+    for term, weight in model.weights.items():
+        for a, b in places(term):
+            if weight > heaviest.get(a, (0, 0.0))[1]:
+                heaviest[a] = (b, weight)
+    held = [(a, b, w) for a, (b, w) in heaviest.items() if not any(x <= a and b <= y for x, y in exempt)]
+    total = sum(w for *_, w in held)
+    x = model.slope[0] * math.log1p(total) + model.slope[1] * total / math.sqrt(folded.count(" ") or 1) + model.slope[2]
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), {folded[a:b].strip() for a, b, _ in held}
+
+
+def test_op3(spark, docs):
+    """Every row's score and number of terms, given the model that the query learns."""
+    model = toxicity.learn_toxicity(spark.read.parquet(f"{AT}/documents.parquet"), spark.read.parquet(f"{AT}/labels.parquet"), crc_fold(F.col("id"), 5) != 0)
+    found = {r.doc_id: r for r in queries.op3_toxicity(spark, AT).collect()}
+    assert found.keys() == {i for i, _ in docs} and model.weights
+    for i, t in docs:
+        score, held = plain_toxicity(model, toxicity.fold(t))
+        assert found[i].score == pytest.approx(score) and found[i].n_terms == len(held) and found[i].predicted == (found[i].score >= 0.5), i
+
+
+def similarity(a, b):
+    a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
 def test_pipeline(spark, docs, library):
-    """Every stage decided plainly, over what the stage before keeps."""
+    """Language by the planted languages; then every stage decided plainly, over what the stage before keeps."""
     table = spark.read.parquet(f"{AT}/documents.parquet")
-    model = language_id.learn_languages(table, crc_fold(F.col("doc_id"), 4) != 2)
-    labels = language_id.label_texts(model, [t for _, t in docs], 6.0)
-    kept = [d for d, (lang, score, _) in zip(docs, labels, strict=True) if lang != "und" and score >= corpus_pipeline.LEAST_SHARE]
+    identified = corpus_pipeline.language_stage(spark, table, AT)
+    kept = [(r.doc_id, r.text) for r in identified.collect()]
+    planted = {r["doc_id"]: r["lang"] for r in rows_of("documents")}
+    readable = [i for i, t in docs if planted[i] and regex.search(r"\p{L}{3}", t)]
+    assert {i for i, _ in kept} <= {i for i, t in docs if regex.search(r"\p{L}", t)} and len({i for i, _ in kept} & set(readable)) >= 0.98 * len(readable)
     by = defaultdict(list)
     for i, t in kept:
         by[t].append(i)
     kept = [(max(v), t) for t, v in by.items()]
-    prints = [simhash.near_prints(t.encode(), 5) for _, t in kept]
-    anchor, index = simhash.CoveringCode(4).replicate(np.array([p for p, _ in prints], np.uint64))
-    anchors = [set(anchor[index == k].tolist()) for k in range(len(kept))]
-    sketch = np.array([s for _, s in prints], np.uint64)
-    near = lambda a, b: simhash.differing(sketch[a], sketch[b]) <= simhash.NEAR_BITS and bool(anchors[a] & anchors[b])
     parts = defaultdict(list)
-    for d, r in zip(kept, joined_components(kept, near), strict=True):
+    for d, r in zip(kept, joined_components(kept, lambda a, b: similarity(kept[a][1], kept[b][1]) >= 0.8), strict=True):
         parts[r].append(d)
     kept = [min(p) for p in parts.values()]
     leaks = {i for i, _ in brute_leaks(kept)}

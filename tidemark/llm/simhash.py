@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, linked by anchor points of a covering code; near copies by word shingles with the same anchors."""
+"""SimHash near-duplicates, linked by anchor points of a covering code."""
 
 from __future__ import annotations
 
@@ -12,14 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import PARTS, cut, with_total
-from tidemark.llm.exact_dedup import text_digest
 
 #: Groups of an anchor up to this size are compared together, larger ones one by one.
 SMALL = 64
 #: Fingerprints that one task replicates: some 150 replicas of 16 bytes of each.
 PRINTS_A_TASK = 20_000
-#: Bits of a sketch of shingles, and those in which two may differ: sets of a similarity of 0.8 differ in 29 of 192 on average.
-SKETCH_BITS, NEAR_BITS = 192, 31
 
 
 def shingle_hashes(raw: bytes, words: int = 3, seed: int = 42) -> np.ndarray:
@@ -58,12 +55,6 @@ def scrambled(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def near_prints(raw: bytes, words: int) -> tuple[int, list[int]]:
-    """(SimHash of the set of words, longer SimHash of the set of shingles) of a text's bytes."""
-    shingles = np.unique(shingle_hashes(raw, words))
-    return majority(np.unique(shingle_hashes(raw, 1))), [majority(scrambled(shingles, k)) for k in range(1, SKETCH_BITS // 64 + 1)]
-
-
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint as a signed long; a null text has no words and so the fingerprint zero."""
 
@@ -208,57 +199,42 @@ def _search(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 
 
-def sketch_node(sketch: np.ndarray) -> np.ndarray:
-    """The node of rows of longs: one long as it is, several as their hash."""
-    out = sketch[:, 0]
-    for k in range(1, sketch.shape[1]):
-        out = scrambled(out, 1) + sketch[:, k]
-    return out
-
-
-def anchored_links(prints: DataFrame, max_bits: int = 3, sure_bits: int | None = None, longs: int = 0) -> DataFrame:
-    """Links (u, v), u > v, that join nodes as all links of at most max_bits between nodes of a common anchor do.
+def anchored_links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
+    """Links (u, v), u > v, that join the distinct values of `fingerprint` as all links of at most max_bits between two of them do.
 
-    prints: `fingerprint`, by which nodes find their anchors and which is the node; with longs > 0 also `sketch`, an array of so many
-    longs that is compared in its place, and whose sketch_node() is the node. Nodes whose fingerprints differ in at most sure_bits (by default max_bits) surely have a common
-    anchor. A known number of fingerprints goes to each task, so that the tasks that replicate grow with them; replicas
-    meet by anchor in sorted partitions that are read as a stream. A group holds distinct nodes close to its anchor, never copies.
+    A known number of fingerprints goes to each task, so that the tasks that replicate grow with them; replicas
+    meet by anchor in sorted partitions that are read as a stream. A group holds distinct fingerprints close to its anchor, never copies.
     """
-    spark = prints.sparkSession
-    code = spark.sparkContext.broadcast(CoveringCode(max_bits if sure_bits is None else sure_bits))
-    fields = ["anchor", *(f"s{k}" for k in range(max(1, longs)))]
+    code = prints.sparkSession.sparkContext.broadcast(CoveringCode(max_bits))
 
     def replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(0).to_numpy().view(np.uint64)
-            carried = [batch.column(k).to_numpy() for k in range(1, batch.num_columns)] or [values.view(np.int64)]
+            values = batch.column(0).to_numpy()
             for at in range(0, len(values), 1000):
-                anchor, index = code.value.replicate(values[at : at + 1000])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), *(pa.array(c[at : at + 1000][index]) for c in carried)], fields)
+                anchor, index = code.value.replicate(values[at : at + 1000].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(values[at : at + 1000][index])], ["anchor", "node"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush(all_: bool) -> Iterator[pa.RecordBatch]:
-            anchor, node, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
+            anchor, node = (np.concatenate(x) for x in zip(*held, strict=True))
             to = len(anchor) if all_ else int(np.searchsorted(anchor, anchor[-1]))
-            held[:] = [(anchor[to:], node[to:], sketch[to:])]
-            u, v = star_forest(anchor[:to], node[:to], sketch[:to], max_bits) if to else (node[:0], node[:0])
+            held[:] = [(anchor[to:], node[to:])]
+            u, v = star_forest(anchor[:to], node[:to], node[:to, None].view(np.uint64), max_bits) if to else (node[:0], node[:0])
             pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["u", "v"])
 
         for batch in batches:
-            sketch = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in range(1, batch.num_columns)], 1)
-            held.append((batch.column(0).to_numpy(), sketch_node(sketch).view(np.int64), sketch))
-            if sum(len(a) for a, _, _ in held) >= 400_000:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(a) for a, _ in held) >= 400_000:
                 yield from flush(False)
         if held:
             yield from flush(True)
 
     tasks = max(1, -(-prints.count() // PRINTS_A_TASK))
-    columns = ["fingerprint", *(F.col("sketch")[k].alias(f"s{k}") for k in range(longs))]
-    dealt = prints.select(*columns).repartition(tasks, "fingerprint").mapInArrow(replicate, ", ".join(f"{c} bigint" for c in fields))
-    met = dealt.repartition("anchor").sortWithinPartitions(*fields)
+    dealt = prints.select("fingerprint").repartition(tasks, "fingerprint").mapInArrow(replicate, "anchor bigint, node bigint")
+    met = dealt.repartition("anchor").sortWithinPartitions("anchor", "node")
     return met.mapInArrow(compare, "u bigint, v bigint").distinct()
 
 
@@ -309,36 +285,6 @@ def simhash_components(
     return rows.join(decided, ["fingerprint", "part"]).select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
-def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs, as from exact_dedup: its id, the id that stays of its component, whether it stays, its text's digest.
-
-    Texts are linked where the SimHashes of their sets of `words`-word shingles differ in at most NEAR_BITS of SKETCH_BITS, which
-    stands for a Jaccard similarity of 0.78 or more, give or take 0.03; links are followed. A changed word changes five shingles of five words, but one word: so texts
-    find each other by the SimHash of their sets of words, at common anchors. Those surely meet whose 64 bits differ in at most 4, and of those that
-    differ in 6 some 80 in 100 do.
-
-    Defined results: the smallest id of a component stays, of rows of one id the one of the smallest digest; a null id only where all
-    are null. Texts without words are alike; texts of fewer words than a shingle are one shingle. Rows that repeat id and text are
-    marked alike, and keep_one keeps one of them. Other columns are not read; an empty table gives an empty result.
-    """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [near_prints((t.as_py() or "").encode(), words) for t in batch.column(2)]
-            wide = np.array([[a, *b] for a, b in found], np.uint64).reshape(-1, 1 + SKETCH_BITS // 64).view(np.int64)
-            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(wide) + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(wide[:, 1:].ravel()))
-            node = sketch_node(wide[:, 1:].view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array(wide[:, 0].copy()), sketch], ["id", "sha", "node", "fingerprint", "sketch"])
-
-    rows = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("sha"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    rows = cut(rows.mapInArrow(run, f"id {kind}, sha binary, node bigint, fingerprint bigint, sketch array<bigint>"))
-    nodes = cut(rows.select("fingerprint", "sketch").distinct())
-    roots = components(anchored_links(nodes, NEAR_BITS, sure_bits=4, longs=SKETCH_BITS // 64))
-    parted = cut(rows.select("id", "sha", "node").join(roots, "node", "left").select("id", "sha", F.coalesce("root", "node").alias("root")))
-    return first_of_each(parted, id_col)
-
-
 def first_of_each(parted: DataFrame, id_col: str) -> DataFrame:
     """Which rows (id, sha, root) stay: one of each root. The decision meets the rows by root and a part of it, so that a large component is dealt over tasks."""
     parts = F.pmod(F.xxhash64("id", "sha"), F.lit(PARTS))
