@@ -10,8 +10,6 @@ from tidemark.operators.gate import glob
 from tidemark.plans.matching import PARTS, _countries
 from tidemark.plans.measures import METRICS, STREAMS_SQL, _best, _catalogue
 from tidemark.plans.registry import D, LATEST_SQL, query
-from tidemark.plans.streams import stream_query
-from tidemark.streaming.incremental import folder_stream, settled
 
 HEARD_SQL = LATEST_SQL + f""", heard AS (SELECT *, 32 * (l_orderkey % 12) AS abr, [44100, 48000, 0][1 + l_orderkey % 3] AS rate, ['flac', 'ac3', 'mp3', '', 'opus'][1 + l_orderkey % 5] AS codec,
   CASE WHEN l_orderkey % 7 = 0 THEN 0 ELSE audio_channels END AS ch FROM latest),
@@ -180,12 +178,6 @@ def streams_settled(jobs):
     return jobs.groupBy("stream_id").agg(F.count(F.lit(1)).alias("parts"), landed.alias("landed"), (F.count(F.lit(1)) == landed).alias("settled"))
 
 
-@stream_query("SELECT user_id, 60::BIGINT AS parts, count(*) AS landed, CASE WHEN count(*) >= 60 THEN 0 END::BIGINT AS settled_in FROM events GROUP BY 1")
-def stream_settled(spark, sf_dir):
-    expected = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().withColumn("parts", F.lit(60).cast("bigint"))
-    return settled(folder_stream(spark, f"{sf_dir}/events.parque[t]"), "user_id", expected)
-
-
 @query(
     ["v_sample", "v_job", "v_policy"],
     """WITH c AS (SELECT stream_id, min(channel_id) AS channel_id FROM v_job GROUP BY 1)

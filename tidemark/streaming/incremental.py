@@ -1,40 +1,41 @@
-"""Streams of attempts: hourly windows and dead streaks, kept up batch by batch.
+"""Streams of attempts: hourly windows, dead streaks and verdicts, kept up batch by batch.
 
-Each micro-batch appends its part to a table in the shared folder under its batch id, so a batch that runs again after a
-failure replaces what it wrote; the answer is a fold over those parts.
+What is kept is a summary that can be merged in any order, in a versioned table. A micro-batch appends its summary and notes its number in the
+same manifest, so a batch that runs again after a failure is passed over; after some batches the parts are merged into one. An answer
+reads a bounded number of parts however many batches there were, and a stream that starts again in the same folder goes on from there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.sources.scratch import path
+from tidemark.sources.versions import VersionedTable
 
+#: Parts of a summary that are merged into one, once there are so many.
+MOST_PARTS = 8
 
-def run_available(stream: DataFrame, name: str, each: Callable[[DataFrame], DataFrame], mode: str = "append", fold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """All that the stream has now, as the parts that `each` makes of its micro-batches, with their batch id.
 
-    With `fold` each batch merges its part with what the batch before left, so what is kept and read is one answer and doesn't grow with batches; a batch that
-    runs again starts from the same one.
-    """
-    spark = stream.sparkSession
-    at = path(spark, name)
+def kept_up(stream: DataFrame, at: str, each: Callable[[DataFrame], DataFrame], fold: Callable[[DataFrame], DataFrame], most_parts: int = MOST_PARTS) -> DataFrame:
+    """fold() over the summaries that `each` makes of all batches that the stream has now, and of those that earlier runs in the folder `at` kept."""
+    table = VersionedTable(stream.sparkSession, f"{at}/kept")
 
     def part(batch: DataFrame, batch_id: int) -> None:
-        rows = each(batch)
-        if fold and batch_id:
-            rows = fold(rows.unionByName(spark.read.parquet(f"{at}/parts/batch={batch_id - 1}")))
-        rows.write.mode("overwrite").parquet(f"{at}/parts/batch={batch_id}")
-
-    query = stream.writeStream.outputMode(mode).foreachBatch(part).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+        mark = table.manifest()["mark"]
+        if mark is not None and batch_id <= mark:
+            return
+        table.append(each(batch), batch_id)
+        if len(table.manifest()["parts"]) >= most_parts:
+            table.compact(fold)
+            table.clear()
+
+    query = stream.writeStream.foreachBatch(part).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    parts = spark.read.option("basePath", f"{at}/parts").parquet(f"{at}/parts")
-    return parts.filter(F.col("batch") == parts.agg(F.max("batch")).first()[0]) if fold else parts
+    kept = table.read()
+    return fold(each(stream.sparkSession.createDataFrame([], stream.schema)) if kept is None else kept)
 
 
 def folder_stream(spark: SparkSession, at: str, files_a_batch: int = 100) -> DataFrame:
@@ -42,7 +43,7 @@ def folder_stream(spark: SparkSession, at: str, files_a_batch: int = 100) -> Dat
     return spark.readStream.schema(spark.read.parquet(at).schema).option("maxFilesPerTrigger", files_a_batch).parquet(at)
 
 
-def hourly(stream: DataFrame, at: str, measure: Column, width: str = "1 hour", slide: str | None = None) -> DataFrame:
+def hourly(stream: DataFrame, at: str, measure: Column, width: str = "1 hour", slide: str | None = None, folder: str | None = None) -> DataFrame:
     """Tumbling (or, with slide, sliding) windows: start, rows and the sum of a measure. Late rows count, however late."""
     window = F.window(at, width, slide) if slide else F.window(at, width)
 
@@ -50,100 +51,56 @@ def hourly(stream: DataFrame, at: str, measure: Column, width: str = "1 hour", s
         return batch.groupBy(window.alias("w")).agg(F.count(F.lit(1)).alias("rows"), F.sum(measure).alias("total")).select(F.col("w.start").alias("start"), "rows", "total")
 
     merged = lambda d: d.groupBy("start").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))
-    return run_available(stream, "hourly", each, fold=merged).drop("batch")
+    return kept_up(stream, folder or path(stream.sparkSession, "hourly"), each, merged)
 
 
-def dead_streaks(stream: DataFrame, key: str, alive: Column, order: list[str]) -> DataFrame:
-    """How many failures in a row each key ends on. Attempts are in order within a batch, batches in order of arrival.
+def runs_of(attempts: DataFrame, closed: Column | None = None) -> DataFrame:
+    """The summary of attempts (key, alive, at, n): of each key the last success and the failures after it, in order of `at`.
 
-    A batch leaves one row a key: whether any attempt succeeded, and the failures after the last that did.
+    Summaries merge by union and this function again, in any order and any grouping, as what a success hides stays hidden. Failures where `closed` holds, before which no
+    attempt can arrive any more, become one row with their number; the others stay apart, since a success that arrives late may lie between them.
     """
+    last = attempts.filter("alive").groupBy("key").agg(F.max("at").alias("last"))
+    d = attempts.join(last, "key", "left").filter(F.col("last").isNull() | F.when(F.col("alive"), F.col("at") == F.col("last")).otherwise(F.col("at") > F.col("last")))
+    apart = F.col("at") if closed is None else F.when(F.col("alive") | ~closed, F.col("at"))
+    return d.groupBy("key", "alive", apart.alias("apart")).agg(F.max("at").alias("at"), F.sum("n").alias("n")).select("key", "alive", "at", F.when(F.col("alive"), 1).otherwise(F.col("n")).cast("bigint").alias("n"))
 
-    def each(batch: DataFrame) -> DataFrame:
-        d = batch.select(key, alive.alias("alive"), F.struct(*order).alias("at"))
-        last = F.max(F.when(F.col("alive"), F.col("at"))).over(Window.partitionBy(key))
-        d = d.withColumn("last", last).withColumn("trailing", F.col("last").isNull() | (F.col("at") > F.col("last")))
-        return d.groupBy(key).agg(F.bool_or("alive").alias("any_alive"), F.count_if("trailing").alias("trailing"))
-
-    parts = run_available(stream, "streaks", each)
-    since = F.max(F.when(F.col("any_alive"), F.col("batch"))).over(Window.partitionBy(key))
-    d = parts.withColumn("since", F.coalesce(since, F.lit(-1)))
-    return d.groupBy(key).agg(F.sum(F.when(F.col("batch") >= F.col("since"), F.col("trailing")).otherwise(0)).alias("dead_streak"))
 
+def verdicts_of(stream: DataFrame, key: Column, alive: Column, order: list[Column], lateness: int | None, folder: str | None) -> DataFrame:
+    """key, alive, at, dead_streak: the last attempt of each key by `order`, and the failures in a row that it ends."""
 
-def settled(stream: DataFrame, key: str, expected: DataFrame) -> DataFrame:
-    """Keys of `expected` (key, parts) with the parts that landed and the batch in which the last did; null where some never did.
+    def each(batch: DataFrame) -> DataFrame:
+        at = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)])
+        return runs_of(batch.select(key.alias("key"), alive.alias("alive"), at.alias("at"), F.lit(1).cast("bigint").alias("n")))
 
-    A batch leaves one row a key, so what is kept grows with keys and batches, not with parts.
-    """
-    parts = run_available(stream, "settled", lambda batch: batch.groupBy(key).agg(F.count(F.lit(1)).alias("landed")))
-    so_far = F.sum("landed").over(Window.partitionBy(key).orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))
-    d = expected.join(parts.withColumn("so_far", so_far), key, "left").groupBy(key, "parts")
-    done = F.min(F.when(F.col("so_far") >= F.col("parts"), F.col("batch"))).cast("bigint")
-    return d.agg(F.coalesce(F.sum("landed"), F.lit(0)).alias("landed"), done.alias("settled_in"))
+    def fold(kept: DataFrame) -> DataFrame:
+        if lateness is None:
+            return runs_of(kept)
+        now = kept.agg(F.max("at.o0").alias("now")).scalar()
+        return runs_of(kept, F.col("at.o0") < now - lateness)
 
+    kept = kept_up(stream, folder or path(stream.sparkSession, "runs"), each, fold)
+    last = F.max(F.struct("at", "alive")).alias("last")
+    streak = F.coalesce(F.sum(F.when(~F.col("alive"), F.col("n"))), F.lit(0)).alias("dead_streak")
+    return kept.groupBy("key").agg(last, streak).select("key", "last.alive", "last.at", "dead_streak")
 
-VERDICT = "alive boolean, at_ms bigint, seq bigint, dead_streak bigint"
 
+def dead_streaks(stream: DataFrame, key: str, alive: Column, order: list[str], folder: str | None = None) -> DataFrame:
+    """How many failures in a row each key ends on, in the attempts' own order, in whatever order and batches they arrive."""
+    found = verdicts_of(stream, F.col(key), alive, [F.col(c) for c in order], None, folder)
+    return found.select(F.col("key").alias(key), "dead_streak")
 
-class VerdictState(StatefulProcessor):
-    """The last verdict of a key and how many failures in a row it ends; late attempts don't take its place.
 
-    A key that the stream's time has left behind by more than the retention is forgotten, which a row without `alive` says.
-    """
+def verdict_cache(
+    stream: DataFrame, key: Column, alive: Column, at_ms: Column, seq: Column, retention_ms: int | None = None, lateness_ms: int | None = None, folder: str | None = None
+) -> DataFrame:
+    """key, alive, at_ms, seq, dead_streak of each key after all that the stream has now.
 
-    def __init__(self, retention_ms: int | None):
-        self.retention_ms = retention_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", VERDICT)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        alive, at, seq, streak = self.last.get() if self.last.exists() else (True, -1, -1, 0)
-        fresh = pd.concat(list(rows)).sort_values(["at_ms", "seq"])
-        fresh = fresh[(fresh["at_ms"] > at) | (fresh["at_ms"] == at) & (fresh["seq"] > seq)]
-        if len(fresh):
-            good = fresh["alive"].to_numpy(bool)
-            since = len(good) - 1 - int(good[::-1].argmax()) if good.any() else None
-            streak = streak + len(good) if since is None else len(good) - 1 - since
-            end = fresh.iloc[-1]
-            if self.retention_ms is not None:
-                if at >= 0:
-                    self.handle.deleteTimer(at + self.retention_ms)
-                self.handle.registerTimer(int(end["at_ms"]) + self.retention_ms)
-            alive, at, seq = bool(end["alive"]), int(end["at_ms"]), int(end["seq"])
-            self.last.update((alive, at, seq, streak))
-        yield pd.DataFrame({"key": [key[0]], "alive": [alive], "at_ms": [at], "seq": [seq], "dead_streak": [streak]})
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        _, at, seq, _ = self.last.get()
-        self.last.clear()
-        yield pd.DataFrame({"key": [key[0]], "alive": pd.array([None], "boolean"), "at_ms": [at], "seq": [seq], "dead_streak": [0]})
-
-    def close(self) -> None:
-        pass
-
-
-def verdict_cache(stream: DataFrame, key: Column, alive: Column, at_ms: Column, seq: Column, retention_ms: int | None = None) -> DataFrame:
-    """key, alive, at_ms, seq, dead_streak of each key after all that the stream has now, kept as state by key.
-
-    State is one row a key in the state store, not a row a batch. With retention_ms a key is forgotten once the stream's time, which is that of its latest
-    attempt so far, has passed its last attempt by so much. Each batch writes what its keys are now; the last of a key is the answer.
+    With retention_ms a key is forgotten whose last attempt lies further back than that from the latest of all. With lateness_ms failures that lie further back are
+    kept as a number: no success may arrive later than that.
     """
-    spark = stream.sparkSession
-    rows = stream.select(key.alias("key"), alive.alias("alive"), at_ms.alias("at_ms"), seq.alias("seq"))
-    kind = rows.schema["key"].dataType.simpleString()
-    mode = "none"
-    if retention_ms is not None:
-        rows, mode = rows.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", "0 seconds"), "eventTime"
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        states = rows.groupBy("key").transformWithStateInPandas(VerdictState(retention_ms), f"key {kind}, {VERDICT}", "update", mode)
-        parts = run_available(states, "verdicts", lambda batch: batch, "update")
-    finally:
-        spark.conf.set(provider, before)
-    last = F.max_by(F.struct("alive", "at_ms", "seq", "dead_streak"), "batch")
-    return parts.groupBy("key").agg(last.alias("last")).select("key", "last.*").filter("alive IS NOT NULL")
+    found = verdicts_of(stream, key, alive, [at_ms, seq], lateness_ms, folder).select("key", "alive", F.col("at.o0").alias("at_ms"), F.col("at.o1").alias("seq"), "dead_streak")
+    if retention_ms is None:
+        return found
+    now = found.agg(F.max("at_ms").alias("now")).scalar()
+    return found.filter(F.col("at_ms") >= now - retention_ms)
