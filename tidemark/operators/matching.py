@@ -1,7 +1,7 @@
 """Which streams the rules of channels claim, and at which step.
 
-Names and rules meet by equi-joins: whole names by key, names with an inline section by (section, rest), needles by their first
-word. What a rule says besides is a filter on those pairs. Nothing grows with streams times rules but what is claimed.
+Names and rules meet by equi-joins: whole names by key, names with an inline section by (section, rest), needles and patterns by their rarest
+gram. Joins carry ids; what a rule says besides is a filter on the pairs found. Nothing grows with streams times rules but what is claimed.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import SECTION_WORDS, match_key, with_alias, with_keys, with_parts, words
+from tidemark.operators import grams
 from tidemark.sources.scratch import written
 
 SPEC = ["require", "reject", "require_tags", "reject_tags"]
@@ -31,6 +32,57 @@ def stored(d: DataFrame) -> DataFrame:
     return written(d, "names")
 
 
+def name_index(streams: DataFrame) -> DataFrame:
+    """Grams of prepared streams: of their names as they are, of their clean names, and of their keys."""
+    texts = streams.select(F.col("stream_id").alias("id"), "name", "clean", "key")
+    return written(grams.indexed(grams.postings(texts, {k: F.col(k) for k in ("name", "clean", "key")})), "grams")
+
+
+class Catalogue:
+    """Prepared streams and their index, written when first asked for and kept for the session while the files that they come from stay as they are."""
+
+    _known: dict[tuple, Catalogue] = {}
+
+    def __init__(self, streams: DataFrame, countries: list[str]):
+        self._raw, self._countries = streams, countries
+        self._streams = self._index = None
+
+    @classmethod
+    def of(cls, streams: DataFrame, countries: list[str]) -> Catalogue:
+        version = file_versions(streams)
+        if not version:
+            return cls(streams, countries)
+        at = (streams.sparkSession.sparkContext.applicationId, streams.semanticHash(), tuple(countries), version)
+        if at not in cls._known:
+            while len(cls._known) >= 4:
+                cls._known.pop(next(iter(cls._known)))
+            cls._known[at] = cls(streams, countries)
+        return cls._known[at]
+
+    @property
+    def streams(self) -> DataFrame:
+        if self._streams is None:
+            self._streams = stored(prepared(self._raw, self._countries))
+        return self._streams
+
+    @property
+    def index(self) -> DataFrame:
+        if self._index is None:
+            self._index = name_index(self.streams)
+        return self._index
+
+
+def file_versions(rows: DataFrame) -> tuple:
+    """Paths, sizes and times of the files that rows come from; empty where they come from none."""
+    spark = rows.sparkSession
+    out = []
+    for name in sorted(rows.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def compiled(lines: DataFrame, countries: list[str]) -> DataFrame:
     """Lines of rules (channel_id, kind, position, line) with what they ask for; aliases are keyed like names."""
     d = with_alias(lines, "line")
@@ -53,31 +105,31 @@ def by_section(aliases: DataFrame, streams: DataFrame) -> DataFrame:
     return a.join(s, (a["section"] == s["cut.section"]) & (a["alias_key"] == s["cut.rest"])).drop("section", "cut")
 
 
-def by_needle(needles: DataFrame, streams: DataFrame) -> DataFrame:
-    """Needles and the streams whose clean name has them between word bounds.
-
-    Both meet on the needle's longest run of letters or digits, as that is in the fewest names, or on its largest sign where it has neither.
-    """
-    runs = lambda text: F.regexp_extract_all(text, F.lit(r"([a-z0-9]+|[^a-z0-9\s])"))
-    longest = F.array_max(F.transform(runs(F.col("needle")), lambda r: F.struct(F.length(r).alias("size"), r.alias("run"))))["run"]
-    n = needles.withColumn("needle", F.lower("text")).filter("needle <> ''").withColumn("lead", longest)
-    s = streams.withColumn("run", F.explode(F.array_distinct(runs(F.lower("clean")))))
-    quoted = F.regexp_replace("needle", r"([^a-z0-9\s])", r"\\$1")
+def by_needle(needles: DataFrame, streams: DataFrame, index: DataFrame) -> DataFrame:
+    """Needles and the streams whose clean name has them between word bounds. Distinct needles find candidates by their rarest gram."""
+    n = needles.withColumn("needle", F.lower("text")).filter("needle <> ''")
+    edged = grams.grams(grams.spaced(F.col("needle")))
+    asked = n.select(F.col("needle").alias("query")).distinct().withColumn("needle", F.col("query"))
+    asked = asked.select("query", F.when(F.size(edged) > 0, edged).otherwise(grams.signs(F.col("needle"))).alias("grams"))
+    quoted = F.regexp_replace("query", r"([^a-z0-9\s])", r"\\$1")
     pattern = F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])"))
-    return n.join(s, n["lead"] == s["run"]).filter(F.rlike(F.lower("clean"), pattern)).drop("needle", "lead", "run")
-
+    met = grams.candidates(asked, index, "clean").join(streams, F.col("id") == F.col("stream_id")).filter(F.rlike(F.lower("clean"), pattern))
+    return n.join(met.drop("id"), n["needle"] == met["query"]).drop("needle", "query")
 
-def by_pattern(patterns: list[tuple[int, int, str, list[int] | None]], streams: DataFrame) -> DataFrame:
-    """Streams whose raw name a pattern finds; (channel_id, step, pattern, providers) are configuration and go into one projection."""
 
-    def hit(channel: int, step: int, pattern: str, providers: list[int] | None) -> Column:
-        asked = F.col("name").rlike(pattern)
-        asked = asked if providers is None else asked & F.col("provider_id").isin(providers)
-        return F.when(asked, F.struct(F.lit(channel).cast("bigint").alias("channel_id"), F.lit(step).cast("bigint").alias("step")))
+def by_pattern(patterns: list[tuple[int, int, str, list[int] | None]], streams: DataFrame, index: DataFrame) -> DataFrame:
+    """Streams whose raw name a pattern finds; patterns: (channel_id, step, pattern, providers).
 
+    A pattern finds candidates by the rarest gram of the letters that it requires, one that requires none has all names. The plan is one for any number of patterns.
+    """
+    spark = streams.sparkSession
+    rows = spark.createDataFrame(patterns, "channel_id bigint, step bigint, pattern string, only array<bigint>")
+    texts = sorted({p[2] for p in patterns})
+    asked = spark.createDataFrame([(t, grams.run_grams(grams.required_runs(t))) for t in texts], "query string, grams array<string>")
+    met = grams.candidates(asked, index, "name").join(streams, F.col("id") == F.col("stream_id")).filter(F.rlike("name", F.col("query"))).drop("id")
+    found = rows.join(met, rows["pattern"] == met["query"]).filter(F.col("only").isNull() | F.array_contains("only", F.col("provider_id")))
     none = F.array().cast("array<string>")
-    found = streams.withColumn("hit", F.explode(F.array_compact(F.array(*[hit(*p) for p in patterns]))))
-    return found.select(*streams.columns, "hit.*", *[none.alias(c) for c in SPEC])
+    return found.select(*streams.columns, "channel_id", "step", *[none.alias(c) for c in SPEC]).distinct()
 
 
 def spec_holds() -> Column:
@@ -111,28 +163,29 @@ def excluded(hits: DataFrame, excludes: DataFrame) -> DataFrame:
     return d.filter(F.when(named, text).otherwise(tail) & spec_holds()).select("channel_id", "stream_id").distinct()
 
 
-def matched(rules: DataFrame, lines: DataFrame, patterns: list, streams: DataFrame, excluded_groups: DataFrame, countries: list[str], regions: list[str]) -> DataFrame:
+def matched(rules: DataFrame, lines: DataFrame, patterns: list, known: Catalogue, excluded_groups: DataFrame, countries: list[str], regions: list[str]) -> DataFrame:
     """channel_id, stream_id and the smallest step at which the channel's rule claims the stream.
 
     rules: channel_id, step_order, providers and exclude_regions (null: no scope, the global denylist). lines: channel_id, kind
-    (alias, contains, exclude), position, line. streams: prepared. An alias's step is its place, a needle's comes after all
-    aliases, a pattern's is its own.
+    (alias, contains, exclude), position, line. An alias's step is its place, a needle's comes after all
+    aliases, a pattern's is its own. Pairs are ids and what the line asks for; keys and tags of names are fetched for the pairs found.
     """
-    c = compiled(lines, countries)
-    c = written(c, "rules")
+    c = written(compiled(lines, countries), "rules")
     aliases, needles, outs = (c.filter(F.col("kind") == k) for k in ("alias", "contains", "exclude"))
     per = aliases.groupBy("channel_id").agg(
         F.count(F.lit(1)).alias("n_aliases"),
         F.bool_or(F.lower("text").rlike(r"^\s*radio\b") | F.array_contains("require", F.lit("radio"))).alias("wants_radio"),
     )
     r = rules.join(per, "channel_id", "left").fillna({"n_aliases": 0, "wants_radio": False})
-    inside = streams.join(excluded_groups.select("group_id"), "group_id", "left_anti")
-    cols = ["channel_id", "kind", "position", "stream_id", "provider_id", "key", "prefixes", "timeshift", "quality_keys", "tail_keys", "section_keys", *SPEC]
-    found = [by_key(aliases, inside).select(cols), by_section(aliases, inside).select(cols), by_needle(needles, inside).select(cols)]
+    inside = known.streams.join(excluded_groups.select("group_id"), "group_id", "left_anti")
+    cols = ["channel_id", "kind", "position", "stream_id", *SPEC]
+    found = [by_key(aliases, inside.select("stream_id", "key")).select(cols), by_section(aliases, inside.select("stream_id", "clean")).select(cols)]
+    found.append(by_needle(needles, inside.select("stream_id", "clean"), known.index).select(cols))
     d = reduce(DataFrame.unionByName, found).withColumn("step", F.lit(None).cast("bigint"))
     if patterns:
-        p = by_pattern(patterns, inside).withColumn("kind", F.lit("pattern")).withColumn("position", F.lit(0).cast("bigint"))
+        p = by_pattern(patterns, inside.select("stream_id", "name", "provider_id"), known.index).withColumn("kind", F.lit("pattern")).withColumn("position", F.lit(0).cast("bigint"))
         d = d.unionByName(p.select(*cols, "step"))
+    d = d.join(inside.select("stream_id", "provider_id", "key", "prefixes", "timeshift", "quality_keys", "tail_keys", "section_keys"), "stream_id")
     d = d.join(r, "channel_id").filter(F.col("providers").isNull() | F.array_contains("providers", F.col("provider_id")))
     d = d.filter(spec_holds() & guard_holds(regions))
     d = d.withColumn("step", F.coalesce("step", F.col("step_order") + F.col("position") + F.when(F.col("kind") == "contains", F.col("n_aliases")).otherwise(0)))
@@ -141,30 +194,34 @@ def matched(rules: DataFrame, lines: DataFrame, patterns: list, streams: DataFra
     return best.groupBy("channel_id", "stream_id").agg(F.min("step").alias("step"))
 
 
-def having(streams: DataFrame, needle: str) -> DataFrame:
-    """Prepared streams with the needle in their key (as a key) or in their raw name."""
-    return streams.filter(F.contains("key", match_key(F.lit(needle))) | F.contains(F.lower("name"), F.lit(needle.lower())))
+def having(known: Catalogue, needle: str) -> DataFrame:
+    """Prepared streams with the needle in their key (as a key) or in their raw name; candidates by its rarest gram."""
+    one = known.streams.sparkSession.range(1)
+    asked = {"key": match_key(F.lit(needle)), "name": F.lit(needle)}
+    ids = [grams.candidates(one.select(F.lit(k).alias("query"), grams.grams(grams.inner(c)).alias("grams")), known.index, k).select("id") for k, c in asked.items()]
+    met = known.streams.join(ids[0].union(ids[1]).distinct(), F.col("stream_id") == F.col("id"), "left_semi")
+    return met.filter(F.contains("key", match_key(F.lit(needle))) | F.contains(F.lower("name"), F.lit(needle.lower())))
 
 
-def search_sections(streams: DataFrame, needle: str, most: int = 8) -> DataFrame:
+def search_sections(known: Catalogue, needle: str, most: int = 8) -> DataFrame:
     """For each key found: its most frequent prefixes and sections (a report with a top-k), as key, kind, name, streams, place.
 
     A stream's section is the first word of its first prefix, or of its name without one.
     """
     section = F.get(words(F.coalesce(F.get("prefixes", F.lit(0)), F.col("clean"))), F.lit(0))
     said = [F.transform("prefixes", lambda p: F.struct(F.lit("prefix").alias("kind"), p.alias("name"))), F.array(F.struct(F.lit("section").alias("kind"), section.alias("name")))]
-    d = having(streams, needle).select("key", F.explode(F.concat(*said)).alias("r")).select("key", "r.*").filter(F.coalesce("name", F.lit("")) != "")
+    d = having(known, needle).select("key", F.explode(F.concat(*said)).alias("r")).select("key", "r.*").filter(F.coalesce("name", F.lit("")) != "")
     d = d.groupBy("key", "kind", "name").agg(F.count(F.lit(1)).alias("streams"))
     place = F.row_number().over(Window.partitionBy("key", "kind").orderBy(F.desc("streams"), "name"))
     return d.withColumn("place", place).filter(F.col("place") <= most)
 
 
-def search(streams: DataFrame, needle: str) -> DataFrame:
-    """Prepared streams whose name has the needle, by key: how many, their providers, three samples and sections.
+def search(known: Catalogue, needle: str) -> DataFrame:
+    """Streams whose name has the needle, by key: how many, their providers, three samples and sections.
 
     Samples are the names of the three smallest ids, taken with a window before grouping; no list of a key's streams is built.
     """
-    d = having(streams, needle).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("stream_id")))
+    d = having(known, needle).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("stream_id")))
     out = d.groupBy("key").agg(
         F.count(F.lit(1)).alias("streams"), F.array_join(F.array_sort(F.collect_set(F.col("provider_id").cast("string"))), ",").alias("providers"),
         F.max(F.when(F.col("n") == 1, F.col("name"))).alias("sample_1"), F.max(F.when(F.col("n") == 2, F.col("name"))).alias("sample_2"), F.max(F.when(F.col("n") == 3, F.col("name"))).alias("sample_3"),
