@@ -523,3 +523,13 @@ def test_hot_fingerprints_and_a_hot_centre(spark):
     assert found == {(k, 0) for k in range(1, 3000)} | {(6000, 5000)}
     docs = spark.range(600).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'a b c d' END AS text", "'x' AS part")
     assert {(r.doc_id, r.component_id) for r in simhash.simhash_components(docs).collect()} == {(k, k % 2) for k in range(600)}
+
+
+def test_a_null_id_is_not_the_text_null(spark):
+    rows = spark.createDataFrame([("null", "one payload", 4), (None, "one payload", 3), ("a", "other", 1), (None, "lone", 2)], "doc_id string, text string, n int")
+    kept = keep_one(rows, exact_dedup(rows))
+    assert {(r.doc_id, r.n) for r in kept.collect()} == {("null", 4), ("a", 1), (None, 2)}
+    folder = shared_path(spark, "warc")
+    pages = rows.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    found = {(r.page_id, r.record_type, r.refers_to) for r in warc.read_warc(warc.write_warc(pages, folder), folder).collect()}
+    assert found == {("null", "response", None), (None, "revisit", "null"), ("a", "response", None), (None, "response", None)}

@@ -54,15 +54,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def row_name(id_: Column, digest: Column) -> Column:
+    """One text for an id and a digest; a null id is unlike any other, whatever ids are called."""
+    return F.concat_ws(":", F.when(id_.isNull(), "-").otherwise(F.concat(F.lit("+"), id_.cast("string"))), digest)
+
+
 def keep_one(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay by decisions of exact_dedup or near_copies, with all their columns, whatever their names.
 
     Rows that repeat id and text give one row: of those, the one of least other columns, compared as JSON text.
     """
     sha = F.lower(F.hex(text_digest(F.col(text_col))))
-    name = lambda i, s: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), s)
-    kept = decisions.filter("kept").select(name(F.col(id_col), F.col("text_sha256")).alias("key"))
+    kept = decisions.filter("kept").select(row_name(F.col(id_col), F.col("text_sha256")).alias("key"))
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
     rank = F.to_json(F.struct(*others)) if others else F.lit("")
-    whole = docs.select(name(F.col(id_col), sha).alias("key"), rank.alias("rank"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = docs.select(row_name(F.col(id_col), sha).alias("key"), rank.alias("rank"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return whole.join(kept, "key", "left_semi").groupBy("key").agg(F.min_by("row", "rank").alias("row")).select("row.*")

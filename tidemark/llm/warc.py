@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
-from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.exact_dedup import exact_dedup, row_name
 
 #: An archive is closed and the next one begun after so many bytes of payload.
 ARCHIVE_BYTES = 64 << 20
@@ -107,9 +107,8 @@ def write_warc(
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).alias("body"), F.col(id_col).alias("key"))
     long_enough = rows.filter(F.octet_length("body") >= least_bytes)
     decided = exact_dedup(long_enough, "key", "body", keep).filter(~F.col("key").eqNullSafe(F.col("keep_id")))
-    at = lambda key, sha: F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("null")), sha)
-    revisits = decided.select(at(F.col("key"), F.col("text_sha256")).alias("at"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("refers_to")).distinct()
-    placed = rows.withColumn("at", at(F.col("key"), F.sha2("body", 256)))
+    revisits = decided.select(row_name(F.col("key"), F.col("text_sha256")).alias("at"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("refers_to")).distinct()
+    placed = rows.withColumn("at", row_name(F.col("key"), F.sha2("body", 256)))
     decided = placed.join(revisits, "at", "left").select("id", "url", "body", "refers_to")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
