@@ -140,13 +140,23 @@ def test_cross_tokenizer(spark, monkeypatch, small):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
         monkeypatch.setattr(cross_tokenizer, "PARTS", 2)
     try:
-        found = cross_tokenizer.cross_tokenizer_links(rows, partial(cross_tokenizer.byte_level, A), partial(cross_tokenizer.pieces, B))
+        pattern = public_tokenizers.PATTERN if small else None
+        found = cross_tokenizer.cross_tokenizer_links(rows, partial(cross_tokenizer.byte_level, A, pattern), partial(cross_tokenizer.pieces, B))
         assert Counter(map(tuple, found.collect())) == Counter(plain_links(docs))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert cross_tokenizer.cross_tokenizer_links(rows.limit(0), partial(cross_tokenizer.byte_level, A), partial(cross_tokenizer.pieces, B)).count() == 0
 
 
+def test_both_libraries_give_the_same_ids():
+    """Every code point of the basic plane and some beyond, between letters, digits, marks and blanks."""
+    slow, quick = cross_tokenizer.byte_level(A), cross_tokenizer.byte_level(A, public_tokenizers.PATTERN)
+    assert slow.raw == quick.raw
+    points = [c for c in [*range(0x10000), *range(0x1F300, 0x1F700), *range(0x10400, 0x10500)] if not 0xD800 <= c <= 0xDFFF]
+    texts = ["\n".join(f"a{chr(c)}b {chr(c)} 1{chr(c)}2 {chr(c)}{chr(c)} .{chr(c)}" for c in points[k : k + 256]) for k in range(0, len(points), 256)]
+    assert slow.encode(texts) == quick.encode(texts)
+
+
 def test_wide_groups_and_slices_give_equal_links(monkeypatch):
     """Tokens that never end together: counting equal tokens first, and expanding in slices, change nothing."""
     a, b = (cross_tokenizer.Tokens(lambda t: [], [b"", b"x", b"xy", b"yx", b"y"]) for _ in range(2))

@@ -157,7 +157,7 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = partial(byte_level, public_tokenizers.path("byte_bpe_50k.json"))
+    first = partial(byte_level, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     second = partial(pieces, public_tokenizers.path("piece_bpe_32k.model"))
     return cross_tokenizer_links(table(spark, sf_dir, "documents"), first, second)
 
