@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import selection
+
 STATES = ["alive", "low_bitrate", "black", "dead", "unmeasured"]
 RESOLUTIONS = ["uhd", "fhd", "hd", "sd", "unknown"]
 
@@ -39,8 +41,9 @@ def bitrate_medians(streams: DataFrame) -> DataFrame:
 
 
 def ages(streams: DataFrame, now: int) -> DataFrame:
-    age = F.lit(now) - F.col("probed_at")
-    return streams.filter(F.col("probed_at").isNotNull()).groupBy("provider_id").agg(F.median(age).alias("median_age"), F.max(age).alias("oldest_age"))
+    """Median and greatest age of verdicts; nearly all ages differ, so they are selected by histograms rather than gathered."""
+    found = selection.medians(streams, "provider_id", F.lit(now) - F.col("probed_at"))
+    return found.select("provider_id", F.col("median").alias("median_age"), F.col("most").alias("oldest_age"))
 
 
 def rank1(catalogue: DataFrame, best: DataFrame) -> DataFrame:
@@ -72,6 +75,37 @@ def exposition(samples: DataFrame, family: str, kind: str, text: str, labels: li
     return heads.unionByName(samples.filter(finite).select(F.lit(family).alias("family"), F.lit(2).cast("bigint").alias("line_no"), line.alias("line")))
 
 
+def page(families: DataFrame, about: dict[str, tuple[str, str]]) -> DataFrame:
+    """The whole text of several families (family, labels: an array of (name, value), value), as line_no and line.
+
+    `about` has each family's kind and help, in the order of the page; a family without samples has no lines. Samples of a family are in order of their labels. Lines are numbered by
+    family first, so no task numbers the whole page.
+    """
+    escape = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
+    rows = families.sparkSession.createDataFrame([(f, k, kind, text) for k, (f, (kind, text)) in enumerate(about.items())], "family string, place int, kind string, text string")
+    number = F.col("value").cast("double")
+    finite = families.filter(number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))).join(rows, "family")
+    label = F.array_join(F.transform("labels", lambda x: F.concat(x["name"], F.lit('="'), escape(F.coalesce(x["value"], F.lit(""))), F.lit('"'))), ",")
+    named = F.when(F.size("labels") > 0, F.concat("family", F.lit("{"), label, F.lit("}"))).otherwise(F.col("family"))
+    shown = F.when(number == F.floor(number), F.floor(number).cast("bigint").cast("string")).otherwise(number.cast("string"))
+    samples = finite.select("place", F.lit(2).alias("part"), F.concat_ws(" ", named, shown).alias("line"))
+    there = finite.select("place", "family", "kind", "text").distinct()
+    heads = [F.struct(F.lit(0).alias("part"), F.concat_ws(" ", F.lit("# HELP"), "family", "text").alias("line")), F.struct(F.lit(1).alias("part"), F.concat_ws(" ", F.lit("# TYPE"), "family", "kind").alias("line"))]
+    lines = samples.unionByName(there.select("place", F.explode(F.array(*heads)).alias("h")).select("place", "h.*"))
+    within = F.row_number().over(Window.partitionBy("place").orderBy("part", "line"))
+    lines = lines.withColumn("within", within)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a family
+    ahead = lines.groupBy("place").agg(F.count(F.lit(1)).alias("n")).withColumn("ahead", before)
+    return lines.join(ahead, "place").select((F.col("ahead") + F.col("within")).cast("bigint").alias("line_no"), "line")
+
+
+def family(rows: DataFrame, name: str, value: Column, labels: dict[str, Column]) -> DataFrame:
+    """Rows as samples of one family: family, labels, value."""
+    pairs = [F.struct(F.lit(k).alias("name"), c.cast("string").alias("value")) for k, c in labels.items()]
+    none = F.array().cast("array<struct<name: string, value: string>>")
+    return rows.select(F.lit(name).alias("family"), (F.array(*pairs) if pairs else none).alias("labels"), value.cast("double").alias("value"))
+
+
 def worker_status(heartbeat: Column, enabled: Column, now: int, stale: int = 120_000) -> list[Column]:
     """What a worker is said to be doing, the age of its heartbeat, and whether it runs."""
     age = F.lit(now) - heartbeat

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.versions import VersionedTable
+
 DAY = 86_400_000
 NAME_CHARS = 200
 KEPT = {"verdicts": 30 * DAY, "runs": 30 * DAY, "samples": 90 * DAY}
@@ -40,9 +42,15 @@ def finished(runs: DataFrame, updates: DataFrame, now: int) -> DataFrame:
     return d.select(*kept, F.coalesce("ended", was).alias("finished_at"))
 
 
-def emptied(rows: DataFrame) -> DataFrame:
-    """The table without rows, as a reset leaves it."""
-    return rows.limit(0)
+#: Tables that a reset empties; settings and rules stay.
+RESET = ["probe_cache", "runs", "refresh_marks", "catalogue", "catalogue_state", "assign_blocks", "quality_samples"]
+
+
+def reset(tables: dict[str, VersionedTable]) -> None:
+    """Publishes an empty version of each of the tables that a reset is about; readers of older versions keep theirs."""
+    for name in RESET:
+        if name in tables:
+            tables[name].empty("reset")
 
 
 def split_by_variant(cache: DataFrame) -> DataFrame:
@@ -50,9 +58,14 @@ def split_by_variant(cache: DataFrame) -> DataFrame:
     return cache if "variant_id" in cache.columns else cache.withColumn("variant_id", F.lit(0).cast("bigint"))
 
 
-def entry(verdicts: DataFrame, key: DataFrame, readable: Column) -> DataFrame:
-    """The verdicts of given keys (stream_id, stream_hash, variant_id); those whose result cannot be read count as missing."""
-    return verdicts.join(key, ["stream_id", "stream_hash", "variant_id"], "left_semi").filter(readable)
+def entry(cache: DataFrame, key: DataFrame) -> DataFrame:
+    """The kept verdicts of given keys (stream_id and stream_hash, with variant_id or of all variants): probed_at, alive, dead_streak and the result as JSON.
+
+    A result that cannot be read is null, while the row's age and streak still hold: the probe that wrote it did happen.
+    """
+    readable = F.get_json_object("result", "$").isNotNull()
+    found = cache.join(key.distinct(), key.columns, "left_semi")
+    return found.select("stream_id", "stream_hash", "variant_id", "probed_at", "alive", F.coalesce("dead_streak", F.lit(0)).alias("dead_streak"), F.when(readable, F.col("result")).alias("result"))
 
 
 def by_id(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:

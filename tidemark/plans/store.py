@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import probing
-from tidemark.operators import probes, settings, store
-from tidemark.plans.registry import D, NOW, query
+from tidemark.operators import probes, settings, store, verdicts
+from tidemark.plans.registry import LATEST_SQL, NOW, D, query
+from tidemark.sources.scratch import path
+from tidemark.sources.versions import VersionedTable
 
 FIELDS_SCHEMA = "key string, kind string, scale double, least double, most double, fallback string"
 FIELDS = [("f0", "number", 1000.0, 1.0, 100.0, "5"), ("f1", "number", None, None, None, "2.5"), ("f2", "boolean", None, None, None, "true"), ("f3", "url", None, None, None, "http://up"), ("f4", "secret", None, None, None, ""), ("f5", "text", None, None, None, "t")]
@@ -134,11 +139,33 @@ def cache_split(log):
     return store.split_by_variant(old)
 
 
-@query(["v_verdict_log"], "SELECT stream_id, stream_hash, variant_id, count(*) AS verdicts FROM v_verdict_log WHERE stream_id % 100 = 0 AND stream_hash = 'h1' AND bitrate_kbps > 0 GROUP BY 1, 2, 3")
+ENTRY_SQL = LATEST_SQL + """ SELECT stream_id, stream_hash, variant_id, probed_at, alive, CAST(dead_streak AS BIGINT) AS dead_streak,
+ CASE WHEN bitrate_kbps > 0 THEN bitrate_kbps END AS kbps, bitrate_kbps > 0 AS readable FROM latest WHERE stream_id % 100 = 0 AND stream_hash = 'h1'"""
+
+
+def _kept(log):
+    """The kept verdicts with their result as text; one without bitrate stands for one that was cut off while it was written."""
+    whole = F.to_json(F.struct("alive", F.col("bitrate_kbps").alias("bitrateKbps")))
+    return verdicts.latest(log).withColumn("result", F.when(F.col("bitrate_kbps") > 0, whole).otherwise(F.substring(whole, 1, 9)))
+
+
+def _read(found):
+    kbps = F.get_json_object("result", "$.bitrateKbps").cast("bigint")
+    return found.select("stream_id", "stream_hash", "variant_id", "probed_at", "alive", "dead_streak", kbps.alias("kbps"), F.col("result").isNotNull().alias("readable"))
+
+
+@query(["v_verdict_log"], ENTRY_SQL)
 def cache_entries(log):
-    """Point lookups of the streams whose id ends in 00, under hash h1; a result without bitrate stands for one that cannot be read."""
-    key = log.filter("stream_id % 100 = 0 AND stream_hash = 'h1'").select("stream_id", "stream_hash", "variant_id").distinct()
-    return store.entry(log, key, F.col("bitrate_kbps") > 0).groupBy("stream_id", "stream_hash", "variant_id").agg(F.count(F.lit(1)).alias("verdicts"))
+    """Point lookups of the streams whose id ends in 00, under hash h1, each by its variant; those that cannot be read keep their age and streak."""
+    kept = _kept(log)
+    return _read(store.entry(kept, log.filter("stream_id % 100 = 0 AND stream_hash = 'h1'").select("stream_id", "stream_hash", "variant_id")))
+
+
+@query(["v_verdict_log"], ENTRY_SQL)
+def cache_variants(log):
+    """The same streams looked up without a variant: every login's verdict."""
+    kept = _kept(log)
+    return _read(store.entry(kept, log.filter("stream_id % 100 = 0 AND stream_hash = 'h1'").select("stream_id", "stream_hash")))
 
 
 @query(["v_channel"], "SELECT i.channel_id, c.name FROM (SELECT channel_id * 7 AS channel_id FROM v_channel) i LEFT JOIN v_channel c ON c.channel_id = i.channel_id")
@@ -146,9 +173,27 @@ def channel_lookup(channels):
     return store.by_id(channels, "channel_id", channels.select((F.col("channel_id") * 7).alias("channel_id")))
 
 
-@query(["v_run"], "SELECT count(*) AS rows FROM v_run WHERE false")
-def data_reset(runs):
-    return store.emptied(runs).agg(F.count(F.lit(1)).alias("rows"))
+RESET_OF = {
+    "probe_cache": ("v_verdict_log", ["stream_id", "variant_id", "probed_at"]), "runs": ("v_run", ["run_id", "started_at"]), "refresh_marks": ("v_group", ["group_id"]),
+    "catalogue": ("v_ranked", ["channel_id", "stream_id"]), "catalogue_state": ("v_run", ["run_id"]), "assign_blocks": ("v_assigned", ["channel_id", "stream_id"]), "quality_samples": ("v_sample", ["stream_id", "sampled_at"]),
+    "settings": ("v_setting", ["key", "ord"]),
+}
+RESET_VIEWS = sorted({v for v, _ in RESET_OF.values()})
+
+
+@query(RESET_VIEWS, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS before, CASE WHEN '{t}' = 'settings' THEN count(*) ELSE 0 END AS after FROM {v}" for t, (v, _) in RESET_OF.items()))
+def data_reset(*views):
+    """Rows of the kept tables before and after a reset, read back: seven are emptied, settings stay."""
+    by = dict(zip(RESET_VIEWS, views, strict=True))
+    spark = views[0].sparkSession
+    tables = {name: VersionedTable(spark, path(spark, name)) for name in RESET_OF}
+    for name, (v, columns) in RESET_OF.items():
+        tables[name].replace(by[v].select(*columns))
+    before = {name: t.read() for name, t in tables.items()}
+    store.reset(tables)
+    count = lambda d, name, when: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), F.lit(when).alias("at"), "n")
+    rows = [count(d, name, when) for name in RESET_OF for when, d in (("before", before[name]), ("after", tables[name].read()))]
+    return reduce(DataFrame.unionByName, rows).groupBy("name").pivot("at", ["before", "after"]).agg(F.first("n"))
 
 
 @query(
@@ -164,3 +209,22 @@ def probe_verdicts(p):
     d = p.select("probe_id", probing.parsed(F.col("payload")).alias("p"), F.when(i % 13 != 6, probing.sampled(F.col("stderr"))).alias("s"), (i % 8 == 3).alias("truncated"), (i % 11).alias("remaining_ms"))
     return probes.merged(d).select("probe_id", "alive", "bitrate_kbps", "bitrate_measured", "black", "black_seconds")
 
+
+
+FAILED_SQL = f"""WITH b AS (SELECT probe_id, probe_id % 5 <> 0 AS v, CASE probe_id % 17 WHEN 1 THEN 'refusing a url that is local' WHEN 2 THEN 'timeout' WHEN 3 THEN 'spawn failed: ' || repeat('x', 186) WHEN 4 THEN 'last line' WHEN 5 THEN 'exit 1'
+  WHEN 6 THEN 'unparseable: not JSON' ELSE '' END AS error, CASE WHEN probe_id % 3 = 0 THEN {D(384)} ELSE floor((probe_id * 7) / {D(1000)} * 100 + {D(0.5)}) / 100 END AS declared FROM v_probe)
+SELECT probe_id, error, error = '' AND v AS alive, CASE WHEN error <> '' OR NOT v THEN {D(0)} ELSE probe_id + {D(0.5)} END AS bitrate_kbps,
+ CASE WHEN error <> '' THEN CASE WHEN starts_with(error, 'spawn') OR starts_with(error, 'unp') THEN 'probe_error' WHEN starts_with(error, 'refusing') THEN 'rejected' WHEN error = 'timeout' THEN 'timeout' ELSE 'other' END WHEN NOT v THEN 'other' END AS reason FROM b"""
+
+
+@query(["v_probe"], FAILED_SQL)
+def probe_failures(p):
+    """Probes that were refused, ran out of time, did not start, failed or wrote no JSON, beside those that gave a verdict, and the reason that their error is counted under."""
+    i = F.col("probe_id")
+    case = i % 17
+    d = p.select(
+        "probe_id", F.when(case == 1, "refusing a url that is local").alias("refusal"), (case == 2).alias("timed_out"), F.when(case == 3, F.repeat(F.lit("x"), 300)).alias("spawn_error"),
+        F.when(case.isin(4, 5), 1).otherwise(0).alias("exit_code"), F.when(case == 4, F.lit("first line\n\nlast line\n")).alias("written"), F.when(case == 6, F.substring("payload", 1, 30)).otherwise(F.col("payload")).alias("payload"),
+        probing.sampled(F.col("stderr")).alias("s"), F.lit(False).alias("truncated"), F.lit(1).alias("remaining_ms"),
+    )
+    return probes.outcomes(d).select("probe_id", "error", "alive", "bitrate_kbps", F.when(~F.col("alive"), probing.dead_reason(F.col("error"))).alias("reason"))

@@ -54,6 +54,15 @@ class VersionedTable:
         part = self._written(rows)
         return self._publish([part], mark) if part else self.manifest()["version"]
 
+    def empty(self, mark: object = None) -> int:
+        """A version with the columns of the newest and no rows."""
+        rows = self.read()
+        if rows is None:
+            return -1
+        part = f"{self.at}/data/{uuid.uuid4().hex}"
+        rows.limit(0).write.parquet(part)
+        return self._publish([part], mark)
+
     def append(self, rows: DataFrame, mark: object = None) -> int:
         """The newest version's rows and these as the next version."""
         part = self._written(rows)
