@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from tidemark.plans.registry import QUERIES
 
 AT = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-HEADLINE = ["quality_buckets", "samples_trim", "cache_health", "score_streams", "rank_quality", "run_activity", "runs_collapsed", "epg_current", "plan_jobs", "compose_assign", "provider_bitrate_median", "quality_effects", "normalize_names", "match_contains", "match_best_step"]
+HEADLINE = ["quality_buckets", "samples_trim", "cache_health", "score_streams", "rank_quality", "run_activity", "runs_collapsed", "epg_current", "plan_jobs", "compose_assign", "provider_bitrate_median", "quality_effects", "normalize_names", "match_contains", "match_regex", "match_best_step", "stream_search", "provider_verdict_age"]
 
 
 def main() -> None:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache, reduce
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ BRACKETED = r"\[[^\]]*\]|\([^)]*\)"
 RESOLUTION, RATE = r"^([0-9]{3,4})[PI]$", r"^([0-9]{2,3})FPS$"
 # End of fixed values.
 
+DIACRITIC = regex.compile(r"\p{Diacritic}")
 #: Words of a section at most, and characters before its separator.
 SECTION_WORDS, SECTION_CHARS, SECTIONS = 4, 25, 3
 
@@ -33,12 +35,21 @@ def country_codes(spark: SparkSession) -> list[str]:
     return sorted(spark.sparkContext._jvm.java.util.Locale.getISOCountries())
 
 
+@lru_cache(maxsize=1)
+def marks() -> str:
+    """The Unicode property Diacritic as a class of the JVM's patterns, which have no name for it: its ranges, found once by asking for every code point."""
+    held = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and DIACRITIC.match(chr(c))]
+    starts = [c for k, c in enumerate(held) if not k or held[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(held) if k + 1 == len(held) or held[k + 1] != c + 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "]+"
+
+
 def fold(text: Column) -> Column:
     """Decoration dropped, then compatibility decomposition, then marks dropped; in this order, so a superscript HD goes."""
     plain = F.regexp_replace(text, DECORATION, "")
     loose = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), plain, F.lit(True))
     # ASCII needs no decomposition; most names are that.
-    return F.regexp_replace(F.when(plain.rlike(r"^[\x00-\x7f]*$"), plain).otherwise(loose), "[\\p{M}^`·]+", "")
+    return F.regexp_replace(F.when(plain.rlike(r"^[\x00-\x7f]*$"), plain).otherwise(loose), marks(), "")
 
 
 def match_key(text: Column) -> Column:

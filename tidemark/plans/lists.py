@@ -127,17 +127,6 @@ def worker_health(options):
     return d.select("option_id", *status, *fresh)
 
 
-@query(
-    ["v_provider"],
-    """SELECT provider_id AS provider, m AS family, CASE m WHEN 'lane_limit' THEN max_streams WHEN 'lane_queued' THEN provider_id % 9 WHEN 'lane_done' THEN provider_id % 7 WHEN 'lane_dead' THEN CASE WHEN provider_id % 2 = 0 THEN provider_id % 3 ELSE 0 END WHEN 'lane_failed' THEN provider_id % 4
-  WHEN 'lane_in_flight' THEN provider_id % 3 ELSE provider_id % 7 + provider_id % 4 END AS value FROM v_provider, (SELECT unnest(['lane_limit', 'lane_queued', 'lane_done', 'lane_dead', 'lane_failed', 'lane_in_flight', 'lane_completed']) AS m)""",
-)
-def lane_metrics(providers):
-    i = F.col("provider_id")
-    flight = F.when(i % 3 > 0, F.sequence(F.lit(1), (i % 3).cast("int")))
-    return metrics.lane_families(providers.select(i.alias("provider"), F.col("max_streams").alias("limit"), (i % 9).alias("queued"), (i % 7).alias("done"), F.when(i % 2 == 0, i % 3).alias("dead"), (i % 4).alias("failed"), flight.alias("current")))
-
-
 @query(
     ["v_option"],
     """SELECT option_id, CASE WHEN option_id % 4 = 1 THEN 'provider' WHEN option_id % 4 = 2 THEN 'alias' ELSE 'quality' END AS mode, ['b', CAST(option_id AS VARCHAR)] AS provider_preference, CASE WHEN option_id % 3 = 0 THEN option_id * 0.5::DOUBLE ELSE 0::DOUBLE END AS bitrate FROM v_option""",
