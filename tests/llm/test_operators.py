@@ -533,3 +533,16 @@ def test_a_null_id_is_not_the_text_null(spark):
     pages = rows.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
     found = {(r.page_id, r.record_type, r.refers_to) for r in warc.read_warc(warc.write_warc(pages, folder), folder).collect()}
     assert found == {("null", "response", None), (None, "revisit", "null"), ("a", "response", None), (None, "response", None)}
+
+
+def test_long_shared_conversations_take_one_round(spark):
+    """Seventy conversations of a hundred equal turns, some that go on or stop before: a stem, not a hundred."""
+    said = [("user" if k % 2 == 0 else "assistant", f"turn {k} ok") for k in range(100)]
+    own = {c: said if c < 70 else said[:40] + [("user", f"other {c % 3}")] for c in range(140)} | {200: said[:100] + [("user", "more")], 201: said[:7]}
+    rows = [(c, k, r, t) for c, turns in own.items() for k, (r, t) in enumerate(turns)]
+    packs = chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).cache()
+    stems = [p for p in packs.collect() if not p.conversations]
+    assert len(stems) <= 4 and sorted(len(p.nodes) for p in stems)[:1] == [7]
+    back = {r.conv_id: ([(t.role, t.text) for t in r.turns], r.loss_text) for r in chat.read_conversations(packs).collect()}
+    assert back == {c: (turns, "".join(t for r, t in turns if r == "assistant")) for c, turns in own.items()}
+    packs.unpersist()

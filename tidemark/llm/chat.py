@@ -122,8 +122,8 @@ def format_conversations(turns: DataFrame, pack_size: int = 64, id_col: str = "c
     """Packs of conversations: token ids, a position id for each, nodes, and the last node of each conversation.
 
     Conversations with one first turn go to one pack, for their tree to share it. A first turn with more than pack_size conversations
-    becomes a stem: a pack of that turn alone, emitted once, which the packs of its conversations refer to; these are parted
-    by their second turns, and so on, as long as a branch is larger than a pack. Conversations that end where a stem does are packed by a hash and have
+    becomes a stem: a pack of that turn and all further turns that these conversations share, emitted once, which the packs of its conversations refer to; these are parted
+    by their next turns, and so on, as long as a branch is larger than a pack. Rounds grow with branchings, not with turns. Conversations that end where a stem does are packed by a hash and have
     no tokens of their own. The branches of a stem share packs of about pack_size conversations, whose positions go on from the stem's. So every
     turn after one path of turns is emitted once, and no task holds a hot tree. Only hashes of paths are counted for
     this; the turns move once more, to their pack. Tokens are those of the byte-level BPE; heads, texts and ends of turns are encoded apart.
@@ -142,34 +142,42 @@ def format_conversations(turns: DataFrame, pack_size: int = 64, id_col: str = "c
     whole = cut(whole.withColumns({"row": F.monotonically_increasing_id(), "paths": paths}))
     kind, id_kind = whole.schema["conv_id"].dataType.simpleString(), to_arrow_type(whole.schema["conv_id"].dataType)
 
-    # one round a depth: `row`, its path so far (the stem) and its next branch, for the rows that are not placed yet
+    # one round a branching: `row`, its path, the stem that it has so far, how many of its turns that covers, and the position that it ends at, for rows that are not placed yet
     open_ = whole.select("row", "paths", F.element_at("paths", 1).alias("stem"), F.lit(0).alias("depth"), F.lit(0).alias("upto"))
-    placed, stems, depth = None, None, 0
+    every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    placed, stems, level = None, None, 0
     while True:
-        depth += 1
-        branch = F.coalesce(F.get("paths", F.lit(depth)), F.xxhash64(F.lit("end"), "stem", "row"))
+        level += 1
+        branch = F.coalesce(F.get("paths", F.col("depth") + 1), F.xxhash64(F.lit("end"), "stem", "row"))
         counted = with_total(open_.withColumn("branch", branch), "stem", "row", F.count(F.lit(1)), F.sum, "siblings")
         counted = cut(with_total(counted, "branch", "row", F.count(F.lit(1)), F.sum, "n"))
         bins = F.ceil(F.col("siblings") / pack_size)
         small = counted.filter(F.col("n") <= pack_size).select("row", "stem", "depth", "upto", F.xxhash64(F.lit("pack"), "stem", F.pmod(F.xxhash64(F.lit(1), "branch"), bins)).alias("pack"))
         placed = small if placed is None else placed.unionByName(small)
-        large = counted.filter(F.col("n") > pack_size)
-        heads = large.groupBy("branch").agg(F.min(F.struct("row", "stem", "upto")).alias("head")).select("branch", "head.*")
+        large = counted.filter(F.col("n") > pack_size).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int"))
+        heads = cut(large.groupBy("branch").agg(F.min(F.struct("row", "stem", "depth", "upto", "paths")).alias("head")).select("branch", "head.*"))
         if heads.isEmpty():
             break
-        found = heads.join(whole.select("row", F.get("turns", F.lit(depth - 1)).alias("turn")), "row").select("branch", "stem", "upto", "turn.role", "turn.text")
-
-        def stem_packs(batches: Iterable[pa.RecordBatch], depth=depth) -> Iterator[pa.RecordBatch]:
+        # a path's entries stand for all turns up to them, so as many turns are shared as entries are equal
+        met = large.join(heads.select("branch", F.col("paths").alias("own"), every), ["branch", "part"])
+        same = F.size(F.filter(F.zip_with("paths", "own", lambda x, y: x == y), lambda x: x)) - 1
+        reach = met.groupBy("branch").agg(F.min(same).alias("reach"))
+        run = F.expr("slice(turns, depth + 1, reach - depth)").alias("turns")
+        found = heads.drop("paths").join(reach, "branch").join(whole.select("row", "turns"), "row").select("branch", "stem", "upto", "reach", run)
+
+        def stem_packs(batches: Iterable[pa.RecordBatch], level=level) -> Iterator[pa.RecordBatch]:
             _, encode = kept_tables(path, pattern, shared.value)
             for batch in batches:
-                for pack, stem, upto, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield _pack(pack, stem, depth, pack_tree([[(role, text)]], encode, upto), [], id_kind)
+                for pack, stem, upto, _, turns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield _pack(pack, stem, level, pack_tree([[(t["role"], t["text"]) for t in turns]], encode, upto), [], id_kind)
 
+        found = cut(found)
         new = cut(found.mapInArrow(stem_packs, PACKS.replace("KIND", kind)))
         stems = new if stems is None else stems.unionByName(new)
-        ends = new.select(F.col("pack").alias("branch"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), (F.get("nodes", F.lit(0))["position"] + F.size("ids")).alias("end"))
-        further = large.select("row", "paths", "branch", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int").alias("part")).join(ends, ["branch", "part"])
-        open_ = further.select("row", "paths", F.col("branch").alias("stem"), F.lit(depth).alias("depth"), F.col("end").alias("upto"))
+        ends = new.select(F.col("pack").alias("branch"), (F.get("nodes", F.lit(0))["position"] + F.size("ids")).alias("end"))
+        ends = ends.join(found.select("branch", "reach"), "branch").select("branch", "end", "reach", every)
+        further = large.select("row", "paths", "branch", "part").join(ends, ["branch", "part"])
+        open_ = further.select("row", "paths", F.col("branch").alias("stem"), F.col("reach").alias("depth"), F.col("end").alias("upto"))
 
     def build(table: pa.Table) -> pa.Table:
         _, encode = kept_tables(path, pattern, shared.value)
@@ -190,7 +198,7 @@ def format_conversations(turns: DataFrame, pack_size: int = 64, id_col: str = "c
 def read_conversations(packs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """conv_id, turns array of (role, text), loss_text, formatted_chars, read back from packs: tokens decoded, by intervals and loss marks alone.
 
-    Stems are put together once, from the shortest on; then packs meet the whole stem that they refer to, by stem and a part of it.
+    Stems are put together once, level by level; then packs meet the whole stem that they refer to, by stem and a part of it.
     """
     shared = packs.sparkSession.sparkContext.broadcast(read_ranks(path))
     packs = cut(packs)
@@ -198,8 +206,8 @@ def read_conversations(packs: DataFrame, path: str = RANKS, pattern: str = publi
     deepest = single.agg(F.max("depth")).first()[0] or 0
     whole, level = None, None
     for depth in range(1, deepest + 1):
-        own = single.filter(F.col("depth") == depth).select(F.col("pack").alias("at"), "stem", "ids", F.get("nodes", F.lit(0))["loss"].alias("loss"))
-        marked = F.when(F.col("loss").isNull(), F.array().cast("array<array<int>>")).otherwise(F.array(F.expr("slice(ids, loss[0] + 1, loss[1] - loss[0])")))
+        own = single.filter(F.col("depth") == depth).select(F.col("pack").alias("at"), "stem", "ids", "nodes")
+        marked = F.expr("transform(filter(nodes, n -> n.loss IS NOT NULL), n -> slice(ids, n.loss[0] + 1, n.loss[1] - n.loss[0]))")
         level = own.select("at", "stem", "ids", marked.alias("marked")) if depth == 1 else (
             own.join(level.select(F.col("at").alias("stem"), F.col("ids").alias("ids0"), F.col("marked").alias("marked0")), "stem")
             .select("at", "stem", F.concat("ids0", "ids").alias("ids"), F.concat("marked0", marked).alias("marked"))
