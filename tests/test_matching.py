@@ -66,8 +66,8 @@ def test_a_catalogue_is_kept_while_its_files_are(spark, tmp_path):
     row = lambda *names: spark.createDataFrame([(k, n, 1, 1) for k, n in enumerate(names)], "stream_id bigint, name string, provider_id bigint, group_id bigint")
     row("one").write.parquet(at)
     countries = country_codes(spark)
-    first = matching.Catalogue.of(spark.read.parquet(at), countries)
-    assert first is matching.Catalogue.of(spark.read.parquet(at), countries) and first.streams.count() == 1
+    first = matching.Catalogue.of(spark.read.parquet(at), countries, "streams")
+    assert first is matching.Catalogue.of(spark.read.parquet(at), countries, "streams") and first.streams.count() == 1
     row("two", "three").write.mode("append").parquet(at)
-    second = matching.Catalogue.of(spark.read.parquet(at), countries)
+    second = matching.Catalogue.of(spark.read.parquet(at), countries, "streams")
     assert second is not first and second.streams.count() == 3

@@ -7,12 +7,15 @@ task holds them all. A query that has no gram of its own asks for the empty one,
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from re import _constants as token
 from re import _parser as regex_parser
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import written
+
 #: Postings of one gram that lie in one part.
 SPLIT = 50_000
 EVERY = ""
@@ -46,20 +49,28 @@ def postings(texts: DataFrame, kinds: dict[str, Column]) -> DataFrame:
     return texts.select("id", F.explode(F.concat(*[own(k, c) for k, c in kinds.items()])).alias("g")).select("g.kind", "g.gram", "id")
 
 
-def indexed(found: DataFrame) -> DataFrame:
-    """Postings with how many their gram has and the part of them that each lies in, in order of kind and gram, so that a reader of one gram skips the rest."""
-    counts = found.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n"))
+@dataclass
+class Index:
+    """counts (kind, gram, n) and postings (kind, gram, part, id) in their order, so that a reader of one gram skips the rest."""
+
+    counts: DataFrame
+    postings: DataFrame
+
+
+def indexed(texts: DataFrame, kinds: dict[str, Column]) -> Index:
+    """The index of text columns, written to the shared folder."""
+    found = written(postings(texts, kinds), "postings")
+    counts = written(found.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n")), "grams")
     parts = F.ceil(F.col("n") / SPLIT).cast("int")
-    d = found.join(counts, ["kind", "gram"]).withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    return d.repartitionByRange("kind", "gram", "part").sortWithinPartitions("kind", "gram", "part", "id")
+    d = found.join(counts, ["kind", "gram"]).select("kind", "gram", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "id")
+    return Index(counts, written(d.repartitionByRange("kind", "gram", "part").sortWithinPartitions("kind", "gram", "part", "id"), "postings"))
 
 
-def candidates(queries: DataFrame, index: DataFrame, kind: str) -> DataFrame:
+def candidates(queries: DataFrame, index: Index, kind: str) -> DataFrame:
     """Queries (query, grams) and the ids whose text of a kind has the rarest gram of each; no id for a query with a gram that no text has."""
-    own = index.filter(F.col("kind") == kind)
+    counts, own = (d.filter(F.col("kind") == kind) for d in (index.counts, index.postings))
     asked = queries.select("query", F.explode(F.when(F.size("grams") > 0, F.col("grams")).otherwise(F.array(F.lit(EVERY)))).alias("gram"))
-    counts = own.filter("part = 0").join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.max("n").alias("n"))
-    ranked = asked.join(counts, "gram", "left").withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.col("n").asc_nulls_first(), "gram")))
+    ranked = asked.join(counts.select("gram", "n"), "gram", "left").withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.col("n").asc_nulls_first(), "gram")))
     chosen = ranked.filter("place = 1 AND n IS NOT NULL").select("query", "gram", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SPLIT).cast("int") - 1)).alias("part"))
     return chosen.join(own.select("gram", "part", "id"), ["gram", "part"]).select("query", "id")
 

@@ -32,14 +32,17 @@ def stored(d: DataFrame) -> DataFrame:
     return written(d, "names")
 
 
-def name_index(streams: DataFrame) -> DataFrame:
+def name_index(streams: DataFrame) -> grams.Index:
     """Grams of prepared streams: of their names as they are, of their clean names, and of their keys."""
     texts = streams.select(F.col("stream_id").alias("id"), "name", "clean", "key")
-    return written(grams.indexed(grams.postings(texts, {k: F.col(k) for k in ("name", "clean", "key")})), "grams")
+    return grams.indexed(texts, {k: F.col(k) for k in ("name", "clean", "key")})
 
 
 class Catalogue:
-    """Prepared streams and their index, written when first asked for and kept for the session while the files that they come from stay as they are."""
+    """Prepared streams and their index, written when first asked for.
+
+    With a name for what the caller reads, they are kept for the application while the files that it comes from stay as they are.
+    """
 
     _known: dict[tuple, Catalogue] = {}
 
@@ -48,11 +51,11 @@ class Catalogue:
         self._streams = self._index = None
 
     @classmethod
-    def of(cls, streams: DataFrame, countries: list[str]) -> Catalogue:
-        version = file_versions(streams)
+    def of(cls, streams: DataFrame, countries: list[str], name: str | None = None) -> Catalogue:
+        version = file_versions(streams) if name else ()
         if not version:
             return cls(streams, countries)
-        at = (streams.sparkSession.sparkContext.applicationId, streams.semanticHash(), tuple(countries), version)
+        at = (streams.sparkSession.sparkContext.applicationId, name, tuple(countries), version)
         if at not in cls._known:
             while len(cls._known) >= 4:
                 cls._known.pop(next(iter(cls._known)))
@@ -66,7 +69,7 @@ class Catalogue:
         return self._streams
 
     @property
-    def index(self) -> DataFrame:
+    def index(self) -> grams.Index:
         if self._index is None:
             self._index = name_index(self.streams)
         return self._index
@@ -105,7 +108,7 @@ def by_section(aliases: DataFrame, streams: DataFrame) -> DataFrame:
     return a.join(s, (a["section"] == s["cut.section"]) & (a["alias_key"] == s["cut.rest"])).drop("section", "cut")
 
 
-def by_needle(needles: DataFrame, streams: DataFrame, index: DataFrame) -> DataFrame:
+def by_needle(needles: DataFrame, streams: DataFrame, index: grams.Index) -> DataFrame:
     """Needles and the streams whose clean name has them between word bounds. Distinct needles find candidates by their rarest gram."""
     n = needles.withColumn("needle", F.lower("text")).filter("needle <> ''")
     edged = grams.grams(grams.spaced(F.col("needle")))
@@ -117,19 +120,20 @@ def by_needle(needles: DataFrame, streams: DataFrame, index: DataFrame) -> DataF
     return n.join(met.drop("id"), n["needle"] == met["query"]).drop("needle", "query")
 
 
-def by_pattern(patterns: list[tuple[int, int, str, list[int] | None]], streams: DataFrame, index: DataFrame) -> DataFrame:
+def by_pattern(patterns: list[tuple[int, int, str, list[int] | None]], streams: DataFrame, index: grams.Index) -> DataFrame:
     """Streams whose raw name a pattern finds; patterns: (channel_id, step, pattern, providers).
 
     A pattern finds candidates by the rarest gram of the letters that it requires, one that requires none has all names. The plan is one for any number of patterns.
     """
     spark = streams.sparkSession
-    rows = spark.createDataFrame(patterns, "channel_id bigint, step bigint, pattern string, only array<bigint>")
+    patterns = sorted({(c, s, p, None if only is None else tuple(only)) for c, s, p, only in patterns}, key=str)
+    rows = spark.createDataFrame([(c, s, p, None if only is None else list(only)) for c, s, p, only in patterns], "channel_id bigint, step bigint, pattern string, only array<bigint>")
     texts = sorted({p[2] for p in patterns})
     asked = spark.createDataFrame([(t, grams.run_grams(grams.required_runs(t))) for t in texts], "query string, grams array<string>")
     met = grams.candidates(asked, index, "name").join(streams, F.col("id") == F.col("stream_id")).filter(F.rlike("name", F.col("query"))).drop("id")
     found = rows.join(met, rows["pattern"] == met["query"]).filter(F.col("only").isNull() | F.array_contains("only", F.col("provider_id")))
     none = F.array().cast("array<string>")
-    return found.select(*streams.columns, "channel_id", "step", *[none.alias(c) for c in SPEC]).distinct()
+    return found.select(*streams.columns, "channel_id", "step", *[none.alias(c) for c in SPEC])
 
 
 def spec_holds() -> Column:

@@ -40,7 +40,7 @@ def match_excludes(channels, streams):
     rows = channels.select("channel_id", F.explode(F.array(F.struct(F.lit("alias").alias("kind"), F.initcap("name").alias("line")), F.struct(F.lit("exclude").alias("kind"), line.alias("line")))).alias("r"))
     lines = rows.select("channel_id", "r.kind", F.lit(0).alias("position"), "r.line").filter("line IS NOT NULL")
     c = matching.stored(matching.compiled(lines, countries))
-    hits = matching.by_key(c.filter("kind = 'alias'"), matching.Catalogue.of(streams, countries).streams)
+    hits = matching.by_key(c.filter("kind = 'alias'"), matching.Catalogue.of(streams, countries, "v_stream").streams)
     return matching.excluded(hits.select("channel_id", "stream_id", "key", "quality_keys", "section_keys", "tail_keys"), c.filter("kind = 'exclude'"))
 
 
@@ -52,7 +52,7 @@ def match_excludes(channels, streams):
  SELECT key, kind, name, streams, CAST(row_number() OVER (PARTITION BY key, kind ORDER BY streams DESC, name) AS INTEGER) AS place FROM n QUALIFY row_number() OVER (PARTITION BY key, kind ORDER BY streams DESC, name) <= 8""",
 )
 def search_sections(streams):
-    return matching.search_sections(matching.Catalogue.of(streams, _countries(streams)), "ring")
+    return matching.search_sections(matching.Catalogue.of(streams, _countries(streams), "v_stream"), "ring")
 
 
 ERRORS = ["", "spawn failed: ENOENT", "refusing a url", "Protocol not found", "Server returned 403 Forbidden (not found)", "HTTP error 404 Not Found", "502 Bad Gateway", "Connection timed out", "Connection refused", "failed at 2024 something"]

@@ -175,5 +175,5 @@ def claims_cross_checked(channels, streams, groups):
 )
 def search_claimed(channels, streams, groups):
     """Search results by key with how many of their streams are claimed, and by how many channels."""
-    found = matching.having(matching.Catalogue.of(streams, names.country_codes(streams.sparkSession)), "ring").select("key", "stream_id")
+    found = matching.having(matching.Catalogue.of(streams, names.country_codes(streams.sparkSession), "v_stream"), "ring").select("key", "stream_id")
     return matching.claimers(found, _matched(channels, streams, groups))

@@ -56,7 +56,7 @@ def _matched(channels, streams, groups):
     rules, lines = _rule_lines(channels)
     countries = _countries(streams)
     out = groups.filter(glob(F.col("group_name"), "Brand#1*"))
-    return matching.matched(rules, lines, PATTERNS, matching.Catalogue.of(streams, countries), out, countries, REGIONS)
+    return matching.matched(rules, lines, PATTERNS, matching.Catalogue.of(streams, countries, "v_stream"), out, countries, REGIONS)
 
 
 VIEWS = ["v_channel", "v_stream", "v_group"]
@@ -78,7 +78,7 @@ def normalize_names(streams):
 def match_alias(channels, streams):
     countries = _countries(streams)
     lines = matching.stored(matching.compiled(channels.select("channel_id", F.lit("alias").alias("kind"), F.lit(0).alias("position"), F.initcap("name").alias("line")), countries))
-    return matching.by_key(lines, matching.Catalogue.of(streams, countries).streams).select("channel_id", "stream_id")
+    return matching.by_key(lines, matching.Catalogue.of(streams, countries, "v_stream").streams).select("channel_id", "stream_id")
 
 
 @query(["v_channel", "v_stream"], f"WITH {PARTS} SELECT channel_id, stream_id FROM v_channel c JOIN p ON p.p_name = c.name WHERE k <> 6")
@@ -87,7 +87,7 @@ def match_sections(channels, streams):
     countries = _countries(streams)
     line = F.concat(F.lit("@"), F.element_at(F.split("name", " "), 1), F.lit(" "), F.element_at(F.split("name", " "), 2))
     lines = matching.stored(matching.compiled(channels.select("channel_id", F.lit("alias").alias("kind"), F.lit(0).alias("position"), line.alias("line")), countries))
-    return matching.by_section(lines, matching.Catalogue.of(streams, countries).streams).select("channel_id", "stream_id")
+    return matching.by_section(lines, matching.Catalogue.of(streams, countries, "v_stream").streams).select("channel_id", "stream_id")
 
 
 @query(["v_channel", "v_stream"], f"WITH {PARTS} SELECT channel_id, stream_id FROM v_channel c JOIN p ON list_contains(string_split(p.p_name, ' '), string_split(c.name, ' ')[2]) WHERE channel_id % 16 = 5")
@@ -95,13 +95,13 @@ def match_contains(channels, streams):
     countries = _countries(streams)
     rules, lines = _rule_lines(channels)
     needles = matching.stored(matching.compiled(lines.filter("kind = 'contains'"), countries))
-    known = matching.Catalogue.of(streams, countries)
+    known = matching.Catalogue.of(streams, countries, "v_stream")
     return matching.by_needle(needles, known.streams, known.index).select("channel_id", "stream_id")
 
 
 @query(["v_stream"], f"WITH {PARTS} SELECT CAST(7 AS BIGINT) AS channel_id, CAST(5 AS BIGINT) AS step, stream_id FROM p WHERE px = 'US' AND contains(name, 'RING')")
 def match_regex(streams):
-    known = matching.Catalogue.of(streams, _countries(streams))
+    known = matching.Catalogue.of(streams, _countries(streams), "v_stream")
     return matching.by_pattern(PATTERNS, known.streams, known.index).select("channel_id", "step", "stream_id")
 
 
@@ -133,7 +133,7 @@ def excluded_groups(groups):
  SELECT key, count(*) AS streams, array_to_string(list_sort(list(DISTINCT CAST(provider_id AS VARCHAR))), ',') AS providers, max(name) FILTER (n = 1) AS sample_1, max(name) FILTER (n = 2) AS sample_2, max(name) FILTER (n = 3) AS sample_3 FROM n GROUP BY 1""",
 )
 def stream_search(streams):
-    return matching.search(matching.Catalogue.of(streams, _countries(streams)), "ring")
+    return matching.search(matching.Catalogue.of(streams, _countries(streams), "v_stream"), "ring")
 
 
 @query(["v_stream"], f"WITH {PARTS} SELECT stream_id, CASE k WHEN 0 THEN 'fhd' WHEN 1 THEN 'uhd' WHEN 2 THEN 'hd' WHEN 3 THEN 'fhd' WHEN 5 THEN 'sd' ELSE 'unknown' END AS tier FROM p")
