@@ -108,3 +108,21 @@ def dead_rules(channels: DataFrame, rules: DataFrame, claims: DataFrame) -> Data
     d = d.join(claims.select("channel_id").distinct().withColumn("claims", F.lit(1)), "channel_id", "left")
     zero = F.col("ruled").isNotNull() & F.col("claims").isNull()
     return d.groupBy("group_id").agg(F.count(F.lit(1)).alias("channels"), F.count("ruled").alias("ruled"), F.count_if(zero).alias("zero"))
+
+
+def state_rollup(channels: DataFrame, policies: DataFrame, claims: DataFrame, candidates: DataFrame, marks: DataFrame) -> DataFrame:
+    """Groups as the state page shows them: mode, channels, ruled, matched_channels, links, assigned, refresh_queued_at.
+
+    channels: channel_id, group_id, has_rule, assigned. A channel with a rule is matched by what the rule claims (claims: channel_id, stream_id); one without, in a group that ranks by
+    assignment, by what it is assigned (candidates: channel_id, stream_id); any other by nothing. A group without a policy is always on.
+    """
+    per = lambda d, name: d.select("channel_id", "stream_id").distinct().groupBy("channel_id").agg(F.count(F.lit(1)).alias(name))
+    d = channels.join(policies.select("group_id", "mode"), "group_id", "left").withColumn("mode", F.coalesce("mode", F.lit("always")))
+    d = d.join(per(claims, "claimed"), "channel_id", "left").join(per(candidates, "ready"), "channel_id", "left")
+    matched = F.coalesce(F.when(F.col("has_rule"), F.col("claimed")).when(F.col("mode").isin(RANKS_ASSIGNED), F.col("ready")), F.lit(0))
+    out = d.withColumn("matched", matched).groupBy("group_id", "mode").agg(
+        F.count(F.lit(1)).alias("channels"), F.count_if("has_rule").alias("ruled"), F.count_if(F.col("matched") > 0).alias("matched_channels"), F.sum("matched").alias("links"),
+        F.sum("assigned").cast("bigint").alias("assigned"),
+    )
+    queued = marks.groupBy("group_id").agg(F.max("forced_at").alias("refresh_queued_at"))
+    return out.join(queued, "group_id", "left")

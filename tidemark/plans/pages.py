@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, published, verdicts
+from tidemark.operators import lists, metrics, published, verdicts
+from tidemark.operators.gate import glob
 from tidemark.plans.lanes import OUTCOMES_SQL, _outcomes
+from tidemark.plans.matching import RULES_SQL, VIEWS, _matched
 from tidemark.plans.measures import METRICS, STREAMS_SQL, _best, _catalogue, _streams, _zero_filled
 from tidemark.plans.registry import BEST_SQL, D, query
 from tidemark.plans.streams import stream_query
@@ -131,3 +133,24 @@ def previews(assigned, ranked, streams, providers, log):
     d = d.join(providers.select("provider_id", "provider_name"), "provider_id", "left")
     best = verdicts.best_of_stream(verdicts.scored(verdicts.latest(log))).select("stream_id", "score", "usable")
     return d.join(best, "stream_id", "left").select("channel_id", "stream_id", "place", "current_place", "name", "provider_name", "score", "usable")
+
+
+@query(
+    [*VIEWS, "v_policy", "v_assigned"],
+    f"""WITH {RULES_SQL}, c AS (SELECT channel_id, channel_id % 25 AS group_id, channel_id % 6 <> 1 AS has_rule FROM v_channel),
+ m AS (SELECT channel_id, count(DISTINCT stream_id) AS n FROM passed WHERE (channel_id, stream_id) NOT IN (SELECT (channel_id, stream_id) FROM out) GROUP BY 1), a AS (SELECT channel_id, count(*) AS n FROM v_assigned GROUP BY 1),
+ r AS (SELECT a.channel_id, count(DISTINCT a.stream_id) AS n FROM v_assigned a JOIN v_stream s ON s.stream_id = a.stream_id WHERE s.group_id NOT IN (SELECT group_id FROM v_group WHERE group_name ILIKE 'Brand#1%') GROUP BY 1),
+ h AS (SELECT c.*, coalesce(p.mode, 'always') AS mode, coalesce(a.n, 0) AS assigned, coalesce(CASE WHEN has_rule THEN m.n WHEN coalesce(p.mode, 'always') IN ('assigned', 'after_epg_start') THEN r.n END, 0) AS matched
+  FROM c LEFT JOIN v_policy p ON p.group_id = c.group_id LEFT JOIN a ON a.channel_id = c.channel_id LEFT JOIN m ON m.channel_id = c.channel_id LEFT JOIN r ON r.channel_id = c.channel_id)
+ SELECT group_id, mode, count(*) AS channels, count(*) FILTER (has_rule) AS ruled, count(*) FILTER (matched > 0) AS matched_channels, CAST(sum(matched) AS BIGINT) AS links, CAST(sum(assigned) AS BIGINT) AS assigned,
+  CASE WHEN group_id % 3 = 0 THEN CAST(1000 + group_id AS BIGINT) END AS refresh_queued_at FROM h GROUP BY 1, 2""",
+)
+def state_page(channels, streams, groups, policies, assigned):
+    """Every group's roll-up from what the rules claim and what is assigned."""
+    i = F.col("channel_id")
+    per = assigned.groupBy("channel_id").agg(F.count(F.lit(1)).alias("assigned"))
+    rows = channels.select("channel_id", (i % 25).alias("group_id"), (i % 6 != 1).alias("has_rule")).join(per, "channel_id", "left").fillna(0, ["assigned"])
+    outside = groups.filter(glob(F.col("group_name"), "Brand#1*")).select("group_id")
+    ready = assigned.select("channel_id", "stream_id").join(streams.join(outside, "group_id", "left_anti").select("stream_id"), "stream_id")
+    marks = rows.filter("group_id % 3 = 0").select("group_id", (F.col("group_id") + 1000).cast("bigint").alias("forced_at"))
+    return lists.state_rollup(rows, policies, _matched(channels, streams, groups), ready, marks)
