@@ -128,6 +128,7 @@ def test_a_key_settles_when_its_last_part_lands(spark):
     expected = [(1, 3), (2, 3), (3, 1), (4, 2)]
     want = {1: (3, 2, 1, True, False), 2: (2, 2, 1, False, True), 3: (1, 0, None, True, False), 4: (0, 0, None, False, True)}
     assert reported(spark, at, expected) == reported(spark, at, expected, files=10) == reported(spark, at, expected, folder=folder) == want
+    assert reported(spark, at, expected, folder=folder) == want  # nothing new
     # after a stop the missing part of 2 lands, and one of 1 that nobody awaits
     write(spark, at, [(2, 3, 0.7, False, 20), (1, 4, 1.0, False, 21)], schema=PART)
     assert reported(spark, at, expected, folder=folder) == want | {2: (3, 3, 3, True, False)}

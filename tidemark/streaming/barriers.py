@@ -104,10 +104,14 @@ def barrier(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/reports/batch={batch_id}")
 
-    query = states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
+    running = states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+    running.awaitTermination()
     fields = [f.split()[0] for f in REPORT.split(", ")]
-    reports = spark.read.option("basePath", f"{at}/reports").parquet(f"{at}/reports") if query.lastProgress or query.recentProgress else spark.createDataFrame([], f"key {kind}, {REPORT}, batch int")
+    reported = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/reports")
+    if reported.getFileSystem(spark._jsc.hadoopConfiguration()).exists(reported):
+        reports = spark.read.option("basePath", f"{at}/reports").parquet(f"{at}/reports")
+    else:  # nothing has landed yet
+        reports = spark.createDataFrame([], f"key {kind}, {REPORT}, batch int")
     last = reports.groupBy("key").agg(F.max_by(F.struct(*fields), F.struct("reported", "batch")).alias("last")).select("key", "last.*")
     d = expected.select(F.col(key).alias("key"), F.col("parts").cast("bigint").alias("parts")).join(last.drop("parts"), "key", "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("landed", "results")}
