@@ -37,7 +37,8 @@ def near_prints(text: str | None, words: int) -> tuple[int, list[int], list[int]
 def candidate_links(nodes: DataFrame) -> DataFrame:
     """Links (u, v) that join the nodes (node, prints, sketch) whose sketches differ in at most LOOSE_BITS at a common anchor, directly or by others.
 
-    Each print goes to its anchors, with the number of its channel in the two bits and more above an anchor. A group of m nodes gives m - 1 links at most.
+    Each print goes to its anchors, apart by channel. A task joins what its groups link and sends one link a node at most, to the least
+    node that it has found it to be joined with; so links are stars, whatever the number of groups.
     """
     code = nodes.sparkSession.sparkContext.broadcast(CoveringCode(SURE_BITS))
     fields = ["anchor", "node", *(f"s{k}" for k in range(SKETCH_LONGS))]
@@ -53,22 +54,32 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        up: dict[int, int] = {}  # of nodes with links in this task
 
-        def flush(all_: bool) -> Iterator[pa.RecordBatch]:
+        def top(k: int) -> int:
+            while (above := up.setdefault(k, k)) != k:
+                up[k] = up[above]
+                k = up[k]
+            return k
+
+        def take(all_: bool) -> None:
             anchor, node, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
             to = len(anchor) if all_ else int(np.searchsorted(anchor, anchor[-1]))
             held[:] = [(anchor[to:], node[to:], sketch[to:])]
             u, v = star_forest(anchor[:to], node[:to], sketch[:to], LOOSE_BITS) if to else (node[:0], node[:0])
-            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["u", "v"])
+            for a, b in np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0).tolist():
+                a, b = top(a), top(b)
+                up[max(a, b)] = min(a, b)
 
         for batch in batches:
             sketch = np.stack([batch.column(2 + k).to_numpy().view(np.uint64) for k in range(SKETCH_LONGS)], 1)
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), sketch))
             if sum(len(a) for a, _, _ in held) >= 400_000:
-                yield from flush(False)
+                take(False)
         if held:
-            yield from flush(True)
+            take(True)
+        linked = [(k, root) for k in list(up) if (root := top(k)) != k]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in linked], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     tasks = max(1, -(-nodes.count() // PRINTS_A_TASK))
     longs = lambda c, n: [F.col(c)[k].alias(f"{c}{k}") for k in range(n)]
