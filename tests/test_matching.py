@@ -71,3 +71,39 @@ def test_a_catalogue_is_kept_while_its_files_are(spark, tmp_path):
     row("two", "three").write.mode("append").parquet(at)
     second = matching.Catalogue.of(spark.read.parquet(at), countries, "streams")
     assert second is not first and second.streams.count() == 3
+
+
+def test_names_are_worked_on_once_however_many_streams_bear_them(spark):
+    said = ["US: Sport One HD", "Sport One FHD", "Sport Two", None, "News ring"]
+    schema = "stream_id bigint, name string, provider_id bigint, group_id bigint"
+    many = spark.createDataFrame([(k, said[k % 5], k % 3, k % 4) for k in range(200)], schema)
+    few, known = (matching.Catalogue(d, country_codes(spark)) for d in (many.filter("stream_id < 5"), many))
+    assert known.names.count() == few.names.count() == 5
+    assert known.index.postings.count() == few.index.postings.count()
+    assert sorted((r.stream_id, r.name or "", r.clean) for r in known.streams.collect()) == sorted((r.stream_id, r.name or "", r.clean) for r in matching.prepared(many, country_codes(spark)).collect())
+    assert known.streams.count() == 200
+
+
+def test_claims_of_names_keep_to_groups_and_providers_of_streams(spark):
+    said = ["US: Sport One HD", "Sport One FHD", "Sport Two", None, "News ring"]
+    rows = [(k, said[k % 5], k % 3, k % 4) for k in range(200)]
+    known = matching.Catalogue(spark.createDataFrame(rows, "stream_id bigint, name string, provider_id bigint, group_id bigint"), country_codes(spark))
+    rules = spark.createDataFrame([(1, 0, None, None), (2, 10, [0, 1], None), (3, 0, None, None)], "channel_id bigint, step_order bigint, providers array<bigint>, exclude_regions array<string>")
+    lines = [(1, "alias", 0, "Sport Two"), (1, "alias", 1, "Sport One"), (1, "exclude", 0, "fhd"), (2, "contains", 0, "sport"), (3, "contains", 0, "ring")]
+    lines = spark.createDataFrame(lines, "channel_id bigint, kind string, position bigint, line string")
+    patterns = [(2, 3, "Sport", [1, 2]), (3, 4, "(?i)RING", [2]), (3, 0, "News", [0])]
+    out = spark.createDataFrame([(2,)], "group_id bigint")
+    found = {tuple(r) for r in matching.matched(rules, lines, patterns, known, out, country_codes(spark), []).select("channel_id", "stream_id", "step").collect()}
+    want = set()
+    for stream, name, provider, group in rows:
+        if group == 2 or name is None:
+            continue
+        if name == "Sport Two":
+            want.add((1, stream, 0))
+        if name == "US: Sport One HD":
+            want.add((1, stream, 1))
+        if "Sport" in name and provider < 2:
+            want.add((2, stream, 3 if provider == 1 else 10))
+        if "ring" in name:
+            want.add((3, stream, 0))
+    assert found == want

@@ -1,7 +1,8 @@
 """Which streams the rules of channels claim, and at which step.
 
 Names and rules meet by equi-joins: whole names by key, names with an inline section by (section, rest), needles and patterns by their rarest
-gram. Joins carry ids; what a rule says besides is a filter on the pairs found. Nothing grows with streams times rules but what is claimed.
+gram. Joins carry ids; what a rule says besides is a filter on the pairs found. All that depends on a name alone is done once for each distinct name;
+streams come in last, by the id of their name. Nothing grows with streams times rules but what is claimed.
 """
 
 from __future__ import annotations
@@ -18,13 +19,23 @@ from tidemark.sources.scratch import written
 SPEC = ["require", "reject", "require_tags", "reject_tags"]
 
 
-def prepared(streams: DataFrame, countries: list[str]) -> DataFrame:
-    """Streams (stream_id, name, provider_id, group_id) with parts and keys of their names.
+def taken_apart(streams: DataFrame, countries: list[str]) -> DataFrame:
+    """The distinct names of streams with their parts and keys.
 
-    Names are dealt over all cores first: they are few bytes, and taking them apart costs far more than moving them.
+    They are dealt over all cores first: they are few bytes, and taking them apart costs far more than moving them.
     """
     cores = streams.sparkSession.sparkContext.defaultParallelism
-    return with_keys(with_parts(streams.repartition(cores, "stream_id"), "name", countries))
+    return with_keys(with_parts(streams.select("name").distinct().repartition(cores, "name"), "name", countries))
+
+
+def by_name(streams: DataFrame, names: DataFrame) -> DataFrame:
+    """Streams with what `names` (name, ...) say of their names; null is a name like any other."""
+    return streams.join(names.withColumnRenamed("name", "_name"), F.col("name").eqNullSafe(F.col("_name"))).drop("_name")
+
+
+def prepared(streams: DataFrame, countries: list[str]) -> DataFrame:
+    """Streams (stream_id, name, provider_id, group_id) with parts and keys of their names."""
+    return by_name(streams, taken_apart(streams, countries))
 
 
 def stored(d: DataFrame) -> DataFrame:
@@ -32,14 +43,13 @@ def stored(d: DataFrame) -> DataFrame:
     return written(d, "names")
 
 
-def name_index(streams: DataFrame) -> grams.Index:
-    """Grams of prepared streams: of their names as they are, of their clean names, and of their keys."""
-    texts = streams.select(F.col("stream_id").alias("id"), "name", "clean", "key")
-    return grams.indexed(texts, {k: F.col(k) for k in ("name", "clean", "key")})
+def name_index(names: DataFrame) -> grams.Index:
+    """Grams of prepared names: of the names as they are, of their clean names, and of their keys."""
+    return grams.indexed(names, {k: F.col(k) for k in ("name", "clean", "key")})
 
 
 class Catalogue:
-    """Prepared streams and their index, written when first asked for.
+    """Distinct names (name_id, name, parts and keys), the streams that bear them, and an index of the names, written when first asked for.
 
     With a name for what the caller reads, they are kept for the application while the files that it comes from stay as they are.
     """
@@ -48,7 +58,7 @@ class Catalogue:
 
     def __init__(self, streams: DataFrame, countries: list[str]):
         self._raw, self._countries = streams, countries
-        self._streams = self._index = None
+        self._names = self._rows = self._index = None
 
     @classmethod
     def of(cls, streams: DataFrame, countries: list[str], name: str | None = None) -> Catalogue:
@@ -62,18 +72,34 @@ class Catalogue:
             cls._known[at] = cls(streams, countries)
         return cls._known[at]
 
+    @property
+    def names(self) -> DataFrame:
+        if self._names is None:
+            self._names = stored(taken_apart(self._raw, self._countries).withColumn("name_id", F.monotonically_increasing_id()))
+        return self._names
+
+    @property
+    def rows(self) -> DataFrame:
+        """The streams with the id of their name in its place."""
+        if self._rows is None:
+            self._rows = written(by_name(self._raw, self.names.select("name", "name_id")).drop("name"), "streams")
+        return self._rows
+
     @property
     def streams(self) -> DataFrame:
-        if self._streams is None:
-            self._streams = stored(prepared(self._raw, self._countries))
-        return self._streams
+        said = [c for c in self.names.columns if c not in ("name", "name_id")]
+        return self.bearing(self.names).select(*self._raw.columns, *said)
 
     @property
     def index(self) -> grams.Index:
         if self._index is None:
-            self._index = name_index(self.streams)
+            self._index = name_index(self.names)
         return self._index
 
+    def bearing(self, found: DataFrame) -> DataFrame:
+        """What was found of names (name_id, ...) for each stream that bears one."""
+        return self.rows.join(found, "name_id")
+
 
 def file_versions(rows: DataFrame) -> tuple:
     """Paths, sizes and times of the files that rows come from; empty where they come from none."""
@@ -109,31 +135,40 @@ def by_section(aliases: DataFrame, streams: DataFrame) -> DataFrame:
 
 
 def by_needle(needles: DataFrame, streams: DataFrame, index: grams.Index) -> DataFrame:
-    """Needles and the streams whose clean name has them between word bounds. Distinct needles find candidates by their rarest gram."""
+    """Needles and the streams whose clean name has them between word bounds. Distinct needles find distinct names by their rarest gram."""
     n = needles.withColumn("needle", F.lower("text")).filter("needle <> ''")
     edged = grams.grams(grams.spaced(F.col("needle")))
     asked = n.select(F.col("needle").alias("query")).distinct().withColumn("needle", F.col("query"))
     asked = asked.select("query", F.when(F.size(edged) > 0, edged).otherwise(grams.signs(F.col("needle"))).alias("grams"))
     quoted = F.regexp_replace("query", r"([^a-z0-9\s])", r"\\$1")
     pattern = F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])"))
-    met = grams.candidates(asked, index, "clean").join(streams, F.col("id") == F.col("stream_id")).filter(F.rlike(F.lower("clean"), pattern))
-    return n.join(met.drop("id"), n["needle"] == met["query"]).drop("needle", "query")
+    met = grams.candidates(asked, index, "clean").filter(F.rlike(F.lower("said"), pattern))
+    return n.join(met, n["needle"] == met["query"]).join(streams, F.col("said") == F.col("clean")).drop("needle", "query", "said")
 
 
-def by_pattern(patterns: list[tuple[int, int, str, list[int] | None]], streams: DataFrame, index: grams.Index) -> DataFrame:
-    """Streams whose raw name a pattern finds; patterns: (channel_id, step, pattern, providers).
+def patterns_met(patterns: list[tuple[int, int, str, list[int] | None]], names: DataFrame, index: grams.Index) -> DataFrame:
+    """names with channel_id, step and providers (only) of each pattern that finds their name; patterns: (channel_id, step, pattern, providers).
 
     A pattern finds candidates by the rarest gram of the letters that it requires, one that requires none has all names. The plan is one for any number of patterns.
     """
-    spark = streams.sparkSession
+    spark = names.sparkSession
     patterns = sorted({(c, s, p, None if only is None else tuple(only)) for c, s, p, only in patterns}, key=str)
     rows = spark.createDataFrame([(c, s, p, None if only is None else list(only)) for c, s, p, only in patterns], "channel_id bigint, step bigint, pattern string, only array<bigint>")
     texts = sorted({p[2] for p in patterns})
     asked = spark.createDataFrame([(t, grams.run_grams(grams.required_runs(t))) for t in texts], "query string, grams array<string>")
-    met = grams.candidates(asked, index, "name").join(streams, F.col("id") == F.col("stream_id")).filter(F.rlike("name", F.col("query"))).drop("id")
-    found = rows.join(met, rows["pattern"] == met["query"]).filter(F.col("only").isNull() | F.array_contains("only", F.col("provider_id")))
+    met = grams.candidates(asked, index, "name").filter(F.rlike("said", F.col("query")))
+    return rows.join(met, rows["pattern"] == met["query"]).join(names, F.col("said") == F.col("name")).select(*names.columns, "channel_id", "step", "only")
+
+
+def admitted(providers: str) -> Column:
+    """Whether a list of providers, if there is one, has the stream's."""
+    return F.col(providers).isNull() | F.array_contains(providers, F.col("provider_id"))
+
+
+def by_pattern(patterns: list[tuple[int, int, str, list[int] | None]], streams: DataFrame, index: grams.Index) -> DataFrame:
+    """Streams whose raw name a pattern finds, and whose provider it admits; patterns as for patterns_met."""
     none = F.array().cast("array<string>")
-    return found.select(*streams.columns, "channel_id", "step", *[none.alias(c) for c in SPEC])
+    return patterns_met(patterns, streams, index).filter(admitted("only")).select(*streams.columns, "channel_id", "step", *[none.alias(c) for c in SPEC])
 
 
 def spec_holds() -> Column:
@@ -200,11 +235,14 @@ def matched(rules: DataFrame, lines: DataFrame, patterns: list, known: Catalogue
 
 def having(known: Catalogue, needle: str) -> DataFrame:
     """Prepared streams with the needle in their key (as a key) or in their raw name; candidates by its rarest gram."""
-    one = known.streams.sparkSession.range(1)
-    asked = {"key": match_key(F.lit(needle)), "name": F.lit(needle)}
-    ids = [grams.candidates(one.select(F.lit(k).alias("query"), grams.grams(grams.inner(c)).alias("grams")), known.index, k).select("id") for k, c in asked.items()]
-    met = known.streams.join(ids[0].union(ids[1]).distinct(), F.col("stream_id") == F.col("id"), "left_semi")
-    return met.filter(F.contains("key", match_key(F.lit(needle))) | F.contains(F.lower("name"), F.lit(needle.lower())))
+    one = known.names.sparkSession.range(1)
+    key, name = match_key(F.lit(needle)), F.lit(needle)
+    asked = {"key": (key, F.contains("said", key)), "name": (name, F.contains(F.lower("said"), F.lit(needle.lower())))}
+    met = known.names
+    for kind, (text, has) in asked.items():
+        texts = grams.candidates(one.select(F.lit(kind).alias("query"), grams.grams(grams.inner(text)).alias("grams")), known.index, kind).filter(has)
+        met = met.join(texts.select("said", F.lit(True).alias(f"_by_{kind}")), F.col(kind) == F.col("said"), "left").drop("said")
+    return known.bearing(met.filter("_by_key OR _by_name").drop("_by_key", "_by_name")).select(known.streams.columns)
 
 
 def search_sections(known: Catalogue, needle: str, most: int = 8) -> DataFrame:

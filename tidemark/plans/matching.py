@@ -78,7 +78,8 @@ def normalize_names(streams):
 def match_alias(channels, streams):
     countries = _countries(streams)
     lines = matching.stored(matching.compiled(channels.select("channel_id", F.lit("alias").alias("kind"), F.lit(0).alias("position"), F.initcap("name").alias("line")), countries))
-    return matching.by_key(lines, matching.Catalogue.of(streams, countries, "v_stream").streams).select("channel_id", "stream_id")
+    known = matching.Catalogue.of(streams, countries, "v_stream")
+    return known.bearing(matching.by_key(lines, known.names).select("channel_id", "name_id")).select("channel_id", "stream_id")
 
 
 @query(["v_channel", "v_stream"], f"WITH {PARTS} SELECT channel_id, stream_id FROM v_channel c JOIN p ON p.p_name = c.name WHERE k <> 6")
@@ -87,7 +88,8 @@ def match_sections(channels, streams):
     countries = _countries(streams)
     line = F.concat(F.lit("@"), F.element_at(F.split("name", " "), 1), F.lit(" "), F.element_at(F.split("name", " "), 2))
     lines = matching.stored(matching.compiled(channels.select("channel_id", F.lit("alias").alias("kind"), F.lit(0).alias("position"), line.alias("line")), countries))
-    return matching.by_section(lines, matching.Catalogue.of(streams, countries, "v_stream").streams).select("channel_id", "stream_id")
+    known = matching.Catalogue.of(streams, countries, "v_stream")
+    return known.bearing(matching.by_section(lines, known.names).select("channel_id", "name_id")).select("channel_id", "stream_id")
 
 
 @query(["v_channel", "v_stream"], f"WITH {PARTS} SELECT channel_id, stream_id FROM v_channel c JOIN p ON list_contains(string_split(p.p_name, ' '), string_split(c.name, ' ')[2]) WHERE channel_id % 16 = 5")
@@ -96,13 +98,14 @@ def match_contains(channels, streams):
     rules, lines = _rule_lines(channels)
     needles = matching.stored(matching.compiled(lines.filter("kind = 'contains'"), countries))
     known = matching.Catalogue.of(streams, countries, "v_stream")
-    return matching.by_needle(needles, known.streams, known.index).select("channel_id", "stream_id")
+    return known.bearing(matching.by_needle(needles, known.names, known.index).select("channel_id", "name_id")).select("channel_id", "stream_id")
 
 
 @query(["v_stream"], f"WITH {PARTS} SELECT CAST(7 AS BIGINT) AS channel_id, CAST(5 AS BIGINT) AS step, stream_id FROM p WHERE px = 'US' AND contains(name, 'RING')")
 def match_regex(streams):
     known = matching.Catalogue.of(streams, _countries(streams), "v_stream")
-    return matching.by_pattern(PATTERNS, known.streams, known.index).select("channel_id", "step", "stream_id")
+    met = matching.patterns_met(PATTERNS, known.names.select("name_id", "name"), known.index)
+    return known.bearing(met).filter(matching.admitted("only")).select("channel_id", "step", "stream_id")
 
 
 @query(VIEWS, f"WITH {RULES_SQL} SELECT channel_id, stream_id, CAST(min(step) AS BIGINT) AS step FROM passed WHERE (channel_id, stream_id) NOT IN (SELECT (channel_id, stream_id) FROM out) GROUP BY 1, 2")
