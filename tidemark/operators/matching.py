@@ -189,17 +189,17 @@ def guard_holds(regions: list[str], timeshift: bool = True, radio: bool = True)
     return out & ~F.arrays_overlap(denied, F.transform("prefixes", lambda p: F.upper(F.trim(p))))
 
 
-def excluded(hits: DataFrame, excludes: DataFrame) -> DataFrame:
-    """Pairs of channel and stream among the hits that one of the channel's exclude lines names.
+def excluded(hits: DataFrame, excludes: DataFrame, one: str = "stream_id") -> DataFrame:
+    """Pairs of channel and stream (or name, by the id that `one` says) among the hits that one of the channel's exclude lines names.
 
     A line names a stream by its name, by a tag, or, where it has no text, by its tail alone; a blank line names none.
     """
     x = excludes.select(F.col("channel_id").alias("x_channel"), "alias_key", "tag", *SPEC)
-    d = hits.select("channel_id", "stream_id", "key", "quality_keys", "section_keys", "tail_keys").distinct().join(x, F.col("channel_id") == F.col("x_channel"))
+    d = hits.select("channel_id", one, "key", "quality_keys", "section_keys", "tail_keys").distinct().join(x, F.col("channel_id") == F.col("x_channel"))
     named = (F.col("alias_key") != "") | (F.col("tag") != "")
     text = ((F.col("key") != "") & (F.col("key") == F.col("alias_key"))) | ((F.col("tag") != "") & F.array_contains("quality_keys", F.col("tag")))
     tail = (F.size("require_tags") > 0) | (F.size("reject_tags") > 0)
-    return d.filter(F.when(named, text).otherwise(tail) & spec_holds()).select("channel_id", "stream_id").distinct()
+    return d.filter(F.when(named, text).otherwise(tail) & spec_holds()).select("channel_id", one).distinct()
 
 
 def matched(rules: DataFrame, lines: DataFrame, patterns: list, known: Catalogue, excluded_groups: DataFrame, countries: list[str], regions: list[str]) -> DataFrame:
@@ -207,7 +207,7 @@ def matched(rules: DataFrame, lines: DataFrame, patterns: list, known: Catalogue
 
     rules: channel_id, step_order, providers and exclude_regions (null: no scope, the global denylist). lines: channel_id, kind
     (alias, contains, exclude), position, line. An alias's step is its place, a needle's comes after all
-    aliases, a pattern's is its own. Pairs are ids and what the line asks for; keys and tags of names are fetched for the pairs found.
+    aliases, a pattern's is its own. What rules claim are distinct names; the streams that bear them, their groups and providers come in last.
     """
     c = written(compiled(lines, countries), "rules")
     aliases, needles, outs = (c.filter(F.col("kind") == k) for k in ("alias", "contains", "exclude"))
@@ -216,21 +216,23 @@ def matched(rules: DataFrame, lines: DataFrame, patterns: list, known: Catalogue
         F.bool_or(F.lower("text").rlike(r"^\s*radio\b") | F.array_contains("require", F.lit("radio"))).alias("wants_radio"),
     )
     r = rules.join(per, "channel_id", "left").fillna({"n_aliases": 0, "wants_radio": False})
-    inside = known.streams.join(excluded_groups.select("group_id"), "group_id", "left_anti")
-    cols = ["channel_id", "kind", "position", "stream_id", *SPEC]
-    found = [by_key(aliases, inside.select("stream_id", "key")).select(cols), by_section(aliases, inside.select("stream_id", "clean")).select(cols)]
-    found.append(by_needle(needles, inside.select("stream_id", "clean"), known.index).select(cols))
-    d = reduce(DataFrame.unionByName, found).withColumn("step", F.lit(None).cast("bigint"))
+    names = known.names
+    cols = ["channel_id", "kind", "position", "name_id", *SPEC]
+    found = [by_key(aliases, names.select("name_id", "key")).select(cols), by_section(aliases, names.select("name_id", "clean")).select(cols)]
+    found.append(by_needle(needles, names.select("name_id", "clean"), known.index).select(cols))
+    d = reduce(DataFrame.unionByName, found).withColumns({"step": F.lit(None).cast("bigint"), "only": F.lit(None).cast("array<bigint>")})
     if patterns:
-        p = by_pattern(patterns, inside.select("stream_id", "name", "provider_id"), known.index).withColumn("kind", F.lit("pattern")).withColumn("position", F.lit(0).cast("bigint"))
-        d = d.unionByName(p.select(*cols, "step"))
-    d = d.join(inside.select("stream_id", "provider_id", "key", "prefixes", "timeshift", "quality_keys", "tail_keys", "section_keys"), "stream_id")
-    d = d.join(r, "channel_id").filter(F.col("providers").isNull() | F.array_contains("providers", F.col("provider_id")))
-    d = d.filter(spec_holds() & guard_holds(regions))
+        none = {c: F.array().cast("array<string>") for c in SPEC}
+        p = patterns_met(patterns, names.select("name_id", "name"), known.index).withColumns({"kind": F.lit("pattern"), "position": F.lit(0).cast("bigint"), **none})
+        d = d.unionByName(p.select(*cols, "step", "only"))
+    d = d.join(names.select("name_id", "key", "prefixes", "timeshift", "quality_keys", "tail_keys", "section_keys"), "name_id")
+    d = d.join(r, "channel_id").filter(spec_holds() & guard_holds(regions))
     d = d.withColumn("step", F.coalesce("step", F.col("step_order") + F.col("position") + F.when(F.col("kind") == "contains", F.col("n_aliases")).otherwise(0)))
-    d = written(d.select("channel_id", "stream_id", "step", "key", "quality_keys", "section_keys", "tail_keys"), "claims")
-    best = d.join(excluded(d, outs), ["channel_id", "stream_id"], "left_anti")
-    return best.groupBy("channel_id", "stream_id").agg(F.min("step").alias("step"))
+    d = written(d.select("channel_id", "name_id", "step", "providers", "only", "key", "quality_keys", "section_keys", "tail_keys"), "claims")
+    best = d.join(excluded(d, outs, "name_id"), ["channel_id", "name_id"], "left_anti").groupBy("channel_id", "name_id", "providers", "only").agg(F.min("step").alias("step"))
+    inside = known.rows.join(excluded_groups.select("group_id"), "group_id", "left_anti").select("stream_id", "name_id", "provider_id")
+    claimed = inside.join(best, "name_id").filter(admitted("providers") & admitted("only"))
+    return claimed.groupBy("channel_id", "stream_id").agg(F.min("step").alias("step"))
 
 
 def having(known: Catalogue, needle: str) -> DataFrame:

@@ -40,8 +40,10 @@ def match_excludes(channels, streams):
     rows = channels.select("channel_id", F.explode(F.array(F.struct(F.lit("alias").alias("kind"), F.initcap("name").alias("line")), F.struct(F.lit("exclude").alias("kind"), line.alias("line")))).alias("r"))
     lines = rows.select("channel_id", "r.kind", F.lit(0).alias("position"), "r.line").filter("line IS NOT NULL")
     c = matching.stored(matching.compiled(lines, countries))
-    hits = matching.by_key(c.filter("kind = 'alias'"), matching.Catalogue.of(streams, countries, "v_stream").streams)
-    return matching.excluded(hits.select("channel_id", "stream_id", "key", "quality_keys", "section_keys", "tail_keys"), c.filter("kind = 'exclude'"))
+    known = matching.Catalogue.of(streams, countries, "v_stream")
+    hits = matching.by_key(c.filter("kind = 'alias'"), known.names)
+    out = matching.excluded(hits.select("channel_id", "name_id", "key", "quality_keys", "section_keys", "tail_keys"), c.filter("kind = 'exclude'"), "name_id")
+    return known.bearing(out).select("channel_id", "stream_id").distinct()
 
 
 @query(
