@@ -73,3 +73,29 @@ def test_a_page_of_metrics(spark):
     d = metrics.family(rows, "f", F.col("v"), {"p": F.col("p"), "s": F.col("s")}).unionByName(metrics.family(rows.limit(1), "up", F.lit(1), {}))
     found = [r.line for r in metrics.page(d, {"up": ("gauge", "Up."), "f": ("counter", "Some."), "none": ("gauge", "-")}).orderBy("line_no").collect()]
     assert found == ["# HELP up Up.", "# TYPE up gauge", "up 1", "# HELP f Some.", "# TYPE f counter", 'f{p="a\\nb",s=""} 0.5', 'f{p="q\\"1\\\\",s="b"} 2']
+
+
+def test_a_page_reads_its_samples_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([(k, k % 2) for k in range(10)], "p bigint, v bigint").mapInPandas(counted, "p bigint, v bigint")
+    d = metrics.families(rows, [("f", F.col("v"), {"p": F.col("p")}), ("g", F.when(F.col("v") > 0, F.col("p")), {"p": F.col("p")})])
+    about = {"f": ("gauge", "F."), "g": ("gauge", "G.")}
+    assert metrics.page(d, about).count() == 2 + 10 + 2 + 5 and seen.value == 10
+
+
+def test_counts_of_providers_are_those_of_histograms_and_leads(spark):
+    best = spark.createDataFrame([(1, 5, True, False, 900, 1080, True), (2, 5, False, False, 0, 720, False), (3, 5, True, False, 100, 480, False)], "stream_id bigint, probed_at bigint, alive boolean, black boolean, bitrate_kbps bigint, height bigint, usable boolean")
+    catalogue = spark.createDataFrame([(1, 0, 1, 7), (2, 0, 1, 7), (3, 0, 2, 7), (3, 1, 3, 8), (4, 0, 9, 7), (4, 1, 1, 7)], "channel_id bigint, slot bigint, stream_id bigint, provider_id bigint")
+    known = metrics.provider_streams(catalogue, best)
+    counts = {r.provider_id: r.asDict() for r in metrics.provider_counts(known).collect()}
+    for column, values in (("state", metrics.STATES), ("resolution", metrics.RESOLUTIONS)):
+        for r in metrics.histogram(known, column, values).collect():
+            assert counts[r.provider_id][f"{column}_{r[column]}"] == r.streams
+    assert {(r.provider_id, r.channels, r.healthy) for r in metrics.rank1(catalogue, best).collect()} == {(7, 4, 2)}
+    assert (counts[7]["channels"], counts[7]["healthy"], counts[8]["channels"], counts[8]["healthy"]) == (4, 2, None, None)

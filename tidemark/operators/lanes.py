@@ -89,12 +89,12 @@ def sustained(lanes: DataFrame, most: int) -> DataFrame:
 def outcomes(jobs: DataFrame, lanes: DataFrame) -> DataFrame:
     """What each lane did: queued, done, dead and failed jobs, and the percentage of its room that was busy.
 
-    `jobs` has provider_id, login_id, state (done, dead, failed or queued), began and ended.
+    `jobs` has provider_id, login_id, state (done, dead, failed or queued), began and ended; `lanes` has the limit of each login, or, without login_id, that of all logins of a provider.
     """
     state = F.col("state")
     counts = [F.count_if(state.isin(*of)).alias(name) for name, of in {"done": ("done", "dead"), "dead": ("dead",), "failed": ("failed",)}.items()]
     d = jobs.groupBy("provider_id", "login_id").agg(F.count(F.lit(1)).alias("queued"), *counts, F.sum(F.col("ended") - F.col("began")).alias("busy"), (F.max("ended") - F.min("began")).alias("span"))
-    d = d.join(lanes, ["provider_id", "login_id"], "left")
+    d = d.join(lanes, [c for c in ("provider_id", "login_id") if c in lanes.columns], "left")
     room = F.col("span") * F.col("limit")
     return d.select("provider_id", "login_id", "queued", "done", "dead", "failed", F.when(room > 0, F.col("busy") / room * 100).otherwise(F.lit(0.0)).alias("utilisation"))
 

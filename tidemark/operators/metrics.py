@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import selection
+from tidemark.sources.scratch import written
 
 STATES = ["alive", "low_bitrate", "black", "dead", "unmeasured"]
 RESOLUTIONS = ["uhd", "fhd", "hd", "sd", "unknown"]
@@ -23,8 +24,8 @@ def resolution() -> Column:
 
 
 def provider_streams(catalogue: DataFrame, best: DataFrame) -> DataFrame:
-    """Each provider's distinct streams with state, resolution and what is known of them."""
-    d = catalogue.select("provider_id", "stream_id").distinct().join(best, "stream_id", "left")
+    """Each provider's distinct streams with state, resolution, what is known of them, and how many channels each leads."""
+    d = catalogue.groupBy("provider_id", "stream_id").agg(F.count_if(F.col("slot") == 0).alias("led")).join(best, "stream_id", "left")
     return d.withColumn("state", state()).withColumn("resolution", resolution())
 
 
@@ -34,6 +35,14 @@ def histogram(streams: DataFrame, column: str, values: list[str]) -> DataFrame:
     return per.select("provider_id", F.explode(F.array(*[F.struct(F.lit(v).alias(column), F.col(v).alias("streams")) for v in values])).alias("r")).select("provider_id", "r.*")
 
 
+def provider_counts(streams: DataFrame) -> DataFrame:
+    """One row a provider, in one aggregation: streams by state (a column each) and by resolution, the channels that it leads, and those that a usable stream leads; null where it leads none."""
+    led = F.sum("led")
+    healthy = F.sum(F.when(F.coalesce("usable", F.lit(False)), F.col("led")).otherwise(0))
+    counts = [F.count_if(F.col(c) == v).alias(f"{c}_{v}") for c, values in (("state", STATES), ("resolution", RESOLUTIONS)) for v in values]
+    return streams.groupBy("provider_id").agg(*counts, F.when(led > 0, led).alias("channels"), F.when(led > 0, healthy).alias("healthy"))
+
+
 def bitrate_medians(streams: DataFrame) -> DataFrame:
     """Interpolated median of measured bitrates for each resolution and for all. Spark counts distinct bitrates for it, map-side first; rows are not gathered."""
     d = streams.filter(F.col("bitrate_kbps") > 0).withColumn("resolution", F.explode(F.array(F.lit("all"), "resolution")))
@@ -79,12 +88,12 @@ def page(families: DataFrame, about: dict[str, tuple[str, str]]) -> DataFrame:
     """The whole text of several families (family, labels: an array of (name, value), value), as line_no and line.
 
     `about` has each family's kind and help, in the order of the page; a family without samples has no lines. Samples of a family are in order of their labels. Lines are numbered by
-    family first, so no task numbers the whole page.
+    family first, so no task numbers the whole page. The samples are written once: they are read for lines, for heads, and to count both.
     """
     escape = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
     rows = families.sparkSession.createDataFrame([(f, k, kind, text) for k, (f, (kind, text)) in enumerate(about.items())], "family string, place int, kind string, text string")
     number = F.col("value").cast("double")
-    finite = families.filter(number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))).join(rows, "family")
+    finite = written(families.filter(number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))), "samples").join(rows, "family")
     label = F.array_join(F.transform("labels", lambda x: F.concat(x["name"], F.lit('="'), escape(F.coalesce(x["value"], F.lit(""))), F.lit('"'))), ",")
     named = F.when(F.size("labels") > 0, F.concat("family", F.lit("{"), label, F.lit("}"))).otherwise(F.col("family"))
     shown = F.when(number == F.floor(number), F.floor(number).cast("bigint").cast("string")).otherwise(number.cast("string"))
@@ -101,9 +110,15 @@ def page(families: DataFrame, about: dict[str, tuple[str, str]]) -> DataFrame:
 
 def family(rows: DataFrame, name: str, value: Column, labels: dict[str, Column]) -> DataFrame:
     """Rows as samples of one family: family, labels, value."""
-    pairs = [F.struct(F.lit(k).alias("name"), c.cast("string").alias("value")) for k, c in labels.items()]
+    return families(rows, [(name, value, labels)])
+
+
+def families(rows: DataFrame, samples: list[tuple[str, Column, dict[str, Column]]]) -> DataFrame:
+    """Rows as samples of several families (name, value, labels), in one pass over the rows: family, labels, value."""
     none = F.array().cast("array<struct<name: string, value: string>>")
-    return rows.select(F.lit(name).alias("family"), (F.array(*pairs) if pairs else none).alias("labels"), value.cast("double").alias("value"))
+    pairs = lambda labels: F.array(*[F.struct(F.lit(k).alias("name"), c.cast("string").alias("value")) for k, c in labels.items()]) if labels else none
+    said = [F.struct(F.lit(name).alias("family"), pairs(labels).alias("labels"), value.cast("double").alias("value")) for name, value, labels in samples]
+    return rows.select(F.explode(F.array(*said)).alias("s")).select("s.*")
 
 
 def worker_status(heartbeat: Column, enabled: Column, now: int, stale: int = 120_000) -> list[Column]:

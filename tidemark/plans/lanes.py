@@ -66,8 +66,7 @@ def _outcomes(jobs, providers):
     state = F.get(F.array(*map(F.lit, ["done", "dead", "failed", "queued", "done"])), ((F.col("stream_id") + F.col("variant_id")) % 5).cast("int"))
     began = F.col("stream_id") * 1000
     d = jobs.select("provider_id", F.col("variant_id").alias("login_id"), state.alias("state"), began.alias("began"), (began + 500 * (1 + F.col("channel_id") % 4)).alias("ended"))
-    limits = d.select("provider_id", "login_id").distinct().join(providers.select("provider_id", F.col("max_streams").alias("limit")), "provider_id")
-    return lanes.outcomes(d, limits)
+    return lanes.outcomes(d, providers.select("provider_id", F.col("max_streams").alias("limit")))
 
 
 @query(["v_job", "v_provider"], OUTCOMES_SQL + " SELECT provider_id, login_id, queued, done, dead, failed, utilisation FROM out")

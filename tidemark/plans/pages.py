@@ -11,7 +11,7 @@ from tidemark.operators import lists, metrics, published, verdicts
 from tidemark.operators.gate import glob
 from tidemark.plans.lanes import OUTCOMES_SQL, _outcomes
 from tidemark.plans.matching import RULES_SQL, VIEWS, _matched
-from tidemark.plans.measures import METRICS, STREAMS_SQL, _best, _catalogue, _streams, _zero_filled
+from tidemark.plans.measures import METRICS, STREAMS_SQL, _streams, _zero_filled
 from tidemark.plans.registry import BEST_SQL, D, query
 from tidemark.plans.streams import stream_query
 from tidemark.sources.paged import Paged
@@ -51,18 +51,18 @@ PAGE_SQL = STREAMS_SQL + ", " + OUTCOMES_SQL[5:] + f""", st_ AS ({_zero_filled("
 @query([*METRICS, "v_job", "v_run"], PAGE_SQL)
 def metrics_page(assigned, streams, providers, log, jobs, runs):
     """Every family as the text that is served: totals of passes, what lanes did, streams of providers by state and resolution, and what they lead."""
-    of = metrics.family
-    known = _streams(assigned, streams, providers, log)
     login = {"provider": F.col("provider_id"), "login": F.col("login_id")}
     lanes = _outcomes(jobs, providers).join(providers.select("provider_id", F.col("max_streams").alias("limit")), "provider_id")
-    leads = metrics.rank1(_catalogue(assigned, streams, providers), _best(log))
+    counts = metrics.provider_counts(_streams(assigned, streams, providers, log))
     owner = {"provider": F.col("provider_id")}
     totals = runs.agg(F.lit(1).alias("up"), F.count(F.lit(1)).alias("runs"), F.count("error").alias("failed"), F.sum("probed").alias("probed"))
-    rows = [of(totals, f"tidemark_{name}", F.col(c), {}) for name, c in (("up", "up"), ("runs_total", "runs"), ("runs_failed_total", "failed"), ("streams_probed_total", "probed"))]
-    rows += [of(lanes, f"tidemark_lane_{c}", F.col(c), login) for c in LANES]
+    rows = [metrics.families(totals, [(f"tidemark_{name}", F.col(c), {}) for name, c in (("up", "up"), ("runs_total", "runs"), ("runs_failed_total", "failed"), ("streams_probed_total", "probed"))])]
+    rows.append(metrics.families(lanes, [(f"tidemark_lane_{c}", F.col(c), login) for c in LANES]))
+    of = []
     for name, column, values in (("streams", "state", metrics.STATES), ("resolution_streams", "resolution", metrics.RESOLUTIONS)):
-        rows.append(of(metrics.histogram(known, column, values), f"tidemark_provider_{name}", F.col("streams"), owner | {column: F.col(column)}))
-    rows += [of(leads, f"tidemark_provider_{name}", F.col(c), owner) for name, c in (("leads", "channels"), ("leads_healthy", "healthy"))]
+        of += [(f"tidemark_provider_{name}", F.col(f"{column}_{v}"), owner | {column: F.lit(v)}) for v in values]
+    of += [(f"tidemark_provider_{name}", F.col(c), owner) for name, c in (("leads", "channels"), ("leads_healthy", "healthy"))]
+    rows.append(metrics.families(counts, of))
     return metrics.page(reduce(DataFrame.unionByName, rows), ABOUT)
 
 
