@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.matching import file_versions
+
+#: Bytes of input files for each partition of rows that are ordered; a task sorts its rows twice, and holds both sorts.
+PART_BYTES = 8_000_000
+
+
+def _parts(*tables: DataFrame) -> int:
+    """Partitions for rows of tables: as many more as their files are larger, so that a task holds no more of a larger input."""
+    sizes = {path: size for t in tables for path, size, _ in file_versions(t)}
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-sum(sizes.values()) // PART_BYTES))
+
 
 def composed(ranked: DataFrame, assigned: DataFrame, remove: bool = False, eligible: DataFrame | None = None, most: int = 0) -> DataFrame:
     """channel_id, position, stream_id: ranked streams that the channel has, in rank order, then its other assigned ones.
@@ -12,6 +23,7 @@ def composed(ranked: DataFrame, assigned: DataFrame, remove: bool = False, eligi
     With `eligible` (stream_id), ranked streams that it lacks are added, best first, up to `most` held in all (0: no bound).
     `remove` drops the assigned streams that do not rank. Assigned streams may repeat, and keep doing so.
     """
+    parts = _parts(ranked, assigned)
     fit = F.lit(False)
     if eligible is not None:
         ranked = ranked.join(eligible.select("stream_id").distinct().withColumn("fit", F.lit(True)), "stream_id", "left")
@@ -20,7 +32,7 @@ def composed(ranked: DataFrame, assigned: DataFrame, remove: bool = False, eligi
     rows = rows.unionByName(assigned.select("channel_id", "stream_id", "ord", F.lit(1).alias("part"), F.lit(False).alias("fit")))
     # one exchange by channel serves all windows; each row of a list is read once
     pair, whole = Window.partitionBy("channel_id", "stream_id"), Window.partitionBy("channel_id")
-    rows = rows.repartition("channel_id").withColumn("held", F.max("part").over(pair) == 1).withColumn("ranks", F.min("part").over(pair) == 0)
+    rows = rows.repartition(parts, "channel_id").withColumn("held", F.max("part").over(pair) == 1).withColumn("ranks", F.min("part").over(pair) == 0)
     first = F.col("part") == 0
     new = F.col("fit") & ~F.col("held") & first
     nth = F.sum(new.cast("int")).over(whole.orderBy("part", "ord").rowsBetween(Window.unboundedPreceding, 0))
